@@ -86,18 +86,20 @@ def _plain(value: Column) -> Column:
     )
 
 
-def variant_cell(value: Column, separator: str = SEPARATOR, *, skip_blank: bool = False) -> Column:
+def variant_cell(
+    value: Column, separator: str = SEPARATOR, *, skip_blank: bool = False, depth: int = 2
+) -> Column:
     """Render one JSON value as one cell.
 
     Null becomes the empty string, a list its joined members (nested lists are
-    flattened one level at a time, down to three), an object sorted JSON.
+    joined too, down to ``depth``; deeper ones stay JSON), an object sorted JSON.
     ``skip_blank`` leaves null and empty members of a list out.
     """
 
-    def render(item: Column, depth: int) -> Column:
-        if depth == 0:
+    def render(item: Column, levels: int) -> Column:
+        if levels == 0:
             return _plain(item)
-        members = F.transform(item.cast("array<variant>"), lambda v: render(v, depth - 1))
+        members = F.transform(item.cast("array<variant>"), lambda v: render(v, levels - 1))
         if skip_blank:
             members = F.filter(members, lambda v: v != "")
         return F.when(
@@ -105,7 +107,7 @@ def variant_cell(value: Column, separator: str = SEPARATOR, *, skip_blank: bool
             F.array_join(members, separator),
         ).otherwise(_plain(item))
 
-    return render(value, 3)
+    return render(value, depth)
 
 
 def is_list(value: Column) -> Column:

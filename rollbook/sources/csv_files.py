@@ -63,7 +63,7 @@ def _cell(i: int) -> Column:
 
 
 def read_csv_rows(
-    spark: SparkSession, path: str, *, sep: str = ",", keep_surplus: bool = False, multiline: bool = True
+    spark: SparkSession, path: str, *, sep: str = ",", keep_surplus: bool = False, keep_blank: bool = False, multiline: bool = True
 ) -> tuple[DataFrame, list[str]]:
     """``ordinal, fields`` and the header, which survives a file without rows.
 
@@ -89,7 +89,11 @@ def read_csv_rows(
         ).otherwise(F.create_map().cast("map<string,string>"))
         fields = merge_maps(fields, extra)
     rows = raw.select(_file_order(), F.col("_metadata.file_name").alias("file"), fields.alias("fields"))
-    return rows.filter(F.exists(F.map_values("fields"), lambda v: v != "")), header
+    return rows if keep_blank else rows.filter(_filled()), header
+
+
+def _filled() -> Column:
+    return F.exists(F.map_values("fields"), lambda v: v != "")
 
 
 def derive(rows: DataFrame, columns: Mapping[str, tuple[str, object]]) -> DataFrame:
@@ -155,7 +159,7 @@ def read_finma_csv(spark: SparkSession, path: str, select: str | None = None, *,
     return flatten_blocks(authorisation_documents(rows.drop("file"), select, derived=derived), FINMA_LAYOUT)
 
 
-def filter_trade_rows(rows: DataFrame, tests: Mapping[str, str]) -> Column:
+def filter_trade_rows(tests: Mapping[str, str]) -> Column:
     """Condition for ``column=value`` tests, ignoring case of names and values."""
     lowered = F.transform_keys("fields", lambda k, _: F.lower(k))
     conditions = [F.coalesce(F.lower(lowered[n]), F.lit("")) == v.lower() for n, v in tests.items()]
@@ -173,18 +177,20 @@ def read_gisa_csv(
 ) -> tuple[DataFrame, Observation]:
     """Trade licences that pass the tests, and the observed ``scanned``/``kept`` counts.
 
-    The file is split over tasks and filtered in the scan stage.  Set ``multiline``
+    The file is split over tasks and filtered in the scan stage.  The counts are those
+    of one evaluation, so observe a write or a count, not a global sort, which
+    evaluates its input twice.  Set ``multiline``
     for exports with line breaks inside cells; such a file is read by one task.
     """
     tests = selection.column_tests(filters) if isinstance(filters, str) else {k.lower(): v for k, v in (filters or {}).items()}
     kind = selection.trade_kind(select)
     if kind:
         tests = {"gewerbeart": kind, **tests}
-    rows, header = read_csv_rows(spark, path, multiline=multiline)
+    rows, header = read_csv_rows(spark, path, keep_blank=True, multiline=multiline)
     unknown = sorted(set(tests) - {h.lower() for h in header}) if header else []
     if unknown:
         raise selection.UnknownSelection(f"no such column(s) {', '.join(unknown)}; there are: {', '.join(header)}")
-    condition = filter_trade_rows(rows, tests)
+    condition = _filled() & filter_trade_rows(tests)
     seen = Observation()
     kept = rows.observe(seen, F.count(F.lit(1)).alias("scanned"), F.count_if(condition).alias("kept")).filter(condition)
     if derived:

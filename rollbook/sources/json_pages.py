@@ -18,7 +18,7 @@ from rollbook.functions.text import (
     variant_json,
 )
 from rollbook.sources import selection
-from rollbook.sources.landing import PAGE_STEP, as_rows, cells, members, page_documents, read_bodies
+from rollbook.sources.landing import PAGE_STEP, as_rows, cells, members, page_documents, read_bodies, unnested
 
 _ENTRIES = "array<struct<key:string,value:string>>"
 
@@ -102,36 +102,36 @@ def read_ctis_pages(spark: SparkSession, path: str) -> DataFrame:
     return trial_rows(page_documents(read_bodies(spark, path), "data"))
 
 
-def nested_leaves(value: Column, *, depth: int = 6) -> Column:
-    """Leaves of a JSON object as ``key, value`` entries with dotted paths.
-
-    Nulls and empty lists have no leaf.  Lists of plain values are joined without
-    blanks, other lists and anything deeper than ``depth`` stay JSON.
-    """
-    empty = F.array().cast(_ENTRIES)
+def _opened(node: Column) -> Column:
+    """An object as its members with a longer path, anything else as it is."""
+    prefix = F.when(node["key"] != "", F.concat(node["key"], F.lit("."))).otherwise("")
+    inner = F.transform(
+        F.map_entries(members(node["value"])),
+        lambda m: F.struct(F.concat(prefix, m["key"]).alias("key"), m["value"].alias("value")),
+    )
+    return F.when(is_object(node["value"]), inner).otherwise(F.array(node))
 
-    def walk(node: Column, path: Column, level: int) -> Column:
-        flat = ~F.exists(_list(node), _nested)
-        text = F.when(is_list(node) & flat, variant_cell(node, skip_blank=True)).otherwise(
-            F.when(_nested(node), variant_json(node)).otherwise(variant_cell(node))
-        )
-        leaf = F.when(is_json_null(node) | (is_list(node) & (F.size(_list(node)) == 0)), empty).otherwise(
-            F.array(_entry(path, text))
-        )
-        if level == 0:
-            return leaf
 
-        def below(e: Column) -> Column:
-            return walk(e["value"], F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), level - 1)
+def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields", depth: int = 6) -> DataFrame:
+    """Add a nested JSON object as a map of dotted paths.
 
-        return F.when(is_object(node), F.flatten(F.transform(F.map_entries(members(node)), below))).otherwise(leaf)
+    Nulls and empty lists have no path.  Lists of plain values are joined without
+    blanks, other lists and anything deeper than ``depth`` stay JSON.
+    """
 
-    return walk(value, F.lit(""), depth)
+    def has_text(n: Column) -> Column:
+        node = n["value"]
+        return ~is_json_null(node) & ~(is_list(node) & (F.size(_list(node)) == 0))
 
+    def leaf(n: Column) -> Column:
+        node = n["value"]
+        plain = is_list(node) & ~F.exists(_list(node), _nested)
+        text = F.when(_nested(node) & ~plain, variant_json(node)).otherwise(variant_cell(node, depth=1, skip_blank=True))
+        return _entry(n["key"], text)
 
-def collapse_nested(value: Column, *, depth: int = 6) -> Column:
-    """A nested JSON object as a map of dotted paths."""
-    return codes.entries_to_map(nested_leaves(value, depth=depth))
+    opened = unnested(table, value, _opened, depth=depth, into="_nodes")
+    leaves = F.transform(F.filter("_nodes", has_text), leaf)
+    return opened.withColumn(into, codes.entries_to_map(leaves)).drop("_nodes")
 
 
 def legal_entity_rows(documents: DataFrame, countries: str | None = None) -> DataFrame:
@@ -142,7 +142,8 @@ def legal_entity_rows(documents: DataFrame, countries: str | None = None) -> Dat
         documents = documents.filter(country.isin(wanted))
     lei = F.create_map(F.lit("lei"), F.coalesce(F.try_variant_get("doc", "$.id", "string"), F.lit("")))
     attributes = F.try_variant_get("doc", "$.attributes", "variant")
-    return as_rows(documents, merge_maps(lei, F.coalesce(collapse_nested(attributes), F.create_map().cast("map<string,string>"))))
+    flat = collapse_nested(documents.filter(is_object(F.col("doc"))), attributes)
+    return flat.select("ordinal", merge_maps(lei, F.col("fields")).alias("fields"))
 
 
 def read_gleif_pages(spark: SparkSession, path: str, countries: str | None = None) -> DataFrame:

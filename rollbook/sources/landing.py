@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import variant_cell
+from rollbook.functions.text import is_object, variant_cell
 
 #: Documents of one page have ordinals ``page * PAGE_STEP + position``.
 PAGE_STEP = 1 << 32
@@ -59,4 +59,19 @@ def cells(doc: Column, *, skip_blank: bool = False) -> Column:
 
 
 def as_rows(documents: DataFrame, fields: Column) -> DataFrame:
-    return documents.select("ordinal", fields.alias("fields")).filter(F.col("fields").isNotNull())
+    """Documents that are JSON objects as rows; anything else holds no record."""
+    return documents.filter(is_object(F.col("doc"))).select("ordinal", fields.alias("fields"))
+
+
+def unnested(table: DataFrame, value: Column, open_node, *, depth: int, into: str = "nodes") -> DataFrame:
+    """Add the nodes of a nested JSON value after ``depth`` rounds of ``open_node``.
+
+    A node is ``key`` (dotted path) and ``value``; ``open_node`` maps one node to
+    an array of nodes.  Each round is its own projection, which keeps the
+    expressions small for the analyser.
+    """
+    root = F.array(F.struct(F.lit("").alias("key"), value.alias("value")))
+    table = table.withColumn(into, root)
+    for _ in range(depth):
+        table = table.withColumn(into, F.flatten(F.transform(into, open_node)))
+    return table

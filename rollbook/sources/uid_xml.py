@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions import codes
 from rollbook.functions.keys import printed_uid
 from rollbook.functions.text import SEPARATOR, is_list, is_object, merge_maps, strip
-from rollbook.sources.landing import PAGE_STEP, members, page_number
+from rollbook.sources.landing import PAGE_STEP, members, page_number, unnested
 
 # Elements that hold one organisation, and wrappers without meaning.
 ITEM_TAG = "uidEntitySearchResultItem"
@@ -18,52 +17,52 @@ UID_CATEGORY = "organisationIdentification.uid.uidOrganisationIdCategorie"
 UID_NUMBER = "organisationIdentification.uid.uidOrganisationId"
 ITEM_EXTRAS = ("rating", "isHistoryMatch")
 
-_ENTRIES = "array<struct<key:string,value:string>>"
+def _opened(node: Column) -> Column:
+    """An element as its children with a longer path, a repeated one as its copies."""
 
+    def child(m: Column) -> Column:
+        name = F.regexp_replace(m["key"], "^.*:", "")
+        step = F.when(~name.isin(*WRAPPERS), name)
+        return F.struct(F.concat_ws(".", F.nullif(node["key"], F.lit("")), step).alias("key"), m["value"].alias("value"))
 
-def _walk(node: Column, path: Column, depth: int) -> Column:
-    """Leaf texts with their dotted element path, in document order."""
-    text = strip(F.coalesce(node.cast("string"), F.lit("")))
-    leaf = F.when(text != "", F.array(F.struct(path.alias("key"), text.alias("value")))).otherwise(
-        F.array().cast(_ENTRIES)
-    )
-    if depth == 0:
-        return leaf
-
-    def below(e: Column) -> Column:
-        name = F.regexp_replace(e["key"], "^.*:", "")
-        step = F.when(name.isin(*WRAPPERS), F.lit(None)).otherwise(name)
-        inner = F.concat_ws(".", F.nullif(path, F.lit("")), step)
-        child = e["value"]
-        repeated = F.flatten(
-            F.transform(F.try_variant_get(child, "$", "array<variant>"), lambda v: _walk(v, inner, depth - 1))
-        )
-        return F.when(is_list(child), repeated).otherwise(_walk(child, inner, depth - 1))
+    def copy(v: Column) -> Column:
+        return F.struct(node["key"].alias("key"), v.alias("value"))
 
-    return F.when(is_object(node), F.flatten(F.transform(F.map_entries(members(node)), below))).otherwise(leaf)
+    return (
+        F.when(is_object(node["value"]), F.transform(F.map_entries(members(node["value"])), child))
+        .when(is_list(node["value"]), F.transform(F.try_variant_get(node["value"], "$", "array<variant>"), copy))
+        .otherwise(F.array(node))
+    )
 
 
-def organisation_fields(doc: Column, *, depth: int = 7) -> Column:
-    """One organisation as dotted columns; repeated paths are joined.
+def organisation_fields(table: DataFrame, doc: Column, *, depth: int = 12) -> DataFrame:
+    """Add ``fields``: one organisation as dotted columns, repeated paths joined.
 
     The two halves of the identification number become one printed ``uid``.
     """
-    entries = _walk(doc, F.lit(""), depth)
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def text(n: Column) -> Column:
+        return F.struct(n["key"].alias("key"), strip(F.coalesce(n["value"].cast("string"), F.lit(""))).alias("value"))
+
+    opened = unnested(table, doc, _opened, depth=depth, into="_nodes")
+    entries = opened.withColumn("_nodes", F.filter(F.transform("_nodes", text), lambda t: t["value"] != ""))
+    names = F.array_distinct(F.transform("_nodes", lambda e: e["key"]))
     joined = F.map_from_entries(
         F.transform(
             names,
             lambda n: F.struct(
                 n.alias("key"),
                 F.array_join(
-                    F.transform(F.filter(entries, lambda e: e["key"] == n), lambda e: e["value"]), SEPARATOR
+                    F.transform(F.filter("_nodes", lambda e: e["key"] == n), lambda e: e["value"]), SEPARATOR
                 ).alias("value"),
             ),
         )
     )
-    uid = F.create_map(F.lit("uid"), printed_uid(joined[UID_CATEGORY], joined[UID_NUMBER]))
-    rest = F.map_filter(joined, lambda k, _: ~k.isin(UID_CATEGORY, UID_NUMBER))
-    return merge_maps(uid, rest)
+    whole = entries.withColumn("fields", joined).drop("_nodes")
+    fields = F.col("fields")
+    uid = F.create_map(F.lit("uid"), printed_uid(fields[UID_CATEGORY], fields[UID_NUMBER]))
+    rest = F.map_filter(fields, lambda k, _: ~k.isin(UID_CATEGORY, UID_NUMBER))
+    return whole.withColumn("fields", merge_maps(uid, rest))
 
 
 def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame | None:
@@ -94,11 +93,11 @@ def read_uid_xml(spark: SparkSession, path: str) -> DataFrame:
             ]
         )
         extra_map = F.map_from_entries(F.filter(extras, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
-        fields = merge_maps(organisation_fields(organisation), extra_map)
-        parts.append(items.select("ordinal", fields.alias("fields")))
+        rows = organisation_fields(items, organisation)
+        parts.append(rows.select("ordinal", merge_maps(F.col("fields"), extra_map).alias("fields")))
     direct = _elements(spark, path, DIRECT_TAG)
     if direct is not None:
-        parts.append(direct.select("ordinal", organisation_fields(F.col("doc")).alias("fields")))
+        parts.append(organisation_fields(direct, F.col("doc")).select("ordinal", "fields"))
     if not parts:
         return spark.createDataFrame([], "ordinal bigint, fields map<string,string>")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
