@@ -1,0 +1 @@
+"""Change events as snapshots arrive."""
