@@ -1,0 +1 @@
+"""Whole jobs: the archive, ingest, and queries over the test tables."""
