@@ -140,13 +140,13 @@ def label_trades(spark, folder):
     return to_wide(labelled, ["gewerbeart", "nuts2", "gewerbeart_label", "nuts2_label"], keep=("k",))
 
 
-@query(f"SELECT CAST(k AS VARCHAR) AS k, gewerbeart, nuts2, gewerbeart_label, nuts2_label FROM ({_SQL_TRADES}) WHERE gewerbeart = '5' AND nuts2 = 'AT31'")
+@query(f"SELECT CAST(k AS VARCHAR) AS k, gewerbeart, nuts2, gewerbeart_label, nuts2_label FROM ({_SQL_TRADES}) WHERE gewerbeart = '5' AND nuts2 = 'AT32'")
 def trade_licence_csv(spark, folder):
     """Licences filtered while the file is scanned."""
     path = shared_folder(spark, "trades")
     part = table(spark, folder, "part")
     part.select(F.col("p_partkey").alias("k"), *[c.alias(n) for n, c in _trade_columns().items()]).write.option("header", True).csv(path)
-    rows, _ = csv_files.read_gisa_csv(spark, path, "NUTS2=at31", "konzessioniert")
+    rows, _ = csv_files.read_gisa_csv(spark, path, "NUTS2=at32", "konzessioniert")
     return to_wide(rows, ["k", "gewerbeart", "nuts2", "gewerbeart_label", "nuts2_label"], keep=())
 
 
@@ -316,7 +316,10 @@ def enterprise_replies(spark, folder):
         F.col("s_nationkey").cast("string"), F.lit("</rating></uidEntitySearchResultItem>"),
     )
     path = shared_folder(spark, "replies")
-    supplier.select(item.alias("value")).write.text(path)
+    page = F.floor(F.col("s_suppkey") / _PER_PAGE)
+    replies = supplier.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    reply = F.concat(F.lit("<Envelope><Body>"), "items", F.lit("</Body></Envelope>"))
+    replies.select("page", reply.alias("value")).write.partitionBy("page").text(path)
     f = F.col("fields")
     return uid_xml.read_uid_xml(spark, path).select(
         f["uid"].alias("uid"), f["organisationIdentification.OtherOrganisationId.organisationId"].alias("ids"),

@@ -72,11 +72,12 @@ def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame | None:
     """
     reader = spark.read.format("xml").option("rowTag", tag).option("excludeAttribute", True).option("inferSchema", False)
     table = reader.load(path)
-    if not table.columns:
+    columns = [c for c in table.columns if c != "_corrupt_record"]
+    if not columns:
         return None
     name = F.col("_metadata.file_name")
     ordinal = page_number(name) * PAGE_STEP + F.monotonically_increasing_id() % F.lit(PAGE_STEP)
-    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
     return table.select(ordinal.alias("ordinal"), F.parse_json(body).alias("doc"))
 
 
