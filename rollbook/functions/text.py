@@ -73,17 +73,46 @@ def sorted_map_json(fields: Column) -> Column:
     return spaced_json(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields)))))
 
 
-def _variant_type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is evaluated once.
+
+    A column expression used inside a lambda is otherwise evaluated again for
+    every element the lambda sees.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def list_of(value: Column) -> Column:
+    """A JSON list as an array, NULL for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def members(value: Column) -> Column:
+    """A JSON object as a map, NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def is_list(value: Column) -> Column:
+    return list_of(value).isNotNull()
+
+
+def is_object(value: Column) -> Column:
+    return members(value).isNotNull()
+
+
+def is_json_null(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
 
 
 def _plain(value: Column) -> Column:
-    """A non-list VARIANT as a cell."""
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), "")
-        .when(_variant_type(value).startswith("OBJECT"), variant_json(value))
-        .otherwise(value.cast("string"))
-    )
+    """A JSON value as text, objects and lists spaced."""
+
+    def spaced(text: Column) -> Column:
+        # The cheap look at the first character spares most values the type test.
+        nested = (F.startswith(text, F.lit("{")) & is_object(value)) | (F.startswith(text, F.lit("[")) & is_list(value))
+        return F.when(text.isNull(), "").when(nested, spaced_json(text)).otherwise(text)
+
+    return let(value.cast("string"), spaced)
 
 
 def variant_cell(
@@ -99,30 +128,16 @@ def variant_cell(
     def render(item: Column, levels: int) -> Column:
         if levels == 0:
             return _plain(item)
-        members = F.transform(item.cast("array<variant>"), lambda v: render(v, levels - 1))
+        cells = F.transform(list_of(item), lambda v: render(v, levels - 1))
         if skip_blank:
-            members = F.filter(members, lambda v: v != "")
-        return F.when(
-            F.coalesce(_variant_type(item).startswith("ARRAY"), F.lit(False)),
-            F.array_join(members, separator),
-        ).otherwise(_plain(item))
+            cells = F.filter(cells, lambda v: v != "")
+        return F.coalesce(F.array_join(cells, separator), _plain(item))
 
     return render(value, depth)
 
 
-def is_list(value: Column) -> Column:
-    return F.coalesce(_variant_type(value).startswith("ARRAY"), F.lit(False))
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(_variant_type(value).startswith("OBJECT"), F.lit(False))
-
-
-def is_json_null(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
-
-
 def merge_maps(left: Column, right: Column) -> Column:
     """``map_concat`` in which the right side wins for keys present in both."""
-    kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
-    return F.map_concat(kept, right)
+    return let(
+        right, lambda r: F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(r, k)), r)
+    )

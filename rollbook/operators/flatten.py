@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import SEPARATOR, blank_to_null, merge_maps
+from rollbook.functions.text import SEPARATOR, blank_to_null, let, merge_maps
 
 # Bookkeeping fields of the document index.
 INTERNAL_FIELDS = ("_version_", "collectorParent")
@@ -53,28 +53,31 @@ class BlockLayout:
 
 
 def _by_ordinal(documents: Column) -> Column:
+    return _sorted(documents, "ordinal")
+
+
+def _sorted(structs: Column, field: str) -> Column:
     # Structs that hold a map are not orderable, so the order is spelled out.
-    return F.array_sort(documents, lambda a, b: F.signum(a["ordinal"] - b["ordinal"]).cast("int"))
+    in_order = F.array_sort(structs, lambda a, b: F.signum(a[field] - b[field]).cast("int"))
+    return F.when(F.size(structs) < 2, structs).otherwise(in_order)
 
 
 def _filled(fields: Column) -> Column:
     return F.transform_values(fields, lambda _, v: F.coalesce(v, F.lit("")))
 
 
-def _joined_cells(documents: Column, separator: str) -> Column:
+def _joined_cells(documents: Column, separator: str, drop: Sequence[str]) -> Column:
     """Map of field to the positionally aligned values of all documents."""
-    names = F.array_distinct(F.flatten(F.transform(documents, lambda d: F.map_keys(d["fields"]))))
-    return F.map_from_entries(
-        F.transform(
-            names,
-            lambda n: F.struct(
-                n.alias("key"),
-                F.array_join(
-                    F.transform(documents, lambda d: F.coalesce(d["fields"][n], F.lit(""))), separator
-                ).alias("value"),
-            ),
-        )
-    )
+    unwanted = F.array(*map(F.lit, drop)).cast("array<string>")
+
+    def cells(all_: Column) -> Column:
+        names = F.array_except(F.flatten(F.transform(all_, lambda d: F.map_keys(d["fields"]))), unwanted)
+        return F.transform(names, lambda n: F.struct(n.alias("key"), cell(all_, n).alias("value")))
+
+    def cell(all_: Column, name: Column) -> Column:
+        return F.array_join(F.transform(all_, lambda d: F.coalesce(d["fields"][name], F.lit(""))), separator)
+
+    return F.map_from_entries(let(documents, cells))
 
 
 def flatten_cells(
@@ -96,42 +99,39 @@ def flatten_cells(
     fields = F.col("fields")
     parent = layout.is_parent(fields)
     child_drop = [*layout.drop, layout.root_field, layout.group_field]
-    # A parent keeps its own bookkeeping columns; a child does not repeat them.
-    kept = F.map_filter(fields, lambda k, _: ~k.isin(list(layout.drop)))
-    kept_child = F.map_filter(fields, lambda k, _: ~k.isin(child_drop))
     keyed = docs.select(
         *scope,
         layout.entity_key(fields).alias("entity"),
         F.when(~parent, layout.group(fields)).alias("bucket"),
         F.floor(F.col("ordinal") / F.lit(span)).alias("piece"),
-        F.struct("ordinal", F.when(parent, kept).otherwise(kept_child).alias("fields")).alias("doc"),
+        F.struct("ordinal", "fields").alias("doc"),
+        "ordinal",
     )
     pieces = keyed.groupBy(*scope, "entity", "bucket", "piece").agg(
-        _by_ordinal(F.collect_list("doc")).alias("docs")
+        F.collect_list("doc").alias("docs"), F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first_ordinal")
     )
+    pieces = pieces.withColumn("docs", _by_ordinal(F.col("docs")))
     is_parent = F.col("bucket").isNull()
-    rest = F.when(is_parent, F.slice(F.col("docs"), 2, F.greatest(F.size("docs") - 1, F.lit(0)))).otherwise(
-        F.col("docs")
-    )
-    child_only = F.transform(
-        rest,
-        lambda d: F.struct(
-            d["ordinal"].alias("ordinal"),
-            F.map_filter(d["fields"], lambda k, _: ~k.isin(child_drop)).alias("fields"),
-        ),
-    )
+    # A parent keeps its own bookkeeping columns; a child does not repeat them.
+    head = _filled(F.map_filter(F.col("docs")[0]["fields"], lambda k, _: ~k.isin(list(layout.drop))))
+    children = _joined_cells(F.col("docs"), layout.separator, child_drop)
+    later = _joined_cells(F.slice("docs", 2, F.size("docs")), layout.separator, child_drop)
     return pieces.select(
         *scope,
         "entity",
         "bucket",
         "piece",
-        F.col("docs")[0]["ordinal"].alias("first_ordinal"),
-        F.size("docs").alias("n"),
-        F.when(is_parent, _filled(F.col("docs")[0]["fields"])).alias("head"),
-        _joined_cells(child_only, layout.separator).alias("cells"),
+        "first_ordinal",
+        "n",
+        F.when(is_parent, head).alias("head"),
+        F.when(~is_parent, children).when(F.col("n") > 1, later).otherwise(_no_columns()).alias("cells"),
     )
 
 
+def _no_columns() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
 def _bucket_columns(bucket: Column, chunks: Column, layout: BlockLayout) -> Column:
     """Columns ``<bucket>_count`` and ``<bucket>_<field>`` from ordered chunks."""
     names = F.array_distinct(F.flatten(F.transform(chunks, lambda c: F.map_keys(c["cells"]))))
@@ -171,7 +171,7 @@ def assemble_blocks(
         cells.repartition(*key)
         .groupBy(*key, "bucket")
         .agg(F.min("first_ordinal").alias("first_ordinal"), F.collect_list(F.struct("piece", "n", "head", "cells")).alias("pieces"))
-        .withColumn("pieces", F.array_sort("pieces", lambda a, b: F.signum(a["piece"] - b["piece"]).cast("int")))
+        .withColumn("pieces", _sorted(F.col("pieces"), "piece"))
     )
     child_drop = [*layout.drop, layout.root_field, layout.group_field]
     pieces = F.col("pieces")
@@ -210,9 +210,17 @@ def assemble_blocks(
     parents = F.filter(F.col("parts"), lambda p: p["parent"].isNotNull())
     orphan = F.create_map(F.lit("_orphan"), F.lit("true"), F.lit(layout.root_field), F.col("entity"))
     start = F.when(F.size(parents) > 0, parents[0]["parent"]).otherwise(orphan)
-    bucket_parts = F.filter(F.col("parts"), lambda p: p["columns"].isNotNull())
-    merged = F.aggregate(bucket_parts, start, lambda acc, p: merge_maps(acc, p["columns"]))
-    return entities.select(*scope, "ordinal", merged.alias("fields"))
+    buckets_only = F.transform(F.filter(F.col("parts"), lambda p: p["columns"].isNotNull()), lambda p: p["columns"])
+    maps = F.concat(F.array(start), buckets_only)
+    return entities.select(*scope, "ordinal", let(maps, _merge_in_order).alias("fields"))
+
+
+def _merge_in_order(maps: Column) -> Column:
+    """One map from several; only where a key repeats are they merged one by one."""
+    keys = F.flatten(F.transform(maps, F.map_keys))
+    together = F.map_from_entries(F.flatten(F.transform(maps, F.map_entries)))
+    one_by_one = F.aggregate(maps, _no_columns(), merge_maps)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), together).otherwise(one_by_one)
 
 
 def flatten_blocks(

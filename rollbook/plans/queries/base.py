@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.codes import map_of
+from rollbook.sizing import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,7 +70,7 @@ CUSTOMER_COLUMNS = ("id", "name", "nation", "balance", "segment")
 
 
 def document_rows(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"))
     return rows_of(documents, "doc_id", {"text": "text", "lang": "lang", "source": "source"}, "doc_id")
 
 
@@ -93,7 +94,7 @@ SQL_LINE_ORDER = f"""(CAST(l_linenumber AS BIGINT) * {LINE_SPAN} + CAST('0x' ||
 def order_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as parent documents, lines as children in a bucket per return flag."""
     root = lambda key: F.concat(F.lit("o"), F.col(key).cast("string"))
-    parents = table(spark, folder, "orders").select(
+    parents = spread(table(spark, folder, "orders")).select(
         F.lit(0).cast("bigint").alias("ordinal"),
         map_of(
             {
@@ -103,7 +104,7 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
             }
         ).alias("fields"),
     )
-    children = table(spark, folder, "lineitem").select(
+    children = spread(table(spark, folder, "lineitem")).select(
         line_order().alias("ordinal"),
         map_of(
             {
@@ -121,7 +122,7 @@ def order_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     Earlier: orders that are not open yet are missing.  Later: finished ones have
     left, urgent ones of the rest are finished, low-priority ones were repriced.
     """
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders"))
     base = {"key": "o_orderkey", "customer": "o_custkey", "priority": "o_orderpriority"}
     old = rows_of(
         orders.filter("o_orderstatus <> 'O'"), "o_orderkey", {**base, "status": "o_orderstatus", "total": money("o_totalprice"), "note": F.lit("")}

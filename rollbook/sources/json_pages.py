@@ -11,6 +11,9 @@ from rollbook.functions.text import (
     is_json_null,
     is_list,
     is_object,
+    let,
+    list_of,
+    members,
     merge_maps,
     split_literal,
     strip,
@@ -18,7 +21,7 @@ from rollbook.functions.text import (
     variant_json,
 )
 from rollbook.sources import selection
-from rollbook.sources.landing import PAGE_STEP, as_rows, cells, members, page_documents, read_bodies, unnested
+from rollbook.sources.landing import PAGE_STEP, as_rows, cells, page_documents, read_bodies, unnested
 
 _ENTRIES = "array<struct<key:string,value:string>>"
 
@@ -27,18 +30,14 @@ def _entry(key: Column, value: Column) -> Column:
     return F.struct(key.alias("key"), value.cast("string").alias("value"))
 
 
-def _list(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def _nested(value: Column) -> Column:
     return is_list(value) | is_object(value)
 
 
 def _strings(value: Column, path: str) -> Column:
     """Non-blank strings at ``path`` of every member of a list, joined."""
-    found = F.transform(_list(value), lambda v: F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
-    return F.array_join(F.filter(found, lambda t: t != ""), SEPARATOR)
+    found = F.transform(list_of(value), lambda v: F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    return F.coalesce(F.array_join(F.filter(found, lambda t: t != ""), SEPARATOR), F.lit(""))
 
 
 def _path(value: Column, path: str) -> Column:
@@ -47,7 +46,7 @@ def _path(value: Column, path: str) -> Column:
 
 def _actor_entries(name: Column, value: Column) -> Column:
     """One member of an actor record as one or more columns."""
-    plain_list = is_list(value) & ~F.exists(_list(value), lambda v: _nested(v) | is_json_null(v))
+    plain_list = F.coalesce(~F.exists(list_of(value), lambda v: _nested(v) | is_json_null(v)), F.lit(False))
     extras = F.filter(
         F.array(
             _entry(name, _path(value, "$.code")),
@@ -109,7 +108,7 @@ def _opened(node: Column) -> Column:
         F.map_entries(members(node["value"])),
         lambda m: F.struct(F.concat(prefix, m["key"]).alias("key"), m["value"].alias("value")),
     )
-    return F.when(is_object(node["value"]), inner).otherwise(F.array(node))
+    return F.coalesce(inner, F.array(node))
 
 
 def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields", depth: int = 6) -> DataFrame:
@@ -121,12 +120,12 @@ def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields", de
 
     def has_text(n: Column) -> Column:
         node = n["value"]
-        return ~is_json_null(node) & ~(is_list(node) & (F.size(_list(node)) == 0))
+        return ~is_json_null(node) & (F.coalesce(F.size(list_of(node)), F.lit(1)) != 0)
 
     def leaf(n: Column) -> Column:
         node = n["value"]
-        plain = is_list(node) & ~F.exists(_list(node), _nested)
-        text = F.when(_nested(node) & ~plain, variant_json(node)).otherwise(variant_cell(node, depth=1, skip_blank=True))
+        listed = F.exists(list_of(node), _nested)
+        text = F.when(listed, variant_json(node)).otherwise(variant_cell(node, depth=1, skip_blank=True))
         return _entry(n["key"], text)
 
     opened = unnested(table, value, _opened, depth=depth, into="_nodes")
@@ -156,14 +155,15 @@ def _texts_by_language(value: Column) -> Column:
 
 def _notice_entries(name: Column, value: Column) -> Column:
     text = codes.pick_language(_texts_by_language(value))
-    winners = codes.distinct_parts(F.transform(split_literal(text, SEPARATOR), strip))
-    listed = codes.distinct_parts(F.transform(_list(value), lambda v: variant_cell(v)))
+    names = codes.distinct_parts(F.transform(split_literal(text, SEPARATOR), strip))
+    listed = codes.distinct_parts(F.transform(list_of(value), lambda v: variant_cell(v)))
     return (
         F.when(name == "links", F.array().cast(_ENTRIES))
         .when(
             is_object(value) & (name == "winner-name"),
-            F.array(
-                _entry(F.lit("winner_count"), F.size(winners)), _entry(name, F.array_join(winners, SEPARATOR))
+            let(
+                names,
+                lambda w: F.array(_entry(F.lit("winner_count"), F.size(w)), _entry(name, F.array_join(w, SEPARATOR))),
             ),
         )
         .when(is_object(value), F.array(_entry(name, text)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import is_object, variant_cell
+from rollbook.functions.text import is_object, members, variant_cell
 
 #: Documents of one page have ordinals ``page * PAGE_STEP + position``.
 PAGE_STEP = 1 << 32
@@ -48,11 +48,6 @@ def page_documents(bodies: DataFrame, *path: str) -> DataFrame:
     )
 
 
-def members(doc: Column) -> Column:
-    """A JSON object as a map of its members; NULL for anything else."""
-    return F.try_variant_get(doc, "$", "map<string,variant>")
-
-
 def cells(doc: Column, *, skip_blank: bool = False) -> Column:
     """A JSON object as ragged fields, every member rendered as one cell."""
     return F.transform_values(members(doc), lambda _, v: variant_cell(v, skip_blank=skip_blank))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions import codes
-from rollbook.functions.text import SEPARATOR, is_list, merge_maps, split_literal, strip, variant_cell
+from rollbook.functions.text import SEPARATOR, let, merge_maps, split_literal, strip, variant_cell
 from rollbook.sizing import BROADCAST_ROWS
 from rollbook.sources import selection
 from rollbook.sources.landing import PAGE_STEP, as_rows, page_number, read_bodies, strip_nul
@@ -37,10 +37,8 @@ def _services(doc: Column) -> Column:
     blocks = F.try_variant_get(doc, "$.Services", "array<map<string,variant>>")
 
     def listed(value: Column) -> Column:
-        members = F.when(is_list(value), F.try_variant_get(value, "$", "array<string>")).otherwise(
-            F.array(value.cast("string"))
-        )
-        return F.transform(members, lambda c: strip(F.coalesce(c, F.lit(""))))
+        codes_ = F.coalesce(F.try_variant_get(value, "$", "array<string>"), F.array(value.cast("string")))
+        return F.transform(codes_, lambda c: strip(F.coalesce(c, F.lit(""))))
 
     pairs = F.flatten(
         F.transform(
@@ -48,18 +46,16 @@ def _services(doc: Column) -> Column:
             lambda m: F.map_entries(F.transform_values(m, lambda _, v: listed(v))),
         )
     )
-    countries = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_entries(
-        F.transform(
-            countries,
-            lambda c: F.struct(
-                c.alias("key"),
-                codes.distinct_parts(
-                    F.flatten(F.transform(F.filter(pairs, lambda p: p["key"] == c), lambda p: p["value"]))
-                ).alias("value"),
-            ),
-        )
-    )
+
+    def by_country(all_: Column) -> Column:
+        countries = F.array_distinct(F.transform(all_, lambda p: p["key"]))
+        return F.transform(countries, lambda c: F.struct(c.alias("key"), codes_of(all_, c).alias("value")))
+
+    def codes_of(all_: Column, country: Column) -> Column:
+        blocks_ = F.filter(all_, lambda p: p["key"] == country)
+        return codes.distinct_parts(F.flatten(F.transform(blocks_, lambda p: p["value"])))
+
+    return F.map_from_entries(let(pairs, by_country))
 
 
 def institution_rows(entities: DataFrame, select: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.keys import printed_uid
-from rollbook.functions.text import SEPARATOR, is_list, is_object, merge_maps, strip
-from rollbook.sources.landing import PAGE_STEP, members, page_number, unnested
+from rollbook.functions.text import SEPARATOR, list_of, members, merge_maps, strip
+from rollbook.sources.landing import PAGE_STEP, page_number, unnested
 
 # Elements that hold one organisation, and wrappers without meaning.
 ITEM_TAG = "uidEntitySearchResultItem"
@@ -28,11 +28,8 @@ def _opened(node: Column) -> Column:
     def copy(v: Column) -> Column:
         return F.struct(node["key"].alias("key"), v.alias("value"))
 
-    return (
-        F.when(is_object(node["value"]), F.transform(F.map_entries(members(node["value"])), child))
-        .when(is_list(node["value"]), F.transform(F.try_variant_get(node["value"], "$", "array<variant>"), copy))
-        .otherwise(F.array(node))
-    )
+    children = F.transform(F.map_entries(members(node["value"])), child)
+    return F.coalesce(children, F.transform(list_of(node["value"]), copy), F.array(node))
 
 
 def organisation_fields(table: DataFrame, doc: Column, *, depth: int = 12) -> DataFrame:
