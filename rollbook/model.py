@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FIELDS = "map<string,string>"
 ROWS = f"ordinal bigint, fields {FIELDS}"
-SNAPSHOT_ROWS = f"row_key string, ordinal bigint, diff_hash string, row_hash string, fields {FIELDS}"
+SNAPSHOT_ROWS = f"row_key string, ordinal bigint, diff_hash string, row_hash string, names string, fields {FIELDS}"
 SNAPSHOTS = f"{SNAPSHOT_ROWS}, source string, stamp string"
 CHANGES = (
     f"against string, kind string, row_key string, columns array<string>, row {FIELDS}, previous {FIELDS}, "

@@ -60,10 +60,9 @@ def _claims(fields: Column) -> Column:
 def match_keys(rows: DataFrame, columns: DataFrame, *, keep: Sequence[str] = ROW_ID) -> DataFrame:
     """Every key under which a row can be found: ``keep..., rank, kind, column, value, key``.
 
-    ``columns`` is :func:`register_columns`; it has one row per register, so it is
-    broadcast.  Registers that are not listed have nothing to match and drop out.
+    ``columns`` is :func:`register_columns`, one row per register.  Registers that are not listed have nothing to match and drop out.
     """
-    claimed = rows.join(F.broadcast(columns), "source").select(
+    claimed = rows.join(broadcast_if_small(columns), "source").select(
         *keep, F.explode(_claims(F.col("fields"))).alias("claim")
     )
     flat = claimed.select(*keep, "claim.rank", "claim.kind", "claim.column", "claim.value", "claim.key")
@@ -223,12 +222,13 @@ def find_subject(rows: DataFrame, needle: str, register: Register) -> tuple[Data
     )
     if not by_identifier.isEmpty():
         return by_identifier, "identifier"
+    wanted_name = rows.sparkSession.range(1).select(keys.name_key(F.lit(needle))).first()[0]
     columns = F.array(*map(F.lit, register.name_columns)).cast("array<string>")
-    listed = rows.select("*", F.lit(register.key).alias("_register"), columns.alias("_names"))
-    parts = F.flatten(F.transform("_names", lambda c: split_literal(F.coalesce(fields[c], F.lit("")), SEPARATOR)))
+    parts = F.flatten(F.transform(columns, lambda c: split_literal(F.coalesce(fields[c], F.lit("")), SEPARATOR)))
     named = (
-        listed.select("ordinal", F.explode(parts).alias("part"))
-        .filter((keys.name_key("part") == keys.name_key(F.lit(needle))) & (keys.name_key("part") != ""))
+        rows.select("ordinal", F.explode(parts).alias("part"))
+        .withColumn("key", keys.name_key("part"))
+        .filter((F.col("key") == wanted_name) & (F.col("key") != ""))
         .select("ordinal")
         .distinct()
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import shorten, split_literal, strip
+from rollbook.model import register
 
 
 def _parts(cell: Column, separator: str | None) -> Column:
@@ -75,6 +76,12 @@ def list_enums(rows: DataFrame, separators: Mapping[str, str | None]) -> DataFra
     return exploded.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def list_register_enums(rows: DataFrame, key: str) -> DataFrame:
+    """Counts of all columns that a register declares worth enumerating."""
+    declared = register(key)
+    return list_enums(rows, {name: declared.multi_value_fields.get(name) for name in declared.enum_fields})
+
+
 def merge_counts(*parts: DataFrame) -> DataFrame:
     """Sum partial ``value, n`` tables."""
     total, *others = parts
@@ -106,8 +113,10 @@ def profile(rows: DataFrame, *, samples: int = 3, width: int = 60) -> DataFrame:
         F.min("first_seen").alias("first_seen"),
     )
     # A rank filter is applied before the exchange too, so a field with many
-    # distinct values sends only ``samples`` rows per task.
-    order = Window.partitionBy("field").orderBy("first_seen", "sample")
+    # distinct values sends only ``samples`` rows per task.  Ordering by the count
+    # as well makes both branches need the same columns of ``shown``, whose
+    # exchange is then computed once and reused.
+    order = Window.partitionBy("field").orderBy("first_seen", F.desc("n"), "sample")
     firsts = (
         shown.filter(F.col("values") > 0)
         .withColumn("rank", F.row_number().over(order))

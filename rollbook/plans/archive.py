@@ -121,7 +121,10 @@ class Archive:
             raise SnapshotExists(f"{source} already has a snapshot {stamp}")
         path = self._partition("snapshots", source, stamp)
         keyed = sn.with_keys(rows.select("ordinal", "fields"), key_columns)
-        keyed.select("row_key", "ordinal", "diff_hash", "row_hash", "fields").write.mode("overwrite").parquet(path)
+        # Rows of one shape share the text of their column names, which Parquet
+        # stores once; listing the columns then reads no maps.
+        named = keyed.withColumn("names", F.array_join(F.map_keys("fields"), keys.KEY_SEPARATOR))
+        named.select("row_key", "ordinal", "diff_hash", "row_hash", "names", "fields").write.mode("overwrite").parquet(path)
         written = self.spark.read.schema(model.SNAPSHOT_ROWS).parquet(path)
         digest = sn.body_digest(written).first()
         duplicates = sn.duplicate_keys(written).first()["duplicate_keys"]
@@ -136,7 +139,7 @@ class Archive:
             key_columns,
             str(meta.get("select") or ""),
             str(meta.get("query") or ""),
-            column_names(written)[:200],
+            _listed_columns(written)[:200],
             list(meta.get("warnings") or []),
             str(meta.get("run_id") or ""),
             register.title,
@@ -170,7 +173,8 @@ class Archive:
         without rows both show.
         """
         retired = self._table("retired", model.RETIRED)
-        data = _recomputed(self.snapshots().join(F.broadcast(retired), ["source", "stamp"], "left_anti"), "source", "stamp")
+        kept = self.snapshots().join(broadcast_if_small(retired), ["source", "stamp"], "left_anti")
+        data = _recomputed(kept, "source", "stamp")
         recorded = self.catalog().select("source", "stamp", F.col("body_digest").alias("recorded"), F.col("row_count").alias("expected"))
         joined = data.join(recorded, ["source", "stamp"], "full_outer")
         empty = (F.col("expected") == 0) & F.col("body_digest").isNull()
@@ -269,6 +273,13 @@ class Archive:
         self._append("run_log", records, model.RUN_LOG)
 
 
+def _listed_columns(written: DataFrame) -> list[str]:
+    """Columns in first-seen order, from the shapes of the rows."""
+    shapes = written.groupBy("names").agg(F.min("ordinal").alias("ordinal")).filter("names <> ''")
+    parts = F.split("names", keys.KEY_SEPARATOR)
+    return column_names(shapes.select("ordinal", F.map_from_arrays(parts, parts).alias("fields")))
+
+
 def _recomputed(rows: DataFrame, *by: str) -> DataFrame:
     """Digest from the stored fields, not from the stored hashes."""
     return sn.body_digest(rows.select(*by, keys.row_hash(F.col("fields")).alias("row_hash")), *by)

@@ -10,6 +10,7 @@ from rollbook.functions import keys
 from rollbook.operators import flatten as fl
 from rollbook.operators import history
 from rollbook.operators import snapshots as sn
+from rollbook.sizing import spread
 from rollbook.plans.queries.base import (
     LINE_SPAN,
     SQL_LINE_ORDER,
@@ -76,9 +77,9 @@ def body_digest(spark, folder):
 
 
 def _keyed_lines(spark, folder):
-    lines = table(spark, folder, "lineitem").withColumn("ord", line_order())
+    lines = spread(table(spark, folder, "lineitem")).withColumn("ord", line_order())
     rows = rows_of(lines, "ord", {"order": "l_orderkey", "line": "l_linenumber", "part": "l_partkey"})
-    return sn.with_keys(rows, ["order", "line"])
+    return sn.with_keys(rows, ["order", "line"]).select("row_key", "ordinal", "fields")
 
 
 @query(

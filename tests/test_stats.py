@@ -21,6 +21,13 @@ def test_enums_in_one_pass(rows):
     assert {(r["field"], r["value"], r["n"]) for r in out.collect()} == {("a", "x", 2), ("b", "p", 1), ("b", "q", 1)}
 
 
+def test_declared_enums_of_a_register(rows):
+    out = stats.list_register_enums(rows([{"sponsorType": "x", "trialCountries": "DE:1 | AT:2"}, {"trialCountries": "DE:1"}]), "ctis")
+    assert {(r["field"], r["value"]): r["n"] for r in out.collect()} == {
+        ("sponsorType", "x"): 1, ("trialCountries", "DE:1"): 2, ("trialCountries", "AT:2"): 1,
+    }
+
+
 def test_document_counts_accept_either_spelling(rows):
     docs = rows([{"City": "Bern"}, {"Type": "bank"}, {"Type": "bank"}])
     assert pairs(stats.count_document_values(docs, "City")) == [("Bern", 1)]
