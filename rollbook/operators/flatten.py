@@ -167,36 +167,41 @@ def assemble_blocks(
     """
     layout = layout or BlockLayout()
     key = [*scope, "entity"]
+    name = F.coalesce("bucket", F.lit("duplicateParent"))
     by_bucket = (
-        cells.repartition(*key)
+        cells.withColumn("bucket", name)
+        .repartition(*key)
         .groupBy(*key, "bucket")
-        .agg(F.min("first_ordinal").alias("first_ordinal"), F.collect_list(F.struct("piece", "n", "head", "cells")).alias("pieces"))
+        .agg(
+            F.min("first_ordinal").alias("first_ordinal"),
+            F.collect_list(F.struct("piece", "n", "head", "cells")).alias("pieces"),
+        )
         .withColumn("pieces", _sorted(F.col("pieces"), "piece"))
+        .withColumn("first_parent", F.get(F.filter("pieces", lambda p: p["head"].isNotNull()), F.lit(0)))
     )
     child_drop = [*layout.drop, layout.root_field, layout.group_field]
-    pieces = F.col("pieces")
-    chunk = "array<struct<n:int,cells:map<string,string>>>"
+    pieces, first_parent = F.col("pieces"), F.col("first_parent")
 
     def as_chunk(n: Column, cells_: Column) -> Column:
         return F.struct(n.cast("int").alias("n"), cells_.alias("cells"))
 
-    def later_parents(piece: Column, i: Column) -> Column:
-        # The first parent of a later piece is not the first parent of the entity.
-        head = F.array(as_chunk(F.lit(1), F.map_filter(piece["head"], lambda k, _: ~k.isin(child_drop))))
-        tail = F.array(as_chunk(piece["n"] - 1, piece["cells"]))
-        empty = F.array().cast(chunk)
-        return F.concat(F.when(i > 0, head).otherwise(empty), F.when(piece["n"] > 1, tail).otherwise(empty))
+    def whole(piece: Column) -> Column:
+        return as_chunk(piece["n"], piece["cells"])
+
+    def without_parent(piece: Column) -> Column:
+        # Only the first parent of the entity gives the row its own columns; the
+        # first parent of a later piece is one of those that follow.
+        head = as_chunk(F.lit(1), F.map_filter(piece["head"], lambda k, _: ~k.isin(child_drop)))
+        tail = as_chunk(piece["n"] - 1, piece["cells"])
+        later = F.when(piece["piece"] != first_parent["piece"], head)
+        parents = F.array_compact(F.array(later, F.when(piece["n"] > 1, tail)))
+        return F.when(piece["head"].isNull(), F.array(whole(piece))).otherwise(parents)
 
-    parent_bucket = F.col("bucket").isNull()
-    chunks = F.when(parent_bucket, F.flatten(F.transform(pieces, later_parents))).otherwise(
-        F.transform(pieces, lambda p: as_chunk(p["n"], p["cells"]))
+    chunks = F.when(first_parent.isNull(), F.transform(pieces, whole)).otherwise(
+        F.flatten(F.transform(pieces, without_parent))
     )
     buckets = by_bucket.select(
-        *key,
-        "first_ordinal",
-        F.when(parent_bucket, pieces[0]["head"]).alias("parent"),
-        F.coalesce("bucket", F.lit("duplicateParent")).alias("bucket"),
-        chunks.alias("chunks"),
+        *key, "first_ordinal", first_parent["head"].alias("parent"), "bucket", chunks.alias("chunks")
     ).select(
         *key,
         "first_ordinal",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import blank_to_null
 from rollbook.operators.flatten import BlockLayout, flatten_auto
+from rollbook.session import materialise
 from rollbook.sizing import broadcast_if_small
 from rollbook.sources.landing import as_rows, cells, page_documents, read_bodies
 
@@ -38,7 +39,8 @@ def select_solr(
     matching = docs.filter(F.lower(fields[field]) == value.lower())
     if not blocks:
         return matching
-    roots = matching.select(fields[layout.id_field].alias("_root")).distinct()
+    # Written once: counting and joining them would otherwise parse the pages again.
+    roots = materialise(matching.select(fields[layout.id_field].alias("_root")).distinct(), "roots")
     keyed = docs.withColumn("_root", blank_to_null(fields[layout.root_field]))
     return keyed.join(broadcast_if_small(roots), "_root", "left_semi").drop("_root")
 

@@ -48,6 +48,16 @@ def test_second_parent_becomes_a_bucket(rows, dicts):
         assert row["duplicateParent_extra"] == " | x"
 
 
+def test_a_bucket_named_like_the_one_for_later_parents_loses_nothing(rows, dicts):
+    named = {**ADVICE, "entity_type": "duplicateParent"}
+    (row,) = dicts(flatten_blocks(rows([FIRM, {**FIRM, "name": "Twin"}, named])))
+    assert row["name"] == "Alder Bank" and row["duplicateParent_count"] == "2"
+    assert sorted(row["duplicateParent_service"].split(" | ")) == ["", "advice"]
+    assert sorted(row["duplicateParent_name"].split(" | ")) == ["", "Twin"]
+    (row,) = dicts(flatten_blocks(rows([FIRM, named])))
+    assert row["name"] == "Alder Bank" and row["duplicateParent_count"] == "1"
+
+
 def test_documents_without_root_fall_back_to_id(rows, dicts):
     out = dicts(flatten_blocks(rows([{"id": "x", "type_s": "parent", "a": "1"}, {"a": "2"}, {"a": "3", "_root_": ""}])))
     assert out[0] == {"id": "x", "type_s": "parent", "a": "1"}
