@@ -42,7 +42,10 @@ def fold(value: Column) -> Column:
 
     Accents stay significant.
     """
-    return F.translate(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    text = F.lower(value)
+    for letter, plain in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return text
 
 
 def blank_to_null(value: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rollbook.functions.text import fold, strip
+from rollbook.functions.text import fold, let, strip
 
 FieldTests = Mapping[str, str] | Sequence[tuple[str, str]]
 
@@ -31,11 +31,16 @@ def contains_condition(needles: Iterable[str]) -> Column:
 
 
 def _mention_all(values: Column, needles: Iterable[str]) -> Column:
-    def mentions(needle: str) -> Column:
-        wanted = fold(F.lit(needle))
-        return F.exists(values, lambda v: F.contains(fold(v), wanted))
+    wanted = [fold(F.lit(n)) for n in needles if n]
 
-    return reduce(Column.__and__, [mentions(n) for n in needles if n], F.lit(True))
+    def all_mentioned(folded: Column) -> Column:
+        return reduce(Column.__and__, [_mentioned(folded, w) for w in wanted])
+
+    return let(F.transform(values, fold), all_mentioned) if wanted else F.lit(True)
+
+
+def _mentioned(folded: Column, needle: Column) -> Column:
+    return F.exists(folded, lambda v: F.contains(v, needle))
 
 
 def field_condition(tests: FieldTests) -> Column:

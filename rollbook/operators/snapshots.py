@@ -42,6 +42,14 @@ def first_copies(keyed: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def export_order(keyed: DataFrame) -> DataFrame:
+    """Rows in canonical order for an export: ranges of keys over tasks, sorted within.
+
+    Equal snapshots give the same sequence of rows.  Not needed by any job here.
+    """
+    return keyed.repartitionByRange("row_key", "row_hash").sortWithinPartitions("row_key", "row_hash")
+
+
 def duplicate_keys(keyed: DataFrame, *by: str) -> DataFrame:
     """How many rows repeat the key of an earlier row."""
     counts = keyed.groupBy(*by, "row_key").agg(F.count(F.lit(1)).alias("copies"))

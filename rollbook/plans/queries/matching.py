@@ -9,6 +9,7 @@ from rollbook.model import register
 from rollbook.operators import matching as mt
 from rollbook.operators import quality
 from rollbook.operators import snapshots as sn
+from rollbook.sizing import spread
 from rollbook.plans.queries.base import money, query, rows_of, sql_money, table
 
 # Customers are institutions with a printed number and a legal form by segment.
@@ -22,7 +23,7 @@ def _nine(column):
 
 
 def _institutions(spark, folder):
-    customer = table(spark, folder, "customer")
+    customer = spread(table(spark, folder, "customer"))
     nine = _nine("c_custkey")
     form = F.create_map(*[F.lit(x) for pair in _FORMS.items() for x in pair])[F.col("c_mktsegment")]
     printed = F.concat(F.lit("CHE-"), F.substring(nine, 1, 3), F.lit("."), F.substring(nine, 4, 3), F.lit("."), F.substring(nine, 7, 3))

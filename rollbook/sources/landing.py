@@ -31,6 +31,37 @@ def read_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return text.select(name.alias("file"), page_number(name).alias("page"), strip_nul(F.col("value")).alias("body"))
 
 
+#: One line per landed body, as the recorder of a fetch writes it.
+MANIFEST = (
+    "seq bigint, file string, url string, status int, content_type string, content_length bigint, "
+    "last_modified string, fetched_at string"
+)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The requests of a fetch: ``url, status, bytes`` and what else was noted."""
+    return spark.read.schema(MANIFEST).json(path).withColumn("bytes", F.col("content_length"))
+
+
+#: A run as reported by the tool that landed the files.
+RUN_RECORD = (
+    "run_id string, started_at string, finished_at string, sources bigint, ok bigint, failed bigint, skipped bigint, "
+    "rows bigint, added bigint, changed bigint, removed bigint, seconds double, phases map<string,double>, "
+    "http struct<requests:bigint,retries:bigint,failures:bigint,bytes_in:bigint,seconds_requesting:double,"
+    "seconds_waiting:double,by_status:map<string,bigint>,by_host:map<string,bigint>,by_outcome:map<string,bigint>,"
+    "slowest:array<struct<seconds:double,method:string,url:string>>>"
+)
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run file, newest last by id; a truncated file stays, flagged."""
+    from rollbook.operators.stats import readable_runs
+
+    bodies = read_bodies(spark, path)
+    texts = bodies.select(F.regexp_replace("file", r"\.json$", "").alias("run_id"), "body")
+    return readable_runs(texts, RUN_RECORD)
+
+
 def page_documents(bodies: DataFrame, *path: str) -> DataFrame:
     """``ordinal, doc``: the array at ``path`` of every page, in page order.
 

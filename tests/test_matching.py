@@ -98,6 +98,17 @@ def test_scope_and_coverage(rows, watch, columns):
     assert [r["entity_id"] for r in mt.unmatched(detail).collect()] == ["ghost"]
 
 
+def test_a_large_watchlist_matches_the_same_without_broadcast(rows, watch, columns, monkeypatch):
+    items = [{"UID": f"CHE-{i:09d}" if i % 3 else "", "Name": "Hot AG" if i % 3 == 0 else f"Firm {i} GmbH"} for i in range(300)]
+    w = watch({"id": "hot", "label": "Hot"}, *[{"id": f"e{i}", "label": "", "identifiers": [f"{i:09d}"]} for i in range(0, 300, 7)])
+    table = rows(items, source="finma")
+    small = {(r["ordinal"], r["entity_id"]) for r in mt.match_rows(table, w, columns).collect()}
+    monkeypatch.setattr(mt, "broadcast_if_small", lambda df: df.hint("merge"))
+    large = {(r["ordinal"], r["entity_id"]) for r in mt.match_rows(table, w, columns).collect()}
+    expected = {(i, "hot") for i in range(0, 300, 3)} | {(i, f"e{i}") for i in range(0, 300, 7) if i % 3}
+    assert small == large == expected
+
+
 def test_one_lei_across_three_registers(rows, watch, columns):
     lei = "969500E07BR6468F5910"
     table = (

@@ -131,3 +131,9 @@ def test_summary_notes(rows, spark):
 
     out = sn.summarise(diff(rows, OLD, OLD[:2]), meta(["UID"], 0), meta(["UID"], 2)).first()
     assert (out["removed"], out["old_rows"], len(out["notes"])) == (1, 3, 1) and "UID" in out["notes"][0]
+
+
+def test_export_order_is_the_same_for_equal_snapshots(rows):
+    one = sn.export_order(sn.with_keys(rows(OLD), ["UID"])).select("row_key", "row_hash").collect()
+    two = sn.export_order(sn.with_keys(rows(OLD[::-1]).repartition(3), ["UID"])).select("row_key", "row_hash").collect()
+    assert one == two and [r["row_key"] for r in one] == ["1", "2", "3"]

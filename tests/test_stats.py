@@ -80,3 +80,18 @@ def test_run_log_reports(spark):
     texts = spark.createDataFrame([("a", '{"ok": 1}'), ("b", '{"ok": ')], "run_id string, body string")
     out = {x["run_id"]: x for x in stats.readable_runs(texts, "ok int").collect()}
     assert out["a"]["record"]["ok"] == 1 and out["b"]["unreadable"] and out["b"]["record"] is None
+
+
+def test_manifests_and_run_records_from_disk(spark, tmp_path):
+    from rollbook.sources.landing import read_manifest, read_run_records
+
+    manifest = tmp_path / "manifest.jsonl"
+    manifest.write_text('{"seq": 1, "url": "https://a.org/x", "status": 200, "content_length": 7}\n{"seq": 2, "url": "https://a.org/y", "status": 200, "content_length": 3}\n')
+    out = {(r["level"], r["host"]): r["bytes_in"] for r in stats.fetch_log_rollup(read_manifest(spark, str(manifest))).collect()}
+    assert out[("host", "a.org")] == 10
+    runs = tmp_path / "runs"
+    runs.mkdir()
+    (runs / "r1.json").write_text('{"ok": 2, "http": {"by_host": {"a.org": 3}, "slowest": [{"seconds": 1.5, "url": "u"}]}}')
+    (runs / "r2.json").write_text('{"ok": ')
+    read = {r["run_id"]: r for r in read_run_records(spark, str(runs)).collect()}
+    assert read["r1"]["record"]["http"]["by_host"] == {"a.org": 3} and read["r2"]["unreadable"]
