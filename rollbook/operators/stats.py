@@ -23,7 +23,9 @@ def ordered_counts(counts: DataFrame) -> DataFrame:
 
 def count_cells(table: DataFrame, cell: Column, *, split: str | None = None) -> DataFrame:
     """``value, n`` for a column expression; ``split`` counts the parts of a cell."""
-    values = table.select(F.explode(_parts(F.coalesce(cell, F.lit("")), split)).alias("value"))
+    text = F.coalesce(cell, F.lit(""))
+    value = F.explode(_parts(text, split)) if split else strip(text)
+    values = table.select(value.alias("value")).filter("value <> ''")
     return values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

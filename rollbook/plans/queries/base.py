@@ -91,8 +91,11 @@ SQL_LINE_ORDER = f"""(CAST(l_linenumber AS BIGINT) * {LINE_SPAN} + CAST('0x' ||
     l_suppkey, l_linenumber, {sql_money('l_extendedprice')}, l_returnflag, {sql_day('l_shipdate')})), 1, 13) AS BIGINT))"""
 
 
-def order_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as parent documents, lines as children in a bucket per return flag."""
+def order_documents(spark: SparkSession, folder: str, lines: str = "true") -> DataFrame:
+    """Orders as parent documents, lines as children in a bucket per return flag.
+
+    ``lines`` is a condition on the lines that have been published.
+    """
     root = lambda key: F.concat(F.lit("o"), F.col(key).cast("string"))
     parents = spread(table(spark, folder, "orders")).select(
         F.lit(0).cast("bigint").alias("ordinal"),
@@ -104,7 +107,7 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
             }
         ).alias("fields"),
     )
-    children = spread(table(spark, folder, "lineitem")).select(
+    children = spread(table(spark, folder, "lineitem").filter(lines)).select(
         line_order().alias("ordinal"),
         map_of(
             {

@@ -182,9 +182,7 @@ def diff_flattened_orders(spark, folder):
     """
     later = order_documents(spark, folder)
     fields = F.col("fields")
-    lines = table(spark, folder, "lineitem")
-    open_lines = lines.filter("l_linestatus = 'O'").select(line_order().alias("ordinal")).distinct()
-    earlier = later.join(open_lines, "ordinal", "left_anti")
+    earlier = order_documents(spark, folder, "l_linestatus <> 'O'")
     urgent = (fields["type_s"] == "parent") & (fields["priority"] == "1-URGENT")
     finished = F.transform_values(fields, lambda k, v: F.when(k == "status", "F").otherwise(v))
     later = later.withColumn("fields", F.when(urgent, finished).otherwise(fields))
