@@ -10,7 +10,7 @@ from rollbook.operators import matching as mt
 from rollbook.operators import quality
 from rollbook.operators import snapshots as sn
 from rollbook.sizing import spread
-from rollbook.plans.queries.base import money, query, rows_of, sql_money, table
+from rollbook.plans.queries.base import money, query, rows_of, table
 
 # Customers are institutions with a printed number and a legal form by segment.
 _FORMS = {"BUILDING": " AG", "MACHINERY": " S.A.", "FURNITURE": " G.m.b.H.", "HOUSEHOLD": " Ltd., Inc.", "AUTOMOBILE": ""}

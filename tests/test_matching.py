@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions import keys
-from rollbook.model import WATCHLIST, Register, register
+from rollbook.model import WATCHLIST, register
 from rollbook.operators import matching as mt
 from rollbook.sources.watchlists import load_watchlist, read_watchlist
 

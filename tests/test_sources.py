@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from rollbook.sources import csv_files, documents, json_pages, landing, payment_institutions, selection, uid_xml
 
