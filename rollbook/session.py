@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -24,20 +26,31 @@ def local_session(cores: int | str = 8, *, app: str = "rollbook", memory: str =
     )
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
+def shared_folder(spark: SparkSession, purpose: str, *, root: str | None = None) -> str:
     """A fresh path for a table that later stages read back.
 
-    On a cluster the parent is the folder named by ``spark.checkpoint.dir``, which
-    every executor can reach.  Only where that setting is absent (tests, a laptop)
-    does the path fall back to a temporary folder of this machine.
+    The parent is ``root``, or else the folder that ``spark.checkpoint.dir`` names, which
+    every executor can reach.  Where neither is given the path is a temporary folder, but
+    only if driver and executors are one process; a cluster without a shared folder is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _one_process(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "local")
+    return master == "local" or master.startswith("local[")
+
+
 @functools.cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="rollbook-")
+    folder = tempfile.mkdtemp(prefix="rollbook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame, purpose: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
