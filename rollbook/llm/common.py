@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.session import materialise
+
 #: What counts as a word: a run of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,3 +28,18 @@ def stratified(df: DataFrame, label: str, per_class: int, *, key: str) -> DataFr
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
     point = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.where(point < share)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *columns: str) -> DataFrame:
+    """``key, label`` and ``columns`` of about ``per_class`` documents of each label, 0 and 1.
+
+    The sample is drawn from ``labels`` (``doc_id`` and the label) before the join, so that
+    the documents, of which the others are not moved, are met with few ids.  Of rows that share an
+    id the one with the smallest columns is taken; labels that contradict each other are left out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("key"))
+    known = known.agg(F.min(label).cast("int").alias("label"), F.max(label).alias("most")).where("label = most").drop("most")
+    chosen = materialise(stratified(known, "label", per_class, key="key"), "sample")
+    rows = docs.select(F.col("doc_id").alias("key"), *columns).join(chosen, "key")
+    least = F.min(F.struct(*columns)).alias("row")
+    return rows.groupBy("key", "label").agg(least).select("key", "label", "row.*")

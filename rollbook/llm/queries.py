@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontamination, langid, mixture, simhash, training_order
+from rollbook.llm import decontamination, langid, mixture, quality, simhash, toxicity, training_order
 from rollbook.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,15 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = in_fold(F.col("doc_id"), 5, 0)
+    machine = quality.learn(docs, labels.where(~held).select("doc_id", "quality"), chars="n_chars")
+    scored = quality.score(docs.withColumn("held_out", held), machine, "doc_id", "held_out", chars="n_chars")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query()
 def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
     return training_order.training_order(table(spark, folder, "documents"))
@@ -49,6 +58,15 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = in_fold(F.col("doc_id"), 4, 2)
+    model = toxicity.learn(docs, labels.where(~held).select("doc_id", "toxic"))
+    scored = toxicity.score(docs.withColumn("held_out", held), model, "doc_id", "held_out")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query()
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
