@@ -92,13 +92,13 @@ def _searcher(k: int):
     def search(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(queries) and len(vectors):
-            for width, same in queries.groupby(queries.v.map(len)):
+            for width, same in queries.groupby(queries.q.map(len)):
                 fits = vectors[vectors.v.map(len) == width]
                 if not len(fits):
                     continue
                 ids, tree = fits.vec_id.to_numpy(), BallTree(np.array(fits.v.tolist(), np.float64))
                 for q in same.itertuples():
-                    hits = tree.search(ids, np.array(q.v, np.float64), q.query_id, k, q.floor)
+                    hits = tree.search(ids, np.array(q.q, np.float64), q.query_id, k, q.floor)
                     found += [(q.query_id, vec, -score) for score, vec in hits]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -126,21 +126,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     blocks = max(1, -(-(counts[1] or 0) // BLOCK_QUERIES))
     deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(n)).cast("int")
     rows = rows.withColumn("shard", deal("shard", shards)).withColumn("block", deal("block", blocks))
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "shard", "block")
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("shard").alias("to"), F.col("block").alias("of"))
 
     # Each query in its own shard: the queries of a shard are spread over blocks like anywhere else.
     everywhere = rows.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     found_type = "query_id bigint, vec_id bigint, score bigint"
 
     def visit(queries: DataFrame) -> DataFrame:
-        groups = queries.select("query_id", "v", "floor", "shard", "block").groupBy("shard", "block")
+        groups = queries.select("query_id", "q", "floor", "to", "of").groupBy("to", "of")
         return groups.cogroup(everywhere.groupBy("shard", "block")).applyInPandas(_searcher(k), found_type)
 
     first = materialise(visit(asked.withColumn("floor", F.lit(NONE))), "first")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     floors = floors.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("kth"))
     rest = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(NONE)))
-    others = F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> shard)")
-    rest = rest.select("query_id", "v", "floor", "block", F.explode(others).alias("shard"))
+    others = F.expr(f"filter(sequence(0, {shards - 1}), s -> s <> to)")
+    rest = rest.select("query_id", "q", "floor", "of", F.explode(others).alias("to"))
     found = first.unionByName(visit(rest)) if shards > 1 else first
     return _rank(found, k).select("query_id", "rank", "vec_id", "score")
