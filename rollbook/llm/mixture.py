@@ -10,7 +10,7 @@ interval), so neither ranking nor scheduling gathers a source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,8 @@ BLOCK_WORDS = 512
 POINT_BITS = 40
 #: Hash ranges into which a source is split for running sums.
 _RANGES = 1024
+#: Slots that are ranked together.
+_RUN = 4096
 SEED = 20240601
 
 
@@ -81,16 +83,25 @@ def _points_below(slot: str, bound: str) -> str:
     return f"aggregate(transform({bits}, k -> {inside}), 0L, (n, x) -> n + x)"
 
 
-def schedule(spark, targets: DataFrame) -> DataFrame:
-    """``source, rank, slot`` for every slot: the points mapped through the cumulative targets."""
+def schedule(spark: SparkSession, targets: DataFrame) -> DataFrame:
+    """``source, rank, slot`` for every slot: the points mapped through the cumulative targets.
+
+    Slots are ranked within runs of ``_RUN``; how many of a source's slots lie before a run is the closed
+    form, once for every run and source.
+    """
     total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = spark.range(0, int(-(-total // BLOCK_WORDS))).select(F.col("id").alias("slot"), F.expr(_point("id")).alias("point"))
-    plan = targets.where("high > low").agg(F.sort_array(F.collect_list(F.struct("low", "high", "source"))).alias("plan"))
-    slots = slots.withColumn("plan", plan.scalar())
+    n = int(-(-total // BLOCK_WORDS))
+    plan = targets.where("high > low").agg(F.sort_array(F.collect_list(F.struct("low", "high", "source"))).alias("plan")).scalar()
+    slots = spark.range(0, n).select(F.col("id").alias("slot"), F.expr(_point("id")).alias("point")).withColumn("plan", plan)
     own = F.expr("element_at(filter(plan, p -> p.low <= point and point < p.high), 1)")
-    slots = slots.select("slot", own.alias("own"))
-    rank = F.expr(f"{_points_below('slot', 'own.high')} - {_points_below('slot', 'own.low')}")
-    return slots.select("slot", F.col("own.source").alias("source"), rank.alias("rank"))
+    slots = slots.select("slot", F.expr(f"slot div {_RUN}").alias("run"), own.alias("own")).where("own is not null")
+    slots = slots.select("slot", "run", F.col("own.source").alias("source"), F.col("own.low").alias("low"))
+    place = F.row_number().over(Window.partitionBy("run", "low").orderBy("slot")) - 1
+    runs = spark.range(0, -(-n // _RUN)).withColumn("plan", plan).select(F.col("id").alias("r"), F.explode("plan").alias("p"))
+    before = F.expr(f"{_points_below(f'(r * {_RUN})', 'p.high')} - {_points_below(f'(r * {_RUN})', 'p.low')}")
+    runs = runs.select("r", F.col("p.low").alias("l"), before.alias("before"))
+    ranked = slots.withColumn("place", place).join(runs, (F.col("run") == F.col("r")) & (F.col("low") == F.col("l")))
+    return ranked.select("source", (F.col("before") + F.col("place")).alias("rank"), "slot")
 
 
 def _streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
