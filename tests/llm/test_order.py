@@ -53,8 +53,8 @@ def test_mix(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(again, key=key)
 
 
-def test_slots_are_low_discrepancy(spark):
-    targets = spark.createDataFrame([("a", 5.0e5), ("b", 2.0e5), ("c", 3.0e5)], "source string, target double")
+def test_slots_are_low_discrepancy(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "_RUN", 64)
     edges, low = [], 0
     for s, t in (("a", 0.5), ("b", 0.2), ("c", 0.3)):
         edges.append((s, t * 1e6, low, low + int(t * (1 << mixture.POINT_BITS))))
