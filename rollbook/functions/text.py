@@ -61,6 +61,10 @@ def split_literal(value: Column, separator: str) -> Column:
     return F.split(value, literal_pattern(separator))
 
 
+#: One string, number, ``true``, ``false`` or ``null`` of a JSON list.
+_JSON_SCALAR = r'"(?:[^"\\]|\\.)*"|[^\[\],\s"]+'
+
+
 def spaced_json(compact: Column) -> Column:
     """Add one blank after each comma and colon that is not inside a string."""
     return F.regexp_replace(compact, _JSON_PUNCTUATION, "$1$2 ")
@@ -124,10 +128,21 @@ def variant_cell(
     """Render one JSON value as one cell.
 
     Null becomes the empty string, a list its joined members (nested lists are
-    joined too, down to ``depth``; deeper ones stay JSON), an object sorted JSON.
-    ``skip_blank`` leaves null and empty members of a list out.
+    joined too), an object sorted JSON.  ``skip_blank`` leaves null and empty members of
+    a list out.  Lists of plain values are joined however deep they nest, lists that hold objects
+    down to ``depth`` lists.  With a ``depth`` of one, inner lists stay JSON.
     """
 
+    def joined(item: Column) -> Column:
+        """Members of nested lists of plain values, read off the JSON text; NULL for anything else."""
+        text = F.to_json(item)
+        tokens = F.regexp_extract_all(text, F.lit(_JSON_SCALAR), F.lit(0))
+        cells = F.transform(tokens, lambda t: F.coalesce(F.try_parse_json(t).cast("string"), F.lit("")))
+        if skip_blank:
+            cells = F.filter(cells, lambda v: v != "")
+        deep = F.startswith(text, F.lit("[")) & text.rlike(r"\[\s*\[") & ~F.contains(text, F.lit("{"))
+        return F.when(deep, F.array_join(cells, separator))
+
     def render(item: Column, levels: int) -> Column:
         if levels == 0:
             return _plain(item)
@@ -136,7 +151,7 @@ def variant_cell(
             cells = F.filter(cells, lambda v: v != "")
         return F.coalesce(F.array_join(cells, separator), _plain(item))
 
-    return render(value, depth)
+    return F.coalesce(joined(value), render(value, depth)) if depth > 1 else render(value, depth)
 
 
 def merge_maps(left: Column, right: Column) -> Column:

@@ -107,13 +107,15 @@ def filter_report(rows: DataFrame, *, contains: Sequence[str] = (), fields: Fiel
     )
 
 
-def served_page(rows: DataFrame, n: int | None = None, *, ceiling: int = 5000, **conditions) -> DataFrame:
+def served_page(rows: DataFrame, n: int, *, ceiling: int | None = None, **conditions) -> DataFrame:
     """A bounded answer with ``total_rows``, ``returned_rows`` and ``truncated``.
 
-    The bound is the smaller of ``n`` and ``ceiling``.  ``truncated`` is also true
+    A bound above ``ceiling``, where one is given, is refused.  ``truncated`` is also true
     where filters, not the bound, removed rows.
     """
-    page = apply_filters(rows, limit=min(n or ceiling, ceiling), **conditions)
+    if ceiling is not None and n > ceiling:
+        raise ValueError(f"at most {ceiling} rows are served at once, not {n}")
+    page = apply_filters(rows, limit=n, **conditions)
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))
     returned = page.agg(F.count(F.lit(1)).alias("returned_rows"))
     counts = total.join(F.broadcast(returned)).withColumn("truncated", F.col("returned_rows") < F.col("total_rows"))

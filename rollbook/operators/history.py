@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.sizing import broadcast_if_small
 
 #: A register is fetched again once its newest snapshot is this part of its cadence old.
 REFETCH_FRACTION = 0.5
@@ -46,7 +45,7 @@ def freshness(catalog: DataFrame, registers: DataFrame, now: Column) -> DataFram
     per_source = catalog.groupBy("source").agg(F.count(F.lit(1)).alias("snapshots"), newest.alias("newest"))
     cadence = registers.select(F.col("key").alias("source"), "cadence_hours")
     age = age_hours(F.col("newest.stamp"), now)
-    return per_source.join(broadcast_if_small(cadence), "source", "left").select(
+    return per_source.join(cadence, "source", "left").select(
         "source",
         "snapshots",
         F.col("newest.stamp").alias("latest"),

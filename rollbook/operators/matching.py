@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from rollbook.functions import keys
 from rollbook.functions.text import SEPARATOR, merge_maps, split_literal, strip
 from rollbook.model import REGISTERS, Register, register_catalog
-from rollbook.sizing import broadcast_if_small
 
 ROW_ID = ("source", "ordinal")
 # Ranks order the claims of one row: identifiers before names, then the declared
@@ -62,7 +61,7 @@ def match_keys(rows: DataFrame, columns: DataFrame, *, keep: Sequence[str] = ROW
 
     ``columns`` is :func:`register_columns`, one row per register.  Registers that are not listed have nothing to match and drop out.
     """
-    claimed = rows.join(broadcast_if_small(columns), "source").select(
+    claimed = rows.join(columns, "source").select(
         *keep, F.explode(_claims(F.col("fields"))).alias("claim")
     )
     flat = claimed.select(*keep, "claim.rank", "claim.kind", "claim.column", "claim.value", "claim.key")
@@ -128,7 +127,7 @@ def match_rows(
     exchanged; a larger index joins by shuffle.
     """
     keep = list(dict.fromkeys([*by, "source", *carry]))
-    index = broadcast_if_small(watch_index(watchlist))
+    index = watch_index(watchlist)
     hits = match_keys(rows, columns, keep=keep).join(index, ["kind", "key"]).filter(covers(F.col("source")))
     rest = [c for c in keep if c not in by]
     best = F.struct("entity_id", "entity_label", "kind", "column", "value", *rest)

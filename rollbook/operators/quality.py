@@ -11,7 +11,6 @@ from rollbook.functions import keys
 from rollbook.functions.text import strip
 from rollbook.model import register
 from rollbook.operators.filters import contains_condition
-from rollbook.sizing import broadcast_if_small
 from rollbook.sources import selection
 
 # Most records an interface hands out however one pages.
@@ -155,8 +154,8 @@ def evidence_table(rows: DataFrame, catalog: DataFrame, registers: DataFrame, *,
     )
     base = rows.select("source", "stamp", "row_key", "fields", keys.row_hash(F.col("fields")).alias("row_hash"))
     return (
-        base.join(broadcast_if_small(snapshot), ["source", "stamp"])
-        .join(broadcast_if_small(publisher), "source")
+        base.join(snapshot, ["source", "stamp"])
+        .join(publisher, "source")
         .withColumn("subject", F.lit(subject))
         .withColumn("matched_on", F.lit(matched_on))
     )

@@ -37,7 +37,7 @@ def first_copies(keyed: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
     rest = [c for c in keyed.columns if c not in group]
     return (
         keyed.groupBy(*group)
-        .agg(F.min_by(F.struct(*rest), "ordinal").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min_by(F.struct(*rest), F.struct("ordinal", *[c for c in ("diff_hash", "row_hash") if c in rest])).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select(*group, "first.*", "copies")
     )
 

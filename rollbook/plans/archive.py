@@ -20,7 +20,6 @@ from rollbook.operators import history
 from rollbook.operators import snapshots as sn
 from rollbook.operators.flatten import column_names
 from rollbook.session import materialise
-from rollbook.sizing import broadcast_if_small
 
 
 def utc_now() -> dt.datetime:
@@ -139,7 +138,7 @@ class Archive:
             key_columns,
             str(meta.get("select") or ""),
             str(meta.get("query") or ""),
-            _listed_columns(written)[:200],
+            _listed_columns(written),
             list(meta.get("warnings") or []),
             str(meta.get("run_id") or ""),
             register.title,
@@ -173,7 +172,7 @@ class Archive:
         without rows both show.
         """
         retired = self._table("retired", model.RETIRED)
-        kept = self.snapshots().join(broadcast_if_small(retired), ["source", "stamp"], "left_anti")
+        kept = self.snapshots().join(retired, ["source", "stamp"], "left_anti")
         data = _recomputed(kept, "source", "stamp")
         recorded = self.catalog().select("source", "stamp", F.col("body_digest").alias("recorded"), F.col("row_count").alias("expected"))
         joined = data.join(recorded, ["source", "stamp"], "full_outer")
@@ -196,7 +195,7 @@ class Archive:
         fetched for the keys that moved.  The moved keys are written once, so
         their number is known before they are joined.
         """
-        narrow = ["row_key", "ordinal", "diff_hash"]
+        narrow = ["row_key", "ordinal", "row_hash", "diff_hash"]
 
         def firsts(stamp: str, prefix: str) -> DataFrame:
             header = self.header(source, stamp)
@@ -205,17 +204,19 @@ class Archive:
             rows = self._rows(source, stamp).select(*narrow)
             if header["duplicate_keys"]:
                 rows = sn.first_copies(rows)
-            return rows.select("row_key", F.col("ordinal").alias(f"{prefix}_ordinal"), F.col("diff_hash").alias(f"{prefix}_hash"))
+            at = F.struct("ordinal", "row_hash").alias(f"{prefix}_at")
+            return rows.select("row_key", at, F.col("diff_hash").alias(f"{prefix}_hash"))
 
         pairs = firsts(old_stamp, "old").join(firsts(new_stamp, "new"), "row_key", "full_outer")
         moved = materialise(
-            pairs.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select("row_key", "old_ordinal", "new_ordinal"), "moved"
+            pairs.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select("row_key", "old_at", "new_at"), "moved"
         )
-        small = broadcast_if_small(moved)
-
         def full(stamp: str, prefix: str, name: str) -> DataFrame:
-            rows = self._rows(source, stamp).select("row_key", F.col("ordinal").alias(f"{prefix}_ordinal"), F.col("fields").alias(name))
-            return rows.join(small.select("row_key", f"{prefix}_ordinal"), ["row_key", f"{prefix}_ordinal"], "left_semi").drop(f"{prefix}_ordinal")
+            at = F.struct("ordinal", "row_hash").alias(f"{prefix}_at")
+            rows = self._rows(source, stamp).select("row_key", at, F.col("fields").alias(name))
+            rows = rows.join(moved.select("row_key", f"{prefix}_at"), ["row_key", f"{prefix}_at"], "left_semi")
+            # Rows that agree in key, place and hash are copies of each other.
+            return rows.groupBy("row_key").agg(F.first(name).alias(name))
 
         both = full(old_stamp, "old", "previous").join(full(new_stamp, "new", "row"), "row_key", "full_outer")
         return sn.classify(both, ["row_key"])

@@ -97,7 +97,7 @@ def ingest_register(
                 archive.retire(history.plan_retention(mine, at, keep_days=keep_days, keep_last=keep_last))
         out.ok = True
     except Exception as failure:  # isolation of registers is the point
-        out.error = f"{type(failure).__name__}: {str(failure)[:2000]}"
+        out.error = f"{type(failure).__name__}: {failure}"
     out.seconds = round(time.monotonic() - start, 3)
     return out
 

@@ -1,24 +1,8 @@
-"""Broadcast only what has been counted."""
+"""Use of all cores by scans with few splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows up to which a lookup side is small enough to copy to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` provably has at most ``max_rows`` rows.
-
-    The check counts at most ``max_rows + 1`` rows.  A larger side comes back
-    without a hint, so the join shuffles and adaptive execution splits skewed
-    partitions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
 
 
 def spread(df: DataFrame) -> DataFrame:

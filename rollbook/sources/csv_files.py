@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,25 +13,27 @@ from rollbook.functions.keys import uid_digits
 from rollbook.functions.text import SEPARATOR, merge_maps, strip
 from rollbook.operators.flatten import INTERNAL_FIELDS, BlockLayout, flatten_blocks
 from rollbook.sources import selection
-from rollbook.sources.landing import page_number, strip_nul
+from rollbook.sources.landing import file_order, file_path, strip_nul, with_ordinals
 
 #: Columns that services are derived from: ``{new column: expression over fields}``.
 DERIVED_SERVICES = {"ac_serviceCode_normalised": ("ac_serviceCode", codes.service_letters)}
 
 
-def _file_order(ordinal: str = "ordinal") -> Column:
-    """Arrival order of rows of a CSV scan, without a shuffle.
-
-    File number, start of the split within the file, position within the task.
-    """
-    meta = F.col("_metadata")
-    start = F.shiftright(meta["file_block_start"], 20)
-    position = F.monotonically_increasing_id() % F.lit(1 << 27)
-    number = page_number(meta["file_name"]) % F.lit(1 << 15)
-    return (F.shiftleft(number, 47) + F.shiftleft(start, 27) + position).alias(ordinal)
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files of ``path`` in order, grouped by their first line; empty files have none and are left out."""
+    lines = spark.read.text(path)
+    start, place = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    firsts = lines.select(file_path().alias("file"), start.alias("start"), place.alias("place"), "value")
+    firsts = firsts.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    line_of = {r["file"]: r["line"].lstrip("\ufeff").rstrip() for r in firsts.collect()}
+    groups: dict[str, list[str]] = {}
+    for file in file_order(lines):
+        if file in line_of:
+            groups.setdefault(line_of[file], []).append(file)
+    return list(groups.values())
 
 
-def csv_header(spark: SparkSession, path: str, *, sep: str = ",") -> list[str]:
+def csv_header(spark: SparkSession, path: str | list[str], *, sep: str = ",") -> list[str]:
     """Column names of a CSV file, blank for nameless columns; empty for an empty file."""
     first = spark.read.csv(path, sep=sep, header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8").limit(1)
     row = first.collect()
@@ -63,17 +66,37 @@ def _cell(i: int) -> Column:
 
 
 def read_csv_rows(
-    spark: SparkSession, path: str, *, sep: str = ",", keep_surplus: bool = False, keep_blank: bool = False, multiline: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    *,
+    sep: str = ",",
+    keep_surplus: bool = False,
+    keep_blank: bool = False,
+    multiline: bool = True,
 ) -> tuple[DataFrame, list[str]]:
-    """``ordinal, fields`` and the header, which survives a file without rows.
+    """``ordinal, file, fields`` and the header, which survives a file without rows.
 
-    Cells are stripped, nameless columns and blank rows dropped.  With
-    ``keep_surplus`` the cells beyond the header go to ``_extra_columns``.
+    Every file is read by its own header.  Cells are stripped, nameless columns and blank rows
+    dropped.  With ``keep_surplus`` the cells beyond the header go to ``_extra_columns``.
     """
+    groups, read, splits = _by_header(spark, path) or [path], [], 0
+    for files in groups:
+        read.append(_read_alike(spark, files, sep, keep_surplus, keep_blank, multiline, splits))
+        if len(groups) > 1:
+            # As many as the files have parts of the least size a split can have: ranks of two groups never meet.
+            splits += spark.read.format("binaryFile").load(files).agg(F.sum(F.floor(F.col("length") / 4096) + 1)).first()[0]
+    header = list(dict.fromkeys(name for _, names in read for name in names))
+    return functools.reduce(DataFrame.unionByName, [rows for rows, _ in read]), header
+
+
+def _read_alike(
+    spark: SparkSession, path: str | list[str], sep: str, keep_surplus: bool, keep_blank: bool, multiline: bool, first_rank: int
+) -> tuple[DataFrame, list[str]]:
+    """Rows of files that share one header."""
     names = csv_header(spark, path, sep=sep)
     header = [n for n in names if n]
     if not names:
-        return spark.createDataFrame([], "ordinal bigint, fields map<string,string>"), []
+        return spark.createDataFrame([], "ordinal bigint, file string, fields map<string,string>"), []
     spare = _spare_columns(spark, path, names, sep=sep, multiline=multiline) if keep_surplus else 0
     raw = _read_cells(spark, path, names, sep=sep, spare=spare, multiline=multiline)
     entries = [
@@ -88,7 +111,7 @@ def read_csv_rows(
             F.size(surplus) > 0, F.create_map(F.lit("_extra_columns"), F.array_join(surplus, SEPARATOR))
         ).otherwise(F.create_map().cast("map<string,string>"))
         fields = merge_maps(fields, extra)
-    rows = raw.select(_file_order(), F.col("_metadata.file_name").alias("file"), fields.alias("fields"))
+    rows = with_ordinals(raw, F.col("_metadata.file_name").alias("file"), fields.alias("fields"), first_rank=first_rank)
     return rows if keep_blank else rows.filter(_filled()), header
 
 
@@ -215,12 +238,11 @@ def label_licences(licences: DataFrame, trade_codes: DataFrame) -> DataFrame:
 
     The code list has under a thousand rows and is broadcast after a count.
     """
-    from rollbook.sizing import broadcast_if_small
-
+    
     wording = trade_codes.select(
         F.col("fields")["gewerbeschluessel"].alias("_code"),
         F.col("fields")["gewerbewortlaut"].alias("code_wording"),
         F.col("fields")["gewerbeart"].alias("code_kind"),
     ).dropDuplicates(["_code"])
     keyed = licences.withColumn("_code", F.col("fields")["gewerbeschluessel"])
-    return keyed.join(broadcast_if_small(wording), "_code", "left").drop("_code")
+    return keyed.join(wording, "_code", "left").drop("_code")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rollbook.functions.text import blank_to_null
 from rollbook.operators.flatten import BlockLayout, flatten_auto
 from rollbook.session import materialise
-from rollbook.sizing import broadcast_if_small
 from rollbook.sources.landing import as_rows, cells, page_documents, read_bodies
 
 # Document types read by default, and those that hold past states.
@@ -42,7 +41,7 @@ def select_solr(
     # Written once: counting and joining them would otherwise parse the pages again.
     roots = materialise(matching.select(fields[layout.id_field].alias("_root")).distinct(), "roots")
     keyed = docs.withColumn("_root", blank_to_null(fields[layout.root_field]))
-    return keyed.join(broadcast_if_small(roots), "_root", "left_semi").drop("_root")
+    return keyed.join(roots, "_root", "left_semi").drop("_root")
 
 
 def doc_type_filter(docs: DataFrame, *, include_history: bool = False, types: tuple[str, ...] = DOC_TYPES) -> DataFrame:

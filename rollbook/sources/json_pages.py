@@ -111,11 +111,11 @@ def _opened(node: Column) -> Column:
     return F.coalesce(inner, F.array(node))
 
 
-def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields", depth: int = 6) -> DataFrame:
+def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields") -> DataFrame:
     """Add a nested JSON object as a map of dotted paths.
 
     Nulls and empty lists have no path.  Lists of plain values are joined without
-    blanks, other lists and anything deeper than ``depth`` stay JSON.
+    blanks, other lists stay JSON.
     """
 
     def has_text(n: Column) -> Column:
@@ -128,7 +128,7 @@ def collapse_nested(table: DataFrame, value: Column, *, into: str = "fields", de
         text = F.when(listed, variant_json(node)).otherwise(variant_cell(node, depth=1, skip_blank=True))
         return _entry(n["key"], text)
 
-    opened = unnested(table, value, _opened, depth=depth, into="_nodes")
+    opened = unnested(table, value, _opened, is_object, into="_nodes")
     leaves = F.transform(F.filter("_nodes", has_text), leaf)
     return opened.withColumn(into, codes.entries_to_map(leaves)).drop("_nodes")
 
@@ -205,7 +205,7 @@ def vat_rows(bodies: DataFrame) -> DataFrame:
         return F.when(is_object(value), inner).otherwise(F.array(_entry(name, variant_cell(value))))
 
     documents = bodies.select(
-        (F.col("page") * PAGE_STEP).alias("ordinal"), "country", F.parse_json("body").alias("doc")
+        (F.col("page") * PAGE_STEP).alias("ordinal"), "country", F.try_parse_json("body").alias("doc")
     )
     entries = F.flatten(F.transform(F.map_entries(members(F.col("doc"))), lambda e: spread(e["key"], e["value"])))
     answer = codes.entries_to_map(entries)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,25 +13,66 @@ from rollbook.functions.text import is_object, members, variant_cell
 #: Documents of one page have ordinals ``page * PAGE_STEP + position``.
 PAGE_STEP = 1 << 32
 
+#: A task numbers its rows with this many bits (``monotonically_increasing_id``).
+_PLACE_BITS = 33
+
+#: What the recorder of a fetch leaves beside the bodies.
+MANIFEST_FILE = "manifest.jsonl"
+
+#: Levels of a nested value that are opened before the data are asked for more.
+_ROUNDS = 6
+
 
 def strip_nul(value: Column) -> Column:
     return F.translate(value, "\x00", "")
 
 
-def page_number(file_name: Column) -> Column:
-    """The number a file name starts with, else the last number in it, else 0."""
-    leading = F.regexp_extract(file_name, r"^(\d{1,9})", 1)
-    last = F.regexp_extract(file_name, r"(\d{1,9})\D*$", 1)
-    return F.coalesce(
-        F.when(leading != "", leading.cast("bigint")), F.when(last != "", last.cast("bigint")), F.lit(0).cast("bigint")
-    )
+def _file_key(path: str) -> tuple[int, str, str]:
+    """Order of landed files: the number a name starts with, else the last number in it, else 0; then name and path."""
+    name = os.path.basename(path)
+    number = re.match(r"\d+", name) or re.search(r"\d+(?=\D*$)", name)
+    return int(number[0]) if number else 0, name, path
+
+
+def file_order(scan: DataFrame) -> list[str]:
+    """Paths of the files of ``scan`` in their order.  Spark's driver holds the list of a scan's files anyway."""
+    return sorted({re.sub("^file:/+", "/", f) for f in scan.inputFiles()}, key=_file_key)
+
+
+def file_path() -> Column:
+    """The path of the file a row comes from, spelled as in :func:`file_order`."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
 
 
 def read_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, page, body``: one row per landed file, NULs removed."""
+    """``file, page, body``: one row per landed file, NULs removed; ``page`` counts the files in order."""
     text = spark.read.text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
-    return text.select(name.alias("file"), page_number(name).alias("page"), strip_nul(F.col("value")).alias("body"))
+    pages = spark.createDataFrame(list(enumerate(file_order(text))), "page bigint, _path string")
+    bodies = text.select(
+        file_path().alias("_path"), F.col("_metadata.file_name").alias("file"), strip_nul(F.col("value")).alias("body")
+    )
+    return bodies.join(pages, "_path").filter(F.col("file") != MANIFEST_FILE).select("file", "page", "body")
+
+
+def with_ordinals(scan: DataFrame, *columns: Column | str, first_rank: int = 0) -> DataFrame:
+    """``columns`` of a file scan with a unique ``ordinal`` in arrival order, without a shuffle.
+
+    Splits are ranked by file and start; a row's ordinal is the rank of its split and its place among the rows
+    of its task, which Spark itself numbers with 33 bits.  The splits, one or a few per task, are listed
+    by a pass that reads no columns.  Ranks begin at ``first_rank``.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    rows = scan.select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), place.alias("_place"), *columns
+    )
+    splits = [(r["_path"], r["_start"]) for r in rows.select("_path", "_start").distinct().collect()]
+    splits.sort(key=lambda s: (_file_key(s[0]), s[1]))
+    ranks = scan.sparkSession.createDataFrame(
+        [(*s, rank) for rank, s in enumerate(splits, first_rank)], "_path string, _start bigint, _rank bigint"
+    )
+    ordinal = F.shiftleft("_rank", _PLACE_BITS) + F.col("_place")
+    kept = [c for c in rows.columns if c not in ("_path", "_start", "_place")]
+    return rows.join(ranks, ["_path", "_start"]).select(ordinal.alias("ordinal"), *[F.col(f"`{c}`") for c in kept])
 
 
 #: One line per landed body, as the recorder of a fetch writes it.
@@ -89,15 +133,18 @@ def as_rows(documents: DataFrame, fields: Column) -> DataFrame:
     return documents.filter(is_object(F.col("doc"))).select("ordinal", fields.alias("fields"))
 
 
-def unnested(table: DataFrame, value: Column, open_node, *, depth: int, into: str = "nodes") -> DataFrame:
-    """Add the nodes of a nested JSON value after ``depth`` rounds of ``open_node``.
+def unnested(table: DataFrame, value: Column, open_node, can_open, *, into: str = "nodes") -> DataFrame:
+    """Add the nodes of a nested JSON value, opened by ``open_node`` until ``can_open`` holds for none.
 
     A node is ``key`` (dotted path) and ``value``; ``open_node`` maps one node to
     an array of nodes.  Each round is its own projection, which keeps the
-    expressions small for the analyser.
+    expressions small for the analyser.  After some rounds the table is asked whether
+    anything is left to open.
     """
     root = F.array(F.struct(F.lit("").alias("key"), value.alias("value")))
     table = table.withColumn(into, root)
-    for _ in range(depth):
-        table = table.withColumn(into, F.flatten(F.transform(into, open_node)))
-    return table
+    while True:
+        for _ in range(_ROUNDS):
+            table = table.withColumn(into, F.flatten(F.transform(into, open_node)))
+        if table.filter(F.exists(into, lambda n: can_open(n["value"]))).isEmpty():
+            return table

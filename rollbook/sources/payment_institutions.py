@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import codes
 from rollbook.functions.text import SEPARATOR, let, merge_maps, split_literal, strip, variant_cell
-from rollbook.sizing import BROADCAST_ROWS
+from rollbook.session import materialise
 from rollbook.sources import selection
-from rollbook.sources.landing import PAGE_STEP, as_rows, page_number, read_bodies, strip_nul
+from rollbook.sources.landing import PAGE_STEP, as_rows, read_bodies, strip_nul, with_ordinals
 
 
 def entity_documents(bodies: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def entity_documents(bodies: DataFrame) -> DataFrame:
 
 def entity_lines(lines: DataFrame) -> DataFrame:
     """``ordinal, doc`` from one entity per line; the form that splits over tasks."""
-    return _entities(lines.select("ordinal", F.parse_json("body").alias("doc")))
+    return _entities(lines.select("ordinal", F.try_parse_json("body").alias("doc")))
 
 
 def _entities(documents: DataFrame) -> DataFrame:
@@ -91,11 +91,8 @@ def read_eba_golden_copy(
     single document is parsed by one task.
     """
     if lines:
-        raw = spark.read.text(path)
-        number = page_number(F.col("_metadata.file_name")) % F.lit(1 << 15)
-        start = F.shiftright(F.col("_metadata.file_block_start"), 20)
-        ordinal = F.shiftleft(number, 47) + F.shiftleft(start, 27) + F.monotonically_increasing_id() % F.lit(1 << 27)
-        entities = entity_lines(raw.select(ordinal.alias("ordinal"), strip_nul(F.col("value")).alias("body")))
+        lines = with_ordinals(spark.read.text(path), strip_nul(F.col("value")).alias("body"))
+        entities = entity_lines(lines)
     else:
         entities = entity_documents(read_bodies(spark, path))
     rows = institution_rows(entities, select)
@@ -148,77 +145,35 @@ def label_codes(
     """Add label columns from a table ``code_list, code, label``.
 
     A single unknown code gets a blank label, an unknown member of a multi-valued
-    cell keeps its code.  Columns in ``optional`` get no label where they are
-    absent.  Counted, small code lists travel to the rows as one broadcast map;
-    larger ones are joined by shuffle.
+    cell keeps its code; blank members are left out.  Columns in ``optional`` get no label where they are
+    absent.  Rows are told apart by a number of their own, written with them, so
+    rows that share an ordinal keep their own labels.
     """
-    used = code_lists.filter(F.col("code_list").isin([s[2] for s in spec]))
-    if used.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return _label_by_join(rows, used, spec, separator, optional)
-    pairs = F.collect_list(F.struct(F.concat_ws("\x1f", "code_list", "code").alias("key"), "label"))
-    lookup = F.broadcast(used.agg(F.map_from_entries(pairs).alias("_labels")))
-
-    def label(code_list: str, code: Column) -> Column:
-        return F.col("_labels")[F.concat_ws("\x1f", F.lit(code_list), code)]
-
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "unlabelled")
     fields = F.col("fields")
-    entries = []
+    cells, blanks = [], []
     for column, target, code_list, several in spec:
         cell = F.coalesce(fields[column], F.lit(""))
-        if several:
-            parts = F.filter(split_literal(cell, separator), lambda p: p != "")
-            value = F.array_join(_labelled_parts(parts, code_list, label), separator)
-        else:
-            value = F.coalesce(label(code_list, cell), F.lit(""))
-        if column in optional:
-            value = F.when(F.map_contains_key(fields, F.lit(column)), value)
-        entries.append(F.struct(F.lit(target).alias("key"), value.alias("value")))
-    added = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
-    return rows.join(lookup).withColumn("fields", merge_maps(fields, added)).drop("_labels")
-
-
-def _labelled_parts(parts: Column, code_list: str, label) -> Column:
-    return F.transform(parts, lambda c: F.coalesce(F.nullif(label(code_list, c), F.lit("")), c))
-
-
-def _label_by_join(
-    rows: DataFrame, code_lists: DataFrame, spec, separator: str, optional: Sequence[str]
-) -> DataFrame:
-    """The same labels by an equi-join on every single code."""
-    fields = F.col("fields")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(target).alias("target"),
-                F.lit(code_list).alias("code_list"),
-                F.lit(several).alias("several"),
-                (
-                    split_literal(F.coalesce(fields[column], F.lit("")), separator)
-                    if several
-                    else F.array(F.coalesce(fields[column], F.lit("")))
-                ).alias("parts"),
-                (F.map_contains_key(fields, F.lit(column)) | F.lit(column not in optional)).alias("wanted"),
-            )
-            for column, target, code_list, several in spec
-        ]
-    )
-    exploded = (
-        rows.select("ordinal", F.inline(cells))
-        .filter("wanted")
-        .select("ordinal", "target", "code_list", "several", F.posexplode("parts").alias("position", "code"))
-    )
-    labelled = exploded.join(code_lists, ["code_list", "code"], "left").withColumn(
+        parts = F.filter(split_literal(cell, separator), lambda p: p != "") if several else F.array(cell)
+        wanted = F.map_contains_key(fields, F.lit(column)) | F.lit(column not in optional)
+        parts = F.when(wanted, parts)
+        blanks.append(F.when(wanted, F.struct(F.lit(target).alias("key"), F.lit("").alias("value"))))
+        named = (F.lit(target).alias("target"), F.lit(code_list).alias("code_list"), F.lit(several).alias("several"))
+        cells.append(F.struct(*named, parts.alias("parts")))
+    codes_of = rows.select("_row", F.inline(F.array(*cells)))
+    codes_of = codes_of.select("_row", "target", "code_list", "several", F.posexplode("parts").alias("position", "code"))
+    lists = [s[2] for s in spec]
+    labels = code_lists.filter(F.col("code_list").isin(lists)).groupBy("code_list", "code").agg(F.max("label").alias("label"))
+    labelled = codes_of.join(labels, ["code_list", "code"], "left").withColumn(
         "text", F.when(F.col("several"), F.coalesce(F.nullif("label", F.lit("")), "code")).otherwise(F.coalesce("label", F.lit("")))
     )
-    per_column = labelled.groupBy("ordinal", "target").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s["text"]), separator
-        ).alias("value")
-    )
-    per_row = per_column.groupBy("ordinal").agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "value"))).alias("added")
-    )
-    return rows.join(per_row, "ordinal", "left").withColumn("fields", merge_maps(fields, F.col("added"))).drop("added")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda s: s["text"])
+    per_column = labelled.groupBy("_row", "target").agg(F.array_join(in_order, separator).alias("value"))
+    added = per_column.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("target", "value"))).alias("added"))
+    blank = F.map_from_entries(F.array_compact(F.array(*blanks)))
+    nothing = F.create_map().cast("map<string,string>")
+    whole = merge_maps(merge_maps(fields, blank), F.coalesce("added", nothing))
+    return rows.join(added, "_row", "left").withColumn("fields", whole).drop("_row", "added")
 
 
 def label_institutions(rows: DataFrame, code_lists: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.keys import printed_uid
-from rollbook.functions.text import SEPARATOR, list_of, members, merge_maps, strip
-from rollbook.sources.landing import PAGE_STEP, page_number, unnested
+from rollbook.functions.text import SEPARATOR, is_list, is_object, list_of, members, merge_maps, strip
+from rollbook.sources.landing import unnested, with_ordinals
 
 # Elements that hold one organisation, and wrappers without meaning.
 ITEM_TAG = "uidEntitySearchResultItem"
@@ -32,7 +32,7 @@ def _opened(node: Column) -> Column:
     return F.coalesce(children, F.transform(list_of(node["value"]), copy), F.array(node))
 
 
-def organisation_fields(table: DataFrame, doc: Column, *, depth: int = 12) -> DataFrame:
+def organisation_fields(table: DataFrame, doc: Column) -> DataFrame:
     """Add ``fields``: one organisation as dotted columns, repeated paths joined.
 
     The two halves of the identification number become one printed ``uid``.
@@ -41,7 +41,7 @@ def organisation_fields(table: DataFrame, doc: Column, *, depth: int = 12) -> Da
     def text(n: Column) -> Column:
         return F.struct(n["key"].alias("key"), strip(F.coalesce(n["value"].cast("string"), F.lit(""))).alias("value"))
 
-    opened = unnested(table, doc, _opened, depth=depth, into="_nodes")
+    opened = unnested(table, doc, _opened, lambda v: is_object(v) | is_list(v), into="_nodes")
     entries = opened.withColumn("_nodes", F.filter(F.transform("_nodes", text), lambda t: t["value"] != ""))
     names = F.array_distinct(F.transform("_nodes", lambda e: e["key"]))
     joined = F.map_from_entries(
@@ -72,10 +72,8 @@ def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame | None:
     columns = [c for c in table.columns if c != "_corrupt_record"]
     if not columns:
         return None
-    name = F.col("_metadata.file_name")
-    ordinal = page_number(name) * PAGE_STEP + F.monotonically_increasing_id() % F.lit(PAGE_STEP)
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
-    return table.select(ordinal.alias("ordinal"), F.parse_json(body).alias("doc"))
+    return with_ordinals(table, F.parse_json(body).alias("doc"))
 
 
 def read_uid_xml(spark: SparkSession, path: str) -> DataFrame:

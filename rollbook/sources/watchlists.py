@@ -23,7 +23,7 @@ def _cell(text: Column) -> Column:
 
 def _json_entities(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     bodies = spark.read.text(list(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.parse_json(F.regexp_replace("value", "^﻿", "")).alias("doc")
+        F.col("_metadata.file_path").alias("file"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("doc")
     )
     listed = F.when(is_list(F.col("doc")), F.col("doc")).otherwise(
         F.try_variant_get("doc", "$.entities", "variant")
@@ -92,7 +92,7 @@ def read_watchlist(spark: SparkSession, *paths: str) -> DataFrame:
     in_file = Window.partitionBy("file").orderBy("position")
     label = strip(F.col("label"))
     numbered = raw.select(*_RAW).withColumn("position", F.row_number().over(in_file)).withColumn("label", label)
-    slug = F.left(F.replace(keys.name_key("label"), F.lit(" "), F.lit("-")), F.lit(48))
+    slug = F.replace(keys.name_key("label"), F.lit(" "), F.lit("-"))
     given = strip(F.col("id"))
     entity_id = (
         F.when(given != "", given)
@@ -133,7 +133,7 @@ def merged_watchlist(entities: DataFrame, files: Sequence[str] = ()) -> DataFram
 def load_watchlist(spark: SparkSession, *paths: str) -> DataFrame:
     """A checked, merged watchlist; refuses files with unusable entries."""
     entities = read_watchlist(spark, *paths)
-    bad = entities.filter(F.col("problem").isNotNull()).select("file", "position", "id", "problem").limit(5).collect()
+    bad = entities.filter(F.col("problem").isNotNull()).select("file", "position", "id", "problem").orderBy("file", "position").collect()
     if bad:
         listed = "; ".join(f"{b['file']} entry {b['position']} ({b['id']}): {b['problem']}" for b in bad)
         raise ValueError(f"unusable watchlist entries: {listed}")

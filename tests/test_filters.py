@@ -50,7 +50,7 @@ def test_report_tells_the_two_empty_results_apart(rows):
 def test_served_page_reports_truncation(rows):
     page = ft.served_page(rows(ROWS), 2).collect()
     assert len(page) == 2 and page[0]["truncated"] and page[0]["total_rows"] == 3
-    assert not ft.served_page(rows(ROWS)).first()["truncated"]
+    assert not ft.served_page(rows(ROWS), 100, ceiling=100).first()["truncated"]
 
 
 def test_observed_filter_counts_what_it_scanned(rows):

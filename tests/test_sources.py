@@ -131,7 +131,6 @@ def test_payment_institutions(spark, tmp_path, dicts, monkeypatch):
     lines = land(tmp_path / "l", **{"copy__ndjson": "\n".join(json.dumps(e) for e in ENTITIES)})
     by_line = dicts(payment_institutions.read_eba_golden_copy(spark, lines, "ALL", lines=True))
     assert by_line[0] == row
-    monkeypatch.setattr(payment_institutions, "BROADCAST_ROWS", 1)
     joined = payment_institutions.read_eba_golden_copy(spark, path, "ALL", code_lists=lists)
     assert dicts(joined) == [first, agent]
 
