@@ -99,14 +99,17 @@ def profile(rows: DataFrame, *, samples: int = 3, width: int = 60) -> DataFrame:
     all cells costs one partial row per task.  Distinct counts are exact.  Samples
     are the first distinct shortened texts in arrival order.
     """
+    text = F.coalesce("value", F.lit(""))
+    # What is moved of a value is its digest and shortened text, never the whole of it.
     cells = rows.select("ordinal", F.explode("fields").alias("field", "value")).select(
-        "field", F.coalesce("value", F.lit("")).alias("text"), "ordinal"
+        "field",
+        F.when(text != "", F.unhex(F.sha2(text, 256))).alias("digest"),
+        F.when(text != "", shorten(text, width)).alias("sample"),
+        "ordinal",
     )
-    texts = cells.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first_seen"))
-    shown = texts.groupBy("field", F.when(F.col("text") != "", shorten(F.col("text"), width)).alias("sample")).agg(
-        F.sum("n").alias("n"),
-        F.count_if(F.col("text") != "").alias("values"),
-        F.min("first_seen").alias("first_seen"),
+    texts = cells.groupBy("field", "digest", "sample").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first_seen"))
+    shown = texts.groupBy("field", "sample").agg(
+        F.sum("n").alias("n"), F.count("digest").alias("values"), F.min("first_seen").alias("first_seen")
     )
     totals = shown.groupBy("field").agg(
         F.sum("n").alias("present"),

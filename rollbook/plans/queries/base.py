@@ -70,13 +70,15 @@ CUSTOMER_COLUMNS = ("id", "name", "nation", "balance", "segment")
 
 
 def document_rows(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(table(spark, folder, "documents"))
+    documents = table(spark, folder, "documents")
     return rows_of(documents, "doc_id", {"text": "text", "lang": "lang", "source": "source"}, "doc_id")
 
 
 # Lines have no key of their own.  Their arrival order is the line number and then
 # a digest of the line, so equal lines are interchangeable.
 LINE_SPAN = 1 << 52
+#: A span that holds all lines of an order, which are few.
+WHOLE = 1 << 62
 
 
 def line_order() -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from rollbook.functions import codes
 from rollbook.functions.text import merge_maps, variant_cell
 from rollbook.operators import flatten as fl
-from rollbook.sizing import spread
 from rollbook.plans.queries.base import (
     CUSTOMER_COLUMNS,
     LINE_SPAN,
+    WHOLE,
     SQL_LINE_ORDER,
     customer_rows,
     document_rows,
@@ -49,7 +49,7 @@ _LINE_COLUMNS = [f"line{f}_{c}" for f in _FLAGS for c in ("count", "part", "pric
 )
 def flatten_orders(spark, folder):
     """One row per order; lines joined per return flag in order of arrival."""
-    rows = fl.flatten_blocks(order_documents(spark, folder), span=LINE_SPAN)
+    rows = fl.flatten_blocks(order_documents(spark, folder), span=WHOLE)
     wide = fl.to_wide(rows, ["_root_", "_orphan", "status", "priority", "total", *_LINE_COLUMNS], keep=())
     return wide.withColumnsRenamed({"_root_": "root", "_orphan": "orphan"})
 
@@ -168,7 +168,7 @@ def collapse_nested_orders(spark, folder):
     """Nested objects to dotted paths; nulls and empty lists have none."""
     from rollbook.sources.json_pages import collapse_nested
 
-    orders = spread(table(spark, folder, "orders"))
+    orders = table(spark, folder, "orders")
     text = F.to_json(
         F.struct(
             F.struct(

@@ -10,9 +10,8 @@ from rollbook.functions import keys
 from rollbook.operators import flatten as fl
 from rollbook.operators import history
 from rollbook.operators import snapshots as sn
-from rollbook.sizing import spread
 from rollbook.plans.queries.base import (
-    LINE_SPAN,
+    WHOLE,
     SQL_LINE_ORDER,
     SQL_ORDER_VERSIONS,
     customer_rows,
@@ -77,7 +76,7 @@ def body_digest(spark, folder):
 
 
 def _keyed_lines(spark, folder):
-    lines = spread(table(spark, folder, "lineitem")).withColumn("ord", line_order())
+    lines = table(spark, folder, "lineitem").withColumn("ord", line_order())
     rows = rows_of(lines, "ord", {"order": "l_orderkey", "line": "l_linenumber", "part": "l_partkey"})
     return sn.with_keys(rows, ["order", "line"]).select("row_key", "ordinal", "fields")
 
@@ -188,7 +187,7 @@ def diff_flattened_orders(spark, folder):
     later = later.withColumn("fields", F.when(urgent, finished).otherwise(fields))
 
     def snapshot(docs):
-        return sn.with_keys(fl.flatten_blocks(docs, span=LINE_SPAN), ["_root_"])
+        return sn.with_keys(fl.flatten_blocks(docs, span=WHOLE), ["_root_"])
 
     events = sn.diff_snapshots(snapshot(earlier), snapshot(later))
     return events.select(F.col("row_key").alias("k"), "kind", F.array_join("columns", " | ").alias("columns"))
@@ -197,18 +196,7 @@ def diff_flattened_orders(spark, folder):
 _OLD, _NEW = "20260101T000000Z", "20260102T000000Z"
 
 
-_ARCHIVES: dict[tuple[str, str], object] = {}
-
-
 def _order_archive(spark, folder):
-    """The archive of the folder, built by the first query that needs it."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _ARCHIVES:
-        _ARCHIVES[key] = _build_archive(spark, folder)
-    return _ARCHIVES[key]
-
-
-def _build_archive(spark, folder):
     """Both versions of the orders, archived by two ingest runs."""
     from rollbook.plans.archive import Archive
     from rollbook.plans.ingest import ingest
