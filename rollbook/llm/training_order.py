@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rollbook.session import shared_folder
+from rollbook.session import materialise, shared_folder
 
 #: Folder of the public tokenizers' files and the one used; ids fit into 16 bits.
 TOKENIZER_FOLDER, TOKENIZER = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
@@ -134,6 +134,8 @@ def _numbered(packed: DataFrame) -> tuple[DataFrame, int]:
     parts = packed.groupBy("part").agg((F.max("number") + 1).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Written, so that its small size is known when the join is planned and the sequences are not moved for it.
+    parts = materialise(parts, "parts")
     size = parts.agg(F.sum("n")).first()[0] or 0
 
     @F.pandas_udf("bigint")
