@@ -66,6 +66,19 @@ class Register:
         return bool(self.identifier_columns or self.name_columns)
 
 
+# Statements of publishers, in their words.
+ESMA_STATEMENT = (
+    "The crypto-asset white papers listed in ESMA's register have not been reviewed or approved by any competent authority in any "
+    "Member State of the European Union. The offeror and/or issuer of the crypto-asset is solely responsible for the content of each "
+    "crypto-asset white paper."
+)
+EBA_STATEMENT = (
+    "Unlike national registers under PSD2, this Register has no legal significance and confers no rights in law. […] responsibility for "
+    "the accuracy of that information lies with the competent authorities at national level."
+)
+CC_BY, CC0 = "CC BY 4.0 — https://creativecommons.org/licenses/by/4.0/", "CC0 1.0 — https://www.gleif.org/en/meta/lei-data-terms-of-use"
+
+
 def _mica(key: str, title: str, *enums: str, keys: tuple[str, ...] = (), multi: tuple[str, ...] = ()) -> Register:
     return Register(
         key,
@@ -77,6 +90,7 @@ def _mica(key: str, title: str, *enums: str, keys: tuple[str, ...] = (), multi:
         expected_fields=("ae_lei_name", "ae_homeMemberState"),
         enum_fields=("ae_competentAuthority", "ae_homeMemberState", *enums),
         multi_value_fields={name: "|" for name in multi},
+        disclaimer=ESMA_STATEMENT,
         cadence_hours=168.0,
     )
 
@@ -134,7 +148,7 @@ REGISTERS: tuple[Register, ...] = (
             "ENT_EXC", "DER_CHI_ENT_AUT",
         ),
         multi_value_fields={"ENT_SER": " | ", "ENT_SER_COU": " | ", "ENT_EXC": " | "},
-        disclaimer="This Register has no legal significance and confers no rights in law.",
+        disclaimer=EBA_STATEMENT,
         personal_data="Agents are largely natural persons, listed with name and address.",
     ),
     Register(
@@ -213,7 +227,7 @@ REGISTERS: tuple[Register, ...] = (
         expected_fields=("nuts2", "gewerbeart", "gewerbewortlaut", "rechtswirksam"),
         enum_fields=("gewerbeart", "gewerbeart_label", "nuts2", "nuts2_label", "adress_art", "inhaber_pers_art"),
         cadence_hours=720.0,
-        data_licence="CC BY 4.0",
+        data_licence=CC_BY,
     ),
     Register(
         "gisa-codes",
@@ -224,7 +238,7 @@ REGISTERS: tuple[Register, ...] = (
         expected_fields=("gewerbeschluessel", "gewerbewortlaut", "gewerbeart"),
         enum_fields=("gewerbeart", "ist_historisch"),
         cadence_hours=720.0,
-        data_licence="CC BY 4.0",
+        data_licence=CC_BY,
     ),
     Register(
         "gleif",
@@ -238,8 +252,8 @@ REGISTERS: tuple[Register, ...] = (
             "entity.status", "registration.status", "entity.legalAddress.country", "entity.legalForm.id",
             "entity.category", "entity.registeredAt.id", "registration.corroborationLevel",
         ),
-        data_licence="CC0 1.0",
-        disclaimer="Accuracy is not verified beyond the corroboration level recorded on each record.",
+        data_licence=CC0,
+        disclaimer="Summary, not a quotation: accuracy is not verified beyond the corroboration level recorded on each record.",
     ),
     Register(
         "vies",
@@ -251,7 +265,7 @@ REGISTERS: tuple[Register, ...] = (
         expected_fields=("isValid", "vatNumber", "requestDate"),
         enum_fields=("isValid", "userError", "countryCode", "availability"),
         bulk_readable=False,
-        disclaimer="A valid answer confirms registration, not solvency, activity or identity.",
+        disclaimer="Summary, not a quotation: a valid answer confirms registration, not solvency, activity or identity.",
         personal_data="The registration of a sole trader carries name and address.",
     ),
     Register(
@@ -263,7 +277,7 @@ REGISTERS: tuple[Register, ...] = (
         expected_fields=("publication-number", "publication-date", "notice-type"),
         enum_fields=("notice-type", "buyer-country", "classification-cpv"),
         multi_value_fields={"winner-name": " | ", "classification-cpv": " | "},
-        disclaimer="Notices are republished as submitted, without warranty of accuracy or completeness.",
+        disclaimer="Summary, not a quotation: notices are republished as submitted, without warranty of accuracy or completeness.",
         population=False,
     ),
 )

@@ -221,17 +221,17 @@ def find_subject(rows: DataFrame, needle: str, register: Register) -> tuple[Data
     )
     if not by_identifier.isEmpty():
         return by_identifier, "identifier"
-    wanted_name = rows.sparkSession.range(1).select(keys.name_key(F.lit(needle))).first()[0]
+    wanted_name, row_id = keys.plain_name_key(needle), [c for c in ROW_ID if c in rows.columns]
     columns = F.array(*map(F.lit, register.name_columns)).cast("array<string>")
     parts = F.flatten(F.transform(columns, lambda c: split_literal(F.coalesce(fields[c], F.lit("")), SEPARATOR)))
     named = (
-        rows.select("ordinal", F.explode(parts).alias("part"))
+        rows.select(*row_id, F.explode(parts).alias("part"))
         .withColumn("key", keys.name_key("part"))
         .filter((F.col("key") == wanted_name) & (F.col("key") != ""))
-        .select("ordinal")
+        .select(*row_id)
         .distinct()
     )
-    by_name = rows.join(named, "ordinal", "left_semi")
+    by_name = rows.join(named, row_id, "left_semi")
     return (by_name, "") if by_name.isEmpty() else (by_name, "name")
 
 

@@ -66,11 +66,15 @@ def completeness(pages: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def page_totals(bodies: DataFrame, total_path: str, array: str) -> DataFrame:
-    """``file, total, records`` of landed JSON pages; the path is a JSON path."""
+def page_totals(bodies: DataFrame, total_path: str, array: str, *, source: str | None = None) -> DataFrame:
+    """``file, total, records`` of landed JSON pages; the path is a JSON path.
+
+    With ``source`` also ``window``, the most records its interface hands out (NULL where none is known).
+    """
     total = F.get_json_object("body", total_path).cast("bigint")
     records = F.size(F.from_json("body", f"struct<`{array}`:array<variant>>")[array])
-    return bodies.select("file", total.alias("total"), F.greatest(records, F.lit(0)).cast("bigint").alias("records"))
+    totals = bodies.select("file", total.alias("total"), F.greatest(records, F.lit(0)).cast("bigint").alias("records"))
+    return totals if source is None else totals.withColumn("window", F.lit(RESULT_WINDOWS.get(source)).cast("bigint"))
 
 
 def schema_drift(rows: DataFrame, expected: Sequence[str], header: Sequence[str] = ()) -> DataFrame:

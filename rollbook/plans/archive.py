@@ -221,6 +221,26 @@ class Archive:
         both = full(old_stamp, "old", "previous").join(full(new_stamp, "new", "row"), "row_key", "full_outer")
         return sn.classify(both, ["row_key"])
 
+    def record_changes(self, source: str, old_stamp: str, new_stamp: str):
+        """Compare two snapshots and record the events; a first snapshot (blank ``old_stamp``) has none."""
+        events = self.diff(source, old_stamp, new_stamp) if old_stamp else None
+        if events is not None and not model.register(source).population:
+            # Rows age out of such a window; their absence is no removal.
+            events = events.filter(F.col("kind") != "removed")
+        return self.append_changes(source, new_stamp, events, against=old_stamp)
+
+    def record_missing_changes(self, source: str) -> list[str]:
+        """Record the events of snapshots that were committed by runs which broke off before their events.
+
+        The stamps that were caught up on; usually none.
+        """
+        stamps = sorted(r["stamp"] for r in self.catalog().filter(F.col("source") == source).select("stamp").collect())
+        told = {r["stamp"] for r in self.change_runs().filter(F.col("source") == source).select("stamp").collect()}
+        missing = [(old, new) for old, new in zip(["", *stamps], stamps, strict=False) if new not in told]
+        for old, new in missing:
+            self.record_changes(source, old, new)
+        return [new for _, new in missing]
+
     def append_changes(self, source: str, stamp: str, changes: DataFrame | None, *, against: str = ""):
         """Record the events of one run, and the run itself even when there are none."""
         counts = {k: 0 for k in sn.KINDS}

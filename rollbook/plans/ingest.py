@@ -71,6 +71,7 @@ def ingest_register(
     start = time.monotonic()
     try:
         declared = register(source)
+        archive.record_missing_changes(source)
         before = archive.latest(source)
         with out.phase("write"):
             header = archive.write_snapshot(
@@ -79,11 +80,7 @@ def ingest_register(
         out.rows = header["row_count"]
         out.warnings = list(header["warnings"])
         with out.phase("diff"):
-            events = archive.diff(source, before["stamp"], stamp) if before else None
-            if events is not None and not declared.population:
-                # Rows age out of such a window; their absence is no removal.
-                events = events.filter(F.col("kind") != "removed")
-            counts = archive.append_changes(source, stamp, events, against=before["stamp"] if before else "")
+            counts = archive.record_changes(source, before["stamp"] if before else "", stamp)
         out.added, out.changed, out.removed = counts["added"], counts["changed"], counts["removed"]
         out.unchanged = before is not None and not any(counts.values())
         if before and header["duplicate_keys"]:

@@ -155,3 +155,16 @@ def test_intermediates_need_a_shared_folder(spark, monkeypatch):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_events_of_a_run_that_broke_off(spark, tmp_path):
+    from rollbook.plans.ingest import ingest_register
+
+    archive = Archive(spark, str(tmp_path))
+    make = lambda v: spark.createDataFrame([(1, {"Name": "a", "UID": "u1", "City": v})], "ordinal bigint, fields map<string,string>")
+    for stamp, city in (("20260101T000000Z", "x"), ("20260102T000000Z", "y")):
+        archive.write_snapshot("finma", make(city), stamp=stamp)
+    outcome = ingest_register(archive, "finma", lambda: make("z"), stamp="20260103T000000Z")
+    assert outcome.ok and outcome.changed == 1
+    events = archive.read_changes("finma").select("_snapshot", "kind").collect()
+    assert sorted(map(tuple, events)) == [("20260102T000000Z", "changed"), ("20260103T000000Z", "changed")]

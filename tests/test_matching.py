@@ -57,7 +57,7 @@ def test_identifier_spellings(spark):
     ],
 )
 def test_name_keys(name, key):
-    assert keys._name_key(name) == key
+    assert keys.plain_name_key(name) == key
 
 
 def test_strongest_claim_wins(rows, watch, columns):
