@@ -343,16 +343,15 @@ def archive_answers(spark, folder):
 def streamed_row_changes(spark, folder):
     """Additions and changes from a stream of snapshot rows with per-key state."""
     from rollbook.session import shared_folder
-    from rollbook.streaming.changes import row_changes
+    from rollbook.streaming.changes import follow_rows, read_row_changes
 
     landing, out, marks = (shared_folder(spark, n) for n in ("stream-in", "stream-out", "stream-marks"))
     for stamp, rows in zip(("s1", "s2"), order_versions(spark, folder)):
         keyed = sn.with_keys(rows, ["key"])
         keyed.select(F.lit("orders").alias("source"), F.lit(stamp).alias("stamp"), "row_key", "ordinal", "fields").write.mode("append").parquet(landing)
     stream = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
-    query_ = row_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.read.parquet(out).select(F.col("row_key").alias("k"), "kind", F.array_join("columns", " | ").alias("columns"))
+    follow_rows(stream, out, marks).awaitTermination()
+    return read_row_changes(spark, out).select(F.col("row_key").alias("k"), "kind", F.array_join("columns", " | ").alias("columns"))
 
 
 @query(_SQL_EVENTS)

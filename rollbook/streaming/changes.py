@@ -1,28 +1,26 @@
 """Two ways to follow an archive.
 
 A removal is only known once a snapshot is complete, so :func:`follow_catalog`
-waits for catalogue rows and compares whole snapshots.  :func:`row_changes` keeps
-the last state of every key and reports additions and changes row by row.
+waits for catalogue rows and compares whole snapshots.  :func:`follow_rows`
+keeps the last state of every key as a table and reports additions and changes as rows arrive.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from rollbook import model
-from rollbook.functions.keys import VOLATILE_COLUMNS
+from rollbook.operators import snapshots as sn
 from rollbook.operators.history import nth_newest
 from rollbook.plans.archive import Archive
 
-EVENTS = (
-    "source string, stamp string, kind string, row_key string, columns array<string>, row string, previous string"
+_STATE = f"source string, row_key string, stamp string, fields {model.FIELDS}"
+_EVENTS = (
+    f"source string, row_key string, stamp string, kind string, columns array<string>, row {model.FIELDS}, previous {model.FIELDS}"
 )
 
 
@@ -53,42 +51,49 @@ def follow_catalog(archive: Archive, checkpoint: str, *, once: bool = True) -> S
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def row_changes(rows: DataFrame) -> DataFrame:
-    """Additions and changes from a stream of ``source, stamp, row_key, ordinal, fields``.
-
-    State is the last row of each key.  Of several rows with one key and stamp the
-    first counts; rows older than the state are ignored.
+def _state_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The last row of every key as the batches before ``batch`` left it."""
+    try:
+        kept = spark.read.parquet(f"{path}/state").filter(F.col("version") < batch)
+        newest = kept.agg(F.max("version")).first()[0]
+    except AnalysisException:  # no batch has been here
+        newest = None
+    if newest is None:
+        return spark.createDataFrame([], _STATE)
+    return spark.read.schema(_STATE).parquet(f"{path}/state/version={newest}")
+
+
+def _advance(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of ``rows`` after ``state``, and the state after them."""
+    key = ["source", "row_key"]
+    firsts = rows.groupBy(*key, "stamp").agg(F.min_by("fields", "ordinal").alias("row"))
+    known = state.select(*key, F.col("stamp").alias("seen"), F.col("fields").alias("last"))
+    fresh = firsts.join(known, key, "left").filter(F.col("seen").isNull() | (F.col("stamp") > F.col("seen")))
+    order = Window.partitionBy(*key).orderBy("stamp")
+    pairs = fresh.withColumn("previous", F.coalesce(F.lag("row").over(order), "last"))
+    events = sn.classify(pairs, [*key, "stamp"]).filter((F.col("kind") != "changed") | (F.size("columns") > 0))
+    newest = firsts.select(*key, "stamp", F.col("row").alias("fields")).unionByName(state)
+    after = newest.groupBy(*key).agg(F.max_by("fields", "stamp").alias("fields"), F.max("stamp").alias("stamp"))
+    return events, after.select(*key, "stamp", "fields")
+
+
+def follow_rows(rows: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+    """Write additions and changes of a stream ``source, stamp, row_key, ordinal, fields`` below ``path``.
+
+    Of several rows with one key and stamp the first counts; rows no newer than the
+    state are ignored.  Every batch writes its events and the state after it under its own
+    number, so a batch that is repeated after a failure gives the same again.
     """
-    text = rows.select("source", "stamp", "row_key", "ordinal", F.to_json("fields").alias("row"))
-    return text.groupBy("source", "row_key").applyInPandasWithState(
-        _key_changes, EVENTS, "stamp string, row string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _moved(before: dict[str, str], after: dict[str, str]) -> list[str]:
-    names = (before.keys() | after.keys()) - set(VOLATILE_COLUMNS)
-    return sorted(n for n in names if (before.get(n) or "") != (after.get(n) or ""))
-
-
-def _key_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # Frames come one at a time; all that is kept is one row per stamp.
-    firsts: dict[str, tuple[int, str]] = {}
-    for frame in frames:
-        earliest = frame.loc[frame.groupby("stamp")["ordinal"].idxmin()]
-        for stamp, ordinal, row in earliest[["stamp", "ordinal", "row"]].itertuples(index=False):
-            if stamp not in firsts or ordinal < firsts[stamp][0]:
-                firsts[stamp] = (ordinal, row)
-    seen_stamp, seen_row = state.get if state.exists else (None, None)
-    events = []
-    for stamp in sorted(firsts):
-        if seen_stamp is not None and stamp <= seen_stamp:
-            continue
-        row = firsts[stamp][1]
-        if seen_row is None:
-            events.append((key[0], stamp, "added", key[1], [], row, None))
-        elif columns := _moved(json.loads(seen_row), json.loads(row)):
-            events.append((key[0], stamp, "changed", key[1], columns, row, seen_row))
-        seen_stamp, seen_row = stamp, row
-    if firsts and seen_stamp is not None:
-        state.update((seen_stamp, seen_row))
-    yield pd.DataFrame(events, columns=["source", "stamp", "kind", "row_key", "columns", "row", "previous"])
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        events, after = _advance(_state_before(batch.sparkSession, path, number), batch)
+        events.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/state/version={number}")
+
+    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def read_row_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The events that :func:`follow_rows` has written: ``source, row_key, stamp, kind, columns, row, previous``."""
+    return spark.read.schema(_EVENTS).parquet(f"{path}/events")

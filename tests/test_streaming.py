@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from rollbook.plans.archive import Archive
-from rollbook.streaming.changes import follow_catalog, row_changes
+from rollbook.streaming.changes import _STATE, _advance, follow_catalog, follow_rows, read_row_changes
 
 OLD = [{"UID": "1", "Name": "Alpha"}, {"UID": "2", "Name": "Beta"}]
 NEW = [{"UID": "1", "Name": "Alpha2", "timestamp": "x"}, {"UID": "3", "Name": "Gamma"}, {"UID": "3", "Name": "Late"}]
@@ -20,17 +20,23 @@ def test_events_follow_the_catalogue(spark, rows, tmp_path):
 
 
 def test_rows_are_compared_with_the_last_state(spark, rows, tmp_path):
-    source = str(tmp_path / "in")
-    for stamp, items in (("s1", OLD), ("s2", NEW), ("s3", NEW)):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+
+    def land(stamp, items):
         table = rows(items, source="x", stamp=stamp).withColumn("row_key", F.col("fields")["UID"])
         table.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    query = (
-        row_changes(stream).writeStream.format("memory").queryName("events").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination(120)
-    out = [(r["stamp"], r["kind"], r["row_key"], r["columns"]) for r in spark.table("events").collect()]
-    assert sorted(out) == [
-        ("s1", "added", "1", []), ("s1", "added", "2", []), ("s2", "added", "3", []), ("s2", "changed", "1", ["Name"]),
-    ]
+
+    def follow():
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        follow_rows(stream, out, marks).awaitTermination(120)
+        return sorted((r["stamp"], r["kind"], r["row_key"], r["columns"]) for r in read_row_changes(spark, out).collect())
+
+    for stamp, items in (("s1", OLD), ("s2", NEW), ("s3", NEW)):
+        land(stamp, items)
+    first = [("s1", "added", "1", []), ("s1", "added", "2", []), ("s2", "added", "3", []), ("s2", "changed", "1", ["Name"])]
+    assert follow() == first
+    land("s0", [{"UID": "1", "Name": "too late"}])
+    land("s4", [{"UID": "2", "Name": "Beta2"}, {"UID": "1", "Name": "Alpha2"}])
+    assert follow() == first + [("s4", "changed", "2", ["Name"])]
+    events, after = _advance(spark.createDataFrame([], _STATE), spark.read.parquet(source).limit(0))
+    assert events.count() == after.count() == 0
