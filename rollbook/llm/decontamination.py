@@ -17,9 +17,18 @@ from pyspark.sql import functions as F
 
 from rollbook.session import materialise
 
-#: Word offsets that each seed reads; every mask keeps six words of nine.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4, 6, 8))
+#: Word offsets that each seed reads.  Of every window of nine to sixteen words in which ``EQUAL_SHARE``
+#: are equal, some span has all five words of a mask equal: no leak is without a seed.
+MASKS = (
+    (0, 1, 2, 3, 6), (0, 1, 3, 4, 7), (0, 2, 4, 6, 7), (0, 2, 5, 7, 8),
+    (0, 4, 5, 6, 8), (1, 2, 3, 4, 5), (1, 2, 6, 7, 8), (3, 5, 6, 7, 8),
+)
 SPAN = 9
+#: Seeds of items too short for a span: runs of one to three words.  By the length of the item, where runs
+#: start and how long they are; there is one more of them than words that may differ, and none overlap.
+RUNS = ((0,), (0, 1), (0, 1, 2))
+SHORT = {1: ((0, 1),), 2: ((0, 2),), 3: ((0, 3),), 4: ((0, 2), (2, 2)), 5: ((0, 3), (3, 2)), 6: ((0, 3), (3, 3)),
+         7: ((0, 3), (3, 3)), 8: ((0, 3), (3, 3), (6, 2))}
 #: A leak has a window of this many aligned words (the whole item if it is shorter) with this share equal.
 VERIFY_WORDS, EQUAL_SHARE = 16, 0.75
 #: The Bloom filter has 2 to this power bits (512 kB), whatever the size of the benchmark.  A
@@ -36,15 +45,27 @@ _HASHES = r"transform(split(lower(cast(text as string)), '[^\\p{L}\\p{N}]+'), w
 _NO_WORD = "xxhash64('')"
 
 
-def _positions(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row per place ``at`` at which a whole seed span fits into ``h``."""
-    return rows.select(*keep, "h", F.explode(F.expr(f"case when size(h) >= {SPAN} then sequence(0, size(h) - {SPAN}) end")).alias("at"))
+def _positions(rows: DataFrame, span: int, *keep: str) -> DataFrame:
+    """A row per place ``at`` at which ``span`` words fit into ``h``."""
+    return rows.select(*keep, "h", F.explode(F.expr(f"case when size(h) >= {span} then sequence(0, size(h) - {span}) end")).alias("at"))
 
 
-def _seeds(positions: DataFrame, *keep: str) -> DataFrame:
-    """A row per mask with its ``seed``, a hash of the mask's number and the words it reads."""
-    masks = [f"xxhash64({m}, {', '.join(f'get(h, at + {k})' for k in mask)})" for m, mask in enumerate(MASKS)]
-    return positions.select(*keep, "h", "at", F.explode(F.expr(f"array({', '.join(masks)})")).alias("seed"))
+def _seeds(positions: DataFrame, masks: tuple[tuple[int, ...], ...], *keep: str) -> DataFrame:
+    """A row per mask with its ``seed``, a hash of the mask's number and the words it reads.
+
+    Words behind the end are left out of the hash, which no seed of an item's span equals.
+    """
+    seeds = [f"xxhash64({m}, {', '.join(f'get(h, at + {k})' for k in mask)})" for m, mask in enumerate(masks)]
+    return positions.select(*keep, "h", "at", F.explode(F.expr(f"array({', '.join(seeds)})")).alias("seed"))
+
+
+def _short_seeds(items: DataFrame) -> DataFrame:
+    """The seeds of items of fewer than ``SPAN`` words."""
+    by_length = []
+    for n, runs in SHORT.items():
+        seeds = [f"struct({at} as at, xxhash64({len(MASKS) + k - 1}, {', '.join(f'get(h, {at + i})' for i in range(k))}) as seed)" for at, k in runs]
+        by_length.append(f"when {n} then array({', '.join(seeds)})")
+    return items.select("item_id", "h", F.inline(F.expr(f"case size(h) {' '.join(by_length)} end")))
 
 
 def _around() -> Column:
@@ -71,37 +92,42 @@ def _passes(bloom: DataFrame) -> Column:
     return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, short_items: bool = False) -> DataFrame:
     """``doc_id, item_id, equal_words, window_words, position`` of every leak.
 
     A text of ``docs`` (``doc_id``, ``text``) leaks an item of ``benchmark`` (``item_id``,
-    ``text``) if it has a seed in common with it and, aligned at the seed, some window over the
-    seed has ``EQUAL_SHARE`` equal words.  A window is ``VERIFY_WORDS`` words of the item, the whole
-    item if it is shorter, all of which the text covers.  The best window of an id and item is
-    reported, ties to the earliest ``position`` (of the window's first word in the text).
+    ``text``) if at some alignment a window has ``EQUAL_SHARE`` equal words.  A window is
+    ``VERIFY_WORDS`` words of the item, the whole item if it is shorter, all of which the text covers.
+    The best window of an id and item is reported, ties to the earliest ``position`` (of the
+    window's first word in the text).
 
-    Null and empty texts, and items of fewer than ``SPAN`` words, have no leaks.  Repeated rows
+    Items of fewer than ``SPAN`` words take part with ``short_items`` only: an item of one word leaks
+    into every text that has it.  Null and empty texts have no leaks.  Repeated rows
     are reported once per ``doc_id``, null ids as one.  Other columns are ignored; empty tables
     give no rows.
     """
     words = F.expr(f"filter({_HASHES}, w -> w <> {_NO_WORD})").alias("h")
     items = benchmark.select("item_id", "text").where("text is not null").distinct().select("item_id", words)
-    items = _seeds(_positions(items, "item_id"), "item_id")
-    items = items.select("item_id", "seed", "at", F.size("h").alias("item_words"), _around().alias("item"))
-    items = materialise(items, "seeds")
+    seeds = _seeds(_positions(items, SPAN, "item_id"), MASKS, "item_id").withColumn("span", F.lit(SPAN))
+    masks, least = MASKS, SPAN
+    if short_items and items.where(F.size("h").between(1, SPAN - 1)).head(1):
+        seeds = seeds.unionByName(_short_seeds(items).withColumn("span", F.lit(1)))
+        masks, least = MASKS + RUNS, 1
+    seeds = seeds.select("item_id", "seed", "at", "span", F.size("h").alias("item_words"), _around().alias("item"))
+    items = materialise(seeds, "seeds")
     bloom = materialise(_bloom(items), "bloom")
 
     hits = docs.select("doc_id", F.expr(_HASHES).alias("h"))
-    hits = _seeds(_positions(hits, "doc_id"), "doc_id").where(_passes(bloom))
+    hits = _seeds(_positions(hits, least, "doc_id"), masks, "doc_id").where(_passes(bloom))
     hits = hits.select("doc_id", "seed", F.col("at").alias("doc_at"), _around().alias("doc"))
     pairs = hits.join(items, "seed")
     # Offsets are from the seed: equal words where both sides have one, then the best window over it.
     back = "-least(doc.before, item.before)"
     ahead = "least(size(doc.words) - doc.before, size(item.words) - item.before) - 1"
     equal = f"transform(sequence({back}, {ahead}), k -> int(get(doc.words, doc.before + k) = get(item.words, item.before + k)))"
-    pairs = pairs.select("doc_id", "item_id", "doc_at", F.expr(f"least({VERIFY_WORDS}, item_words)").alias("width"),
+    pairs = pairs.select("doc_id", "item_id", "doc_at", "span", F.expr(f"least({VERIFY_WORDS}, item_words)").alias("width"),
                          F.expr(f"least(doc.before, item.before)").alias("back"), F.expr(equal).alias("equal"))
-    first = f"greatest(0, back + {SPAN} - width)"
+    first = "greatest(0, back + span - width)"
     starts = f"filter(sequence(0, size(equal) - 1), s -> s >= {first} and s <= back and s + width <= size(equal))"
     windows = f"transform({starts}, s -> struct(aggregate(slice(equal, s + 1, width), 0, (n, x) -> n + x) as n, -s as s))"
     pairs = pairs.select("doc_id", "item_id", "width", "doc_at", "back", F.expr(f"array_max({windows})").alias("best"))
@@ -114,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id leaks nothing, unchanged; rows with a null id are judged together."""
-    leaks = materialise(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct(), "leaks")
+    leaks = materialise(find_leaks(docs, benchmark, short_items=short_items).select(F.col("doc_id").alias("leaking")).distinct(), "leaks")
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")

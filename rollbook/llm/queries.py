@@ -41,7 +41,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query()
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), short_items=True)
 
 
 @query()

@@ -1,5 +1,6 @@
 """Decontamination, SimHash and ball trees against brute force on small fixtures."""
 
+import itertools
 import random
 
 import numpy as np
@@ -141,6 +142,54 @@ def test_leaks(spark):
     assert decontamination.without_leaks(rows, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("n", range(9, 17))
+def test_every_leak_has_a_seed(n):
+    for changed in itertools.combinations(range(n), n // 4):
+        places = range(n - decontamination.SPAN + 1)
+        assert any(not {at + k for k in mask} & set(changed) for at in places for mask in decontamination.MASKS), changed
+
+
+def test_every_short_leak_has_a_seed():
+    for n, runs in decontamination.SHORT.items():
+        for changed in itertools.combinations(range(n), n // 4):
+            assert any(not set(range(at, at + k)) & set(changed) for at, k in runs), (n, changed)
+
+
+def all_leaks(docs, items):
+    """Every window of every item at every place of every document, without seeds."""
+    best = {}
+    for doc, t in docs:
+        w = words_of(t)
+        for item, other in ((i, words_of(x)) for i, x in items):
+            width = min(decontamination.VERIFY_WORDS, len(other))
+            for s in range(len(other) - width + 1) if width else ():
+                for at in range(len(w) - width + 1):
+                    n = sum(a == b for a, b in zip(other[s : s + width], w[at : at + width], strict=True))
+                    if n >= decontamination.EQUAL_SHARE * width:
+                        best[doc, item] = max(best.get((doc, item), (0,)), (n, -at, width))
+    return {(d, i, n, width, -at) for (d, i), (n, at, width) in best.items()}
+
+
+def test_leaks_with_all_words_allowed_to_differ(spark):
+    rng = random.Random(8)
+    items = [(n, text(200 + n, n)) for n in [*range(1, 17), 40]] + [(0, ""), (50, None)]
+    docs = [(0, None), (1, ""), (2, items[0][1]), (3, "w1 " + items[2][1])]
+    for n, t in items[:17]:
+        w = t.split()
+        for r in range(4):
+            changed = [*rng.sample(range(n), n // 4), *rng.sample(range(n), 1 if r == 3 else 0)] if n < 17 else range(r, n, 4)
+            passage = ["x" if k in changed else x for k, x in enumerate(w)]
+            docs.append((100 * n + r, " ".join(passage)))
+            docs.append((100 * n + 10 + r, f"{text(n, 20)} {' '.join(passage)} {text(n + 60, 5)}"))
+    rows, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = all_leaks(docs, items)
+    got = {tuple(r) for r in decontamination.find_leaks(rows, bench, short_items=True).collect()}
+    assert got == want and len({i for _, i, *_ in got}) == 17
+    assert {tuple(r) for r in decontamination.find_leaks(rows, bench).collect()} == {x for x in want if x[1] >= decontamination.SPAN}
+    kept = {r.doc_id for r in decontamination.without_leaks(rows, bench, short_items=True).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, *_ in want}
+
+
 def plain_top(vectors, k):
     whole = {}
     for i, v in vectors:
