@@ -61,8 +61,7 @@ def split_literal(value: Column, separator: str) -> Column:
     return F.split(value, literal_pattern(separator))
 
 
-#: One string, number, ``true``, ``false`` or ``null`` of a JSON list.
-_JSON_SCALAR = r'"(?:[^"\\]|\\.)*"|[^\[\],\s"]+'
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 
 
 def spaced_json(compact: Column) -> Column:
@@ -122,36 +121,49 @@ def _plain(value: Column) -> Column:
     return let(value.cast("string"), spaced)
 
 
-def variant_cell(
-    value: Column, separator: str = SEPARATOR, *, skip_blank: bool = False, depth: int = 2
-) -> Column:
+def _list_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text nest; strings do not count."""
+    brackets = F.regexp_extract_all(F.regexp_replace(text, _JSON_STRING, ""), F.lit(r"[\[\]]"), F.lit(0))
+
+    def step(state: Column, bracket: Column) -> Column:
+        at = state["at"] + F.when(bracket == "[", 1).otherwise(-1)
+        return F.struct(at.alias("at"), F.greatest(state["most"], at).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda state: state["most"])
+
+
+def _open_lists(items: Column) -> Column:
+    """``items`` with the members of its lists in their place; an empty list becomes an empty string."""
+    empty = F.array(F.parse_json(F.lit('""')))
+
+    def opened(item: Column) -> Column:
+        return let(list_of(item), lambda own: F.when(own.isNull(), F.array(item)).when(F.size(own) == 0, empty).otherwise(own))
+
+    return F.flatten(F.transform(items, opened))
+
+
+def variant_cell(value: Column, separator: str = SEPARATOR, *, skip_blank: bool = False, depth: int | None = None) -> Column:
     """Render one JSON value as one cell.
 
     Null becomes the empty string, a list its joined members (nested lists are
-    joined too), an object sorted JSON.  ``skip_blank`` leaves null and empty members of
-    a list out.  Lists of plain values are joined however deep they nest, lists that hold objects
-    down to ``depth`` lists.  With a ``depth`` of one, inner lists stay JSON.
+    joined too, however deep), an object sorted JSON.  ``skip_blank`` leaves null and empty
+    members of a list out.  With a ``depth`` of one, inner lists stay JSON.
     """
 
-    def joined(item: Column) -> Column:
-        """Members of nested lists of plain values, read off the JSON text; NULL for anything else."""
-        text = F.to_json(item)
-        tokens = F.regexp_extract_all(text, F.lit(_JSON_SCALAR), F.lit(0))
-        cells = F.transform(tokens, lambda t: F.coalesce(F.try_parse_json(t).cast("string"), F.lit("")))
-        if skip_blank:
-            cells = F.filter(cells, lambda v: v != "")
-        deep = F.startswith(text, F.lit("[")) & text.rlike(r"\[\s*\[") & ~F.contains(text, F.lit("{"))
-        return F.when(deep, F.array_join(cells, separator))
-
-    def render(item: Column, levels: int) -> Column:
-        if levels == 0:
-            return _plain(item)
-        cells = F.transform(list_of(item), lambda v: render(v, levels - 1))
-        if skip_blank:
-            cells = F.filter(cells, lambda v: v != "")
-        return F.coalesce(F.array_join(cells, separator), _plain(item))
-
-    return F.coalesce(joined(value), render(value, depth)) if depth > 1 else render(value, depth)
+    def members_of(item: Column) -> Column:
+        if depth == 1:
+            return list_of(item)
+        text = item.cast("string")
+        # Lists are opened as often as the text itself says; the pattern spares most values the count.
+        rounds = F.when(text.rlike(r"(?s)^\[.*\["), _list_depth(text) - 1).otherwise(0)
+        return F.aggregate(F.array_repeat(F.lit(0), rounds), list_of(item), lambda items, _: _open_lists(items))
+
+    if depth not in (None, 1):
+        raise ValueError("depth is one or unbounded")
+    cells = F.transform(members_of(value), _plain)
+    if skip_blank:
+        cells = F.filter(cells, lambda v: v != "")
+    return F.coalesce(F.array_join(cells, separator), _plain(value))
 
 
 def merge_maps(left: Column, right: Column) -> Column:

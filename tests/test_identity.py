@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import variant_cell
@@ -129,6 +130,31 @@ def test_deep_values(spark):
     assert {r.t: r.cell for r in rows.collect()} == cells
 
 
+def plain_cell(value, skip_blank):
+    """The rendering of lists as a plain recursion."""
+    if isinstance(value, list):
+        cells = [plain_cell(v, skip_blank) for v in value]
+        return " | ".join(c for c in cells if c or not skip_blank)
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+
+@pytest.mark.parametrize("skip_blank", [False, True])
+def test_lists_of_any_depth(spark, skip_blank):
+    deep = ["x"]
+    for i in range(30):
+        deep = [i, deep] if i % 2 else [deep, {"k": [[i]]}]
+    values = [
+        ["a", ["b", ["c"]]], [[["a {x}"]], "b"], [[[{"a": [[1]]}]], {"b": {"c": [[2]]}}], ["a", [], [[]], [None, ["", "b"]]], [], [[]], [[[]]],
+        ["]", ["[[", ['\\"[', ["q\"["]]]], ["[1, [2]]", ["{", ["}"]]], {"a": ["b", ["c"]]}, "[[", 1, None, [1.5, [True, [None]]], deep,
+        ["a\nb [", ["c", ["d"]]],
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, t string")
+    got = {r.i: r.cell for r in rows.select("i", variant_cell(F.parse_json("t"), skip_blank=skip_blank).alias("cell")).collect()}
+    assert got == {i: plain_cell(v, skip_blank) for i, v in enumerate(values)}
+    mapped = rows.select("i", F.transform(F.array(F.parse_json("t")), lambda v: variant_cell(v, skip_blank=skip_blank))[0].alias("cell"))
+    assert {r.i: r.cell for r in mapped.collect()} == got
+
+
 def test_watchlist_names_alike_in_their_beginning(spark, tmp_path):
     start = "Gesellschaft für die Verwaltung langer Namen und noch längerer Titel "
     (tmp_path / "w.json").write_text(json.dumps([{"label": start + "Nord"}, {"label": start + "Süd"}]))
