@@ -2,8 +2,9 @@
 
 The page is read into a tree.  Every paragraph passes points for its length and its commas to
 its ancestors, half of them with each step up; a container's points are discounted by the share of
-its text that stands in links.  The container with most points and the siblings of its kind
-are the article; menus, forms, notices and the like inside it are left out.
+its text that stands in links.  The container with most points, or all that are marked as articles, and
+what stands around them without being mostly links are the article, whatever its length; menus, forms,
+notices and the like are left out.
 """
 
 from __future__ import annotations
@@ -184,24 +185,46 @@ def main_text(page: str | None) -> str:
     best = max(marked or containers, key=lambda n: n.points)
     if best.points <= 0:
         return ""
-    chosen = [best]
-    if best.parent is not None:
-        least = max(1.0, best.points * 0.2)
-        around = [c for c in best.parent.children if isinstance(c, Node) and not c.beside and c is not best]
-        kin = [c for c in around if c.text and _density(c) < 0.33 and (c.points >= least if c.tag != "p" else not marked)]
-        chosen = [c for c in best.parent.children if c is best or any(c is k for k in kin)]
-    found = [text for node in chosen for text, owner in blocks(node) if not _is_menu(owner, node)]
+    within = [n for n in marked if n is best or _density(n) < LINKED] or [best]
+    lines = [_ancestors(n) for n in within]
+    inside = set(within)
+    whole = {n for n, line in zip(within, lines, strict=True) if inside.isdisjoint(line)}
+    lines = [line for n, line in zip(within, lines, strict=True) if n in whole]
+    path = {a for line in lines for a in line}
+    top = root
+    if marked and lines[0]:
+        # The nearest container of all that is marked; what is farther off is not of the article by the page's own word.
+        top = next(a for a in lines[0] if all(a in line for line in lines))
+    found = [text for text, owner in blocks(top) if _is_kept(owner, whole, path)]
     return "\n\n".join(found)
 
 
-def _is_menu(owner: Node, top: Node) -> bool:
-    """Whether a block stands in a list that is nearly all links."""
-    node = owner
-    while node is not None and node is not top:
+#: Text of which this share stands in links is not of the article, unless inside its container.
+LINKED = 0.33
+
+
+def _ancestors(node: Node) -> dict[Node, None]:
+    """The elements around ``node``, innermost first."""
+    found = {}
+    while (node := node.parent) is not None:
+        found[node] = None
+    return found
+
+
+def _is_kept(owner: Node, whole: set[Node], path: set[Node]) -> bool:
+    """Whether a block belongs to the article: containers ``whole``, elements around them ``path``."""
+    if owner in path:
+        inline = [c for c in owner.children if isinstance(c, str) or not (c.beside or c.tag in BLOCK)]
+        text = sum(len(c.strip()) if isinstance(c, str) else c.text for c in inline)
+        return sum(c.linked for c in inline if not isinstance(c, str)) < LINKED * text
+    node, light = owner, False
+    while node not in whole and node not in path:
+        # A list that is nearly all links.
         if node.tag in ("ul", "ol", "dl", "table") and _density(node) > 0.8:
-            return True
+            return False
+        light = light or _density(node) < LINKED
         node = node.parent
-    return False
+    return light or node in whole
 
 
 def _extract(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,26 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "<p>" + "Long, and, with, commas, " * 40 + "end</p>"
+LONG_TEXT = " ".join(("Long, and, with, commas, " * 40 + "end").split())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div><section>{LONG}{LONG}</section><section><p>short</p></section></div></body>", [LONG_TEXT, LONG_TEXT, "short"]),
+        (f"<body><h1>T</h1><div><h2>A</h2><section>{LONG}</section><pre>x = 1</pre><blockquote>q</blockquote><figure>f</figure></div></body>", ["T", "A", LONG_TEXT, "x = 1", "q", "f"]),
+        (f"<div><section>{LONG}</section></div><div><div><h2>B</h2><p>s</p></div></div>loose", [LONG_TEXT, "B", "s", "loose"]),
+        (f"<main><h1>T</h1><article>{LONG}</article><p>after</p></main>", ["T", LONG_TEXT, "after"]),
+        (f"<div><h1>T</h1><article>{LONG}</article><p>after</p><article><p>b</p></article></div>", ["T", LONG_TEXT, "after", "b"]),
+        (f"<div><a href=1>Home</a> <a href=2>News</a><section>{LONG}</section><div><a href=3>More</a></div><ul><li><a href=4>x</a></ul></div><div class=sidebar><p>s</p></div>", [LONG_TEXT]),
+        (f"<div><section>{LONG}</section><div><div><a href=3>Many, long, links, here</a></div><section><p>s</p></section></div></div>", [LONG_TEXT, "s"]),
+    ],
+)
+def test_uneven_pages(page, text):
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
 def test_pages(spark):
     deep, long = "<div>" * 4000 + "deep" + "</div>" * 4000, "<article>" + "<p>word, word</p>" * 20_000 + "</article>"
     pages = [(1, "u", "<article><p>x</p></article>"), (1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "v", ""), (3, "w", deep), (4, "w", long)]
