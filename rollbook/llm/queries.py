@@ -18,6 +18,8 @@ from rollbook.llm import (
     toxicity,
     training_order,
     url_rules,
+    value_codes,
+    whitening,
 )
 from rollbook.llm.common import in_fold
 
@@ -168,3 +170,13 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     net = langid.learn(docs.where(~held))
     judged = langid.predict(docs.select("doc_id", "text", held.alias("held_out")), net, keep=("doc_id", "held_out"))
     return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query(value_codes.sql())
+def op11_value_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return value_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
