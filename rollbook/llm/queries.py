@@ -15,6 +15,7 @@ from rollbook.llm import (
     mixture,
     quality,
     simhash,
+    suffix_dedup,
     toxicity,
     training_order,
     url_rules,
@@ -177,6 +178,11 @@ def op11_value_codes(spark: SparkSession, folder: str) -> DataFrame:
     return value_codes.compress(table(spark, folder, "embeddings"))
 
 
+@query(suffix_dedup.SQL)
+def op12_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"))
+
+
 @query()
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
