@@ -106,7 +106,6 @@ def plain_leaks(docs, items):
                 seeds.setdefault((m, *(w[q + k] for k in mask)), []).append((item, q, w))
     for doc, t in docs:
         w = words_of(t)
-        lead = int(bool(t) and not regex.match(r"[\p{L}\p{N}]", t))
         for p in range(len(w) - decontamination.SPAN + 1):
             for m, mask in enumerate(decontamination.MASKS):
                 for item, q, other in seeds.get((m, *(w[p + k] for k in mask)), ()):
@@ -116,7 +115,7 @@ def plain_leaks(docs, items):
                         if at >= 0 and at + width <= len(w):
                             n = sum(other[s + k] == w[at + k] for k in range(width))
                             if n >= decontamination.EQUAL_SHARE * width:
-                                best[doc, item] = max(best.get((doc, item), (0,)), (n, -(at + lead), width))
+                                best[doc, item] = max(best.get((doc, item), (0,)), (n, -at, width))
     return {(d, i, n, width, -at) for (d, i), (n, at, width) in best.items()}
 
 
@@ -142,6 +141,11 @@ def test_leaks(spark):
     assert decontamination.without_leaks(rows, bench.limit(0)).count() == len(docs)
 
 
+def test_filter_grows_with_the_benchmark():
+    sizes = [decontamination._filter_bits(n) for n in (0, 1, 1 << 10, (1 << 10) + 1, 1 << 16, 1 << 40)]
+    assert sizes == [16, 16, 16, 17, 22, 27]
+
+
 @pytest.mark.parametrize("n", range(9, 17))
 def test_every_leak_has_a_seed(n):
     for changed in itertools.combinations(range(n), n // 4):
@@ -173,7 +177,8 @@ def all_leaks(docs, items):
 def test_leaks_with_all_words_allowed_to_differ(spark):
     rng = random.Random(8)
     items = [(n, text(200 + n, n)) for n in [*range(1, 17), 40]] + [(0, ""), (50, None)]
-    docs = [(0, None), (1, ""), (2, items[0][1]), (3, "w1 " + items[2][1])]
+    docs = [(0, None), (1, ""), (2, items[0][1]), (3, "w1 " + items[2][1]), (4, "\"" + items[15][1]), (5, " — " + items[16][1] + "!?"), (6, "...")]
+    docs += [(7, "(" + " ".join(items[16][1].split()[1:15])), (8, "«" + " ".join(items[14][1].split()[:13]) + "»"), (9, items[15][1]), (9, items[16][1])]
     for n, t in items[:17]:
         w = t.split()
         for r in range(4):
