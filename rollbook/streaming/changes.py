@@ -7,7 +7,6 @@ keeps the last state of every key as a table and reports additions and changes a
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,8 +16,8 @@ from rollbook import model
 from rollbook.operators import snapshots as sn
 from rollbook.operators.history import nth_newest
 from rollbook.plans.archive import Archive
+from rollbook.streaming.state import KEY, KeyedState
 
-_STATE = f"source string, row_key string, stamp string, fields {model.FIELDS}"
 _EVENTS = (
     f"source string, row_key string, stamp string, kind string, columns array<string>, row {model.FIELDS}, previous {model.FIELDS}"
 )
@@ -31,8 +30,7 @@ def record_events(archive: Archive, source: str, stamp: str) -> dict[str, int] |
         return None
     earlier = archive.catalog().filter((F.col("source") == source) & (F.col("stamp") < stamp))
     before = nth_newest(earlier).first()
-    events = archive.diff(source, before["stamp"], stamp) if before else None
-    return archive.append_changes(source, stamp, events, against=before["stamp"] if before else "")
+    return archive.record_changes(source, before["stamp"] if before else "", stamp)
 
 
 def follow_catalog(archive: Archive, checkpoint: str, *, once: bool = True) -> StreamingQuery:
@@ -51,49 +49,53 @@ def follow_catalog(archive: Archive, checkpoint: str, *, once: bool = True) -> S
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
-def _state_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The last row of every key as the batches before ``batch`` left it."""
-    try:
-        kept = spark.read.parquet(f"{path}/state").filter(F.col("version") < batch)
-        newest = kept.agg(F.max("version")).first()[0]
-    except AnalysisException:  # no batch has been here
-        newest = None
-    if newest is None:
-        return spark.createDataFrame([], _STATE)
-    return spark.read.schema(_STATE).parquet(f"{path}/state/version={newest}")
-
-
-def _advance(state: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events of ``rows`` after ``state``, and the state after them."""
-    key = ["source", "row_key"]
-    firsts = rows.groupBy(*key, "stamp").agg(F.min_by("fields", "ordinal").alias("row"))
-    known = state.select(*key, F.col("stamp").alias("seen"), F.col("fields").alias("last"))
-    fresh = firsts.join(known, key, "left").filter(F.col("seen").isNull() | (F.col("stamp") > F.col("seen")))
-    order = Window.partitionBy(*key).orderBy("stamp")
-    pairs = fresh.withColumn("previous", F.coalesce(F.lag("row").over(order), "last"))
-    events = sn.classify(pairs, [*key, "stamp"]).filter((F.col("kind") != "changed") | (F.size("columns") > 0))
-    newest = firsts.select(*key, "stamp", F.col("row").alias("fields")).unionByName(state)
-    after = newest.groupBy(*key).agg(F.max_by("fields", "stamp").alias("fields"), F.max("stamp").alias("stamp"))
-    return events, after.select(*key, "stamp", "fields")
+def _fresh(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The first row of every key and stamp that is newer than the state, with the row ``previous`` to it."""
+    firsts = rows.groupBy(*KEY, "stamp").agg(F.min_by("fields", "ordinal").alias("row"))
+    known = state.select(*KEY, F.col("stamp").alias("seen"), F.col("fields").alias("last"))
+    fresh = firsts.join(known, list(KEY), "left").filter(F.col("seen").isNull() | (F.col("stamp") > F.col("seen")))
+    order = Window.partitionBy(*KEY).orderBy("stamp")
+    return fresh.withColumn("previous", F.coalesce(F.lag("row").over(order), "last"))
+
+
+def _events(fresh: DataFrame) -> DataFrame:
+    return sn.classify(fresh, [*KEY, "stamp"]).filter((F.col("kind") != "changed") | (F.size("columns") > 0))
+
+
+def _after(fresh: DataFrame) -> DataFrame:
+    """The state of the keys that moved."""
+    return fresh.groupBy(*KEY).agg(F.max("stamp").alias("stamp"), F.max_by("row", "stamp").alias("fields"))
 
 
 def follow_rows(rows: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Write additions and changes of a stream ``source, stamp, row_key, ordinal, fields`` below ``path``.
 
     Of several rows with one key and stamp the first counts; rows no newer than the
-    state are ignored.  Every batch writes its events and the state after it under its own
+    state are ignored.  Removals are not known here, whatever the register.  Every batch reads the state of
+    its own keys as the batches before left it and writes its events and the keys it moved under its own
     number, so a batch that is repeated after a failure gives the same again.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        events, after = _advance(_state_before(batch.sparkSession, path, number), batch)
-        events.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
-        after.write.mode("overwrite").parquet(f"{path}/state/version={number}")
+        state = KeyedState(batch.sparkSession, f"{path}/state")
+        state.merge(number)
+        # Read by events and state; lost blocks are computed again.
+        fresh = _fresh(batch, state.read_for(batch, number)).persist()
+        try:
+            _events(fresh).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            state.write(_after(fresh), number)
+        finally:
+            fresh.unpersist()
 
     writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def read_row_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of every key that :func:`follow_rows` has seen: ``source, row_key, stamp, fields``."""
+    return KeyedState(spark, f"{path}/state").read()
+
+
 def read_row_changes(spark: SparkSession, path: str) -> DataFrame:
     """The events that :func:`follow_rows` has written: ``source, row_key, stamp, kind, columns, row, previous``."""
     return spark.read.schema(_EVENTS).parquet(f"{path}/events")

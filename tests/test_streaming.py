@@ -1,7 +1,13 @@
+import os
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.plans.archive import Archive
-from rollbook.streaming.changes import _STATE, _advance, follow_catalog, follow_rows, read_row_changes
+from rollbook.streaming import changes
+from rollbook.streaming.changes import follow_catalog, follow_rows, read_row_changes, read_row_state
+from rollbook.streaming.state import STATE, KeyedState, Run
 
 OLD = [{"UID": "1", "Name": "Alpha"}, {"UID": "2", "Name": "Beta"}]
 NEW = [{"UID": "1", "Name": "Alpha2", "timestamp": "x"}, {"UID": "3", "Name": "Gamma"}, {"UID": "3", "Name": "Late"}]
@@ -38,5 +44,72 @@ def test_rows_are_compared_with_the_last_state(spark, rows, tmp_path):
     land("s0", [{"UID": "1", "Name": "too late"}])
     land("s4", [{"UID": "2", "Name": "Beta2"}, {"UID": "1", "Name": "Alpha2"}])
     assert follow() == first + [("s4", "changed", "2", ["Name"])]
-    events, after = _advance(spark.createDataFrame([], _STATE), spark.read.parquet(source).limit(0))
-    assert events.count() == after.count() == 0
+    assert {(r["row_key"], r["stamp"]) for r in read_row_state(spark, out).collect()} == {("1", "s4"), ("2", "s4"), ("3", "s3")}
+    fresh = changes._fresh(spark.read.parquet(source).limit(0), spark.createDataFrame([], STATE))
+    assert changes._events(fresh).count() == changes._after(fresh).count() == 0
+
+
+@pytest.mark.parametrize("source, kinds", [("ted", {"changed"}), ("eba-psd", {"changed", "removed"})])
+def test_rows_that_leave_a_window_are_not_removed(spark, rows, tmp_path, source, kinds):
+    archive = Archive(spark, str(tmp_path / "a"))
+    archive.write_snapshot(source, rows(OLD), stamp="20260801T000000Z", key_columns=["UID"])
+    archive.write_snapshot(source, rows(NEW[:1]), stamp="20260802T000000Z", key_columns=["UID"])
+    follow_catalog(archive, str(tmp_path / "ckpt")).awaitTermination(120)
+    assert {r["kind"] for r in archive.changes().collect()} == kinds
+    assert archive.change_runs().agg(F.sum("removed")).first()[0] == len(kinds) - 1
+
+
+def _size(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+
+
+def test_state_is_a_log_of_runs(spark, tmp_path):
+    """Fifty small batches over a large state: what a batch writes and what stays on disk are bounded."""
+    path = str(tmp_path / "state")
+    state = KeyedState(spark, path)
+
+    def batch(keys, stamp):
+        kept = F.map_from_arrays(F.array(F.lit("v")), F.array(F.sha2(F.concat(F.lit(stamp), F.col("id").cast("string")), 512)))
+        return spark.range(keys).select(F.lit("x").alias("source"), F.col("id").cast("string").alias("row_key"), F.lit(stamp).alias("stamp"), kept.alias("fields"))
+
+    state.write(batch(20_000, "s000"), 0)
+    whole, written, on_disk = _size(path), [], []
+    for number in range(1, 51):
+        state.merge(number)
+        rows = batch(10, f"s{number:03d}")
+        assert state.read_for(rows, number).count() == 10
+        state.write(rows, number)
+        written.append(_size(f"{path}/run-0-{number}-{number}"))
+        on_disk.append(_size(path))
+    assert max(written) < whole / 10 and max(on_disk) < 1.5 * whole
+    assert len(state.runs()) < 4 * 4
+    got = {(r["row_key"], r["stamp"]) for r in state.read().collect()}
+    assert got == {(str(i), "s050" if i < 10 else "s000") for i in range(20_000)}
+
+
+def test_a_batch_may_be_repeated_and_a_merge_broken_off(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state = KeyedState(spark, path)
+
+    def rows(*items):
+        return spark.createDataFrame([("x", k, s, {"v": v}) for k, s, v in items], STATE)
+
+    def seen(before=None):
+        return sorted((r["row_key"], r["stamp"], r["fields"]["v"]) for r in state.read(before).collect())
+
+    for n in range(5):
+        state.write(rows(("a", f"s{n}", str(n)), (f"k{n}", f"s{n}", "")), n)
+    four = seen(4)
+    shutil.copytree(path, str(tmp_path / "copy"))
+    state.merge(4)
+    assert seen(4) == four and state.runs(4) == [Run(1, 0, 3)] and state.runs()[-1] == Run(0, 4, 4)
+    # The runs that were merged are there again, as if removing them had failed, and a half-written one beside them.
+    for name in os.listdir(tmp_path / "copy"):
+        shutil.copytree(str(tmp_path / "copy" / name), f"{path}/{name}", dirs_exist_ok=True)
+    os.makedirs(f"{path}/run-2-0-3/bucket=1")
+    assert seen(4) == four and seen() == sorted([*((k, s, v) for k, s, v in four if k != "a"), ("a", "s4", "4"), ("k4", "s4", "")])
+    state.merge(4)
+    state.write(rows(("a", "s4", "4"), ("k4", "s4", "")), 4)
+    assert sorted(os.listdir(path)) == ["run-0-4-4", "run-1-0-3"] and seen(4) == four
+    assert state.read_for(rows(("k1", "", "")), 5).collect()[0]["stamp"] == "s1"
+    assert KeyedState(spark, str(tmp_path / "none")).read().count() == 0
