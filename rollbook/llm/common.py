@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.session import materialise
+from rollbook.session import materialise, shared_folder
+
+#: Spark removes the shuffle files of a statement at its end where this is on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: What counts as a word: a run of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,3 +46,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *co
     rows = docs.select(F.col("doc_id").alias("key"), *columns).join(chosen, "key")
     least = F.min(F.struct(*columns)).alias("row")
     return rows.groupBy("key", "label").agg(least).select("key", "label", "row.*")
+
+
+def settle(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, like ``materialise``, without its shuffle files staying on disk.
+
+    For jobs of several steps whose shuffles are as large as their input.  ``options`` go to the Parquet writer.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, purpose), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)

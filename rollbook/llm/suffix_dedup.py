@@ -5,14 +5,15 @@ the smallest hash, the leftmost of these.  Equal windows have equal anchors at t
 only where an anchor does, at two places of the corpus.  Windows with one place as their anchor lie side by side and make
 up a *segment*, of less than twice ``LENGTH`` bytes.  The job narrows the text down in three steps:
 
-1. segments are counted by anchor and content: those that occur twice are repeated throughout, and of
-   equal ones a single one goes on; an anchor with one content is done with;
-2. the segments of all other anchors are dealt to shards by anchor.  A shard sorts the suffixes of its segments by inducing,
+1. anchors are counted.  One that occurs once repeats nothing; where all segments of one have the same content,
+   each of them is repeated throughout.  Of the others, equal segments are counted and a single one goes on;
+2. these are dealt to shards by anchor.  A shard sorts the suffixes of its segments by inducing,
    and the permuted common prefixes tell which windows share ``LENGTH`` bytes with a neighbour;
 3. an anchor with more segments than ``GROUP`` (a very common line in different surroundings) is cut into groups.
    Each group's suffix array leaves one row per different window that it holds, and these are counted over the groups.
 
 No step gathers the documents that share a passage: copies are counted by partial sums, and groups are bounded.
+Segments of one anchor with equal 64-bit hashes count as equal, windows of one anchor with equal 128-bit hashes too.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm import induced
-from rollbook.session import materialise
+from rollbook.llm.common import settle
 
 #: Strings of so many bytes that start twice are removed; bytes of an anchor.
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Segments of one anchor that a shard takes at most; bytes of a suffix array, after which the next group begins a new one.
 GROUP, SHARD_BYTES = 2048, 1 << 19
 #: Text is scanned in pieces of so many windows.
 _PIECE_BITS = 20
 _PIECE = 1 << _PIECE_BITS
 
-SEGMENT = "anchor bigint, one bigint, two bigint"
-_KEY = ("anchor", "one", "two")
+_KEY = ("anchor", "content")
 
 
 def _hashes(text: np.ndarray) -> np.ndarray:
@@ -99,20 +99,19 @@ def _binary(column: pa.Array) -> tuple[memoryview, np.ndarray]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    struct = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
     for batch in batches:
         data, at = _binary(batch.column("bytes"))
         text = np.frombuffer(data, np.uint8)
         first, last, anchors = segments(text, np.append(at[1:], len(text) + 1))
-        digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
-        content = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        content = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
         of = np.searchsorted(at, first, side="right") - 1
-        shift = at[of]
-        fields = [pa.array((first - shift).astype(np.int32)), pa.array((last - shift).astype(np.int32)), pa.array(anchors), pa.array(content[:, 0]), pa.array(content[:, 1])]
+        fields = [(first - at[of]).astype(np.int32), (last - first).astype(np.int32), anchors, np.array(content, np.uint64).view(np.int64)]
+        struct = pa.StructArray.from_arrays([pa.array(f) for f in fields], ["first", "span", "anchor", "content"])
         counts = np.searchsorted(of, np.arange(len(batch) + 1))
-        parts = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(struct)))
+        parts = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), struct)
         whole = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole), parts], names=[*batch.schema.names, "sha256", "segments"])
+        names = [*batch.schema.names, "n_bytes", "sha256", "segments"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(at)), pa.array(whole), parts], names=names)
 
 
 def shared(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,14 +156,14 @@ def _judge(keys: list[tuple], parts: list[bytes]) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(seg)) + 1
         for own, run in zip(np.split(seg, cut), np.split(offs, cut), strict=True):
             if len(own):
-                rows += [(*keys[own[0]][:3], low, high, None, None) for low, high in _runs(run)]
-        grouped = np.array([k[3] for k in keys])
+                rows += [(*keys[own[0]][:2], low, high, None, None) for low, high in _runs(run)]
+        grouped = np.array([k[2] for k in keys])
         chosen = grouped[of[begins]]
         for s, o, size in zip(of[begins][chosen].tolist(), offset[begins][chosen].tolist(), sizes[chosen].tolist(), strict=True):
             digest = np.frombuffer(xxhash.xxh3_128_digest(parts[s][o : o + LENGTH]), np.int64).tolist()
-            rows.append((*keys[s][:3], o if size == 1 else None, None, *digest))
+            rows.append((*keys[s][:2], o if size == 1 else None, None, *digest))
     names = (*_KEY, "low", "high", "w1", "w2")
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 2
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
@@ -173,12 +172,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, parts, size, group = [], [], 0, None
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in (*_KEY, "groups", "group", "bytes")]
-        for anchor, one, two, groups, own, text in zip(*columns, strict=True):
+        for anchor, content, groups, own, text in zip(*columns, strict=True):
             if size >= SHARD_BYTES and (anchor, own) != group:
                 yield _judge(keys, parts)
                 keys, parts, size = [], [], 0
             group = (anchor, own)
-            keys.append((anchor, one, two, groups > 1))
+            keys.append((anchor, content, groups > 1))
             parts.append(text)
             size += len(text)
     if keys:
@@ -188,29 +187,33 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame) -> DataFrame:
     """``rid, low, high``: runs of windows of a document, by their first bytes, that also start elsewhere.
 
-    ``texts`` has ``rid``, ``bytes`` and ``segments`` (``_scan``).  Runs may touch or overlap.
+    ``texts`` has ``rid``, ``bytes`` and ``segments`` (``_scan``).  Runs of a document do not overlap.
     """
     own = texts.select("rid", F.inline("segments"))
-    counted = own.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("at"))
-    counted = materialise(counted.withColumn("span", F.col("at.last") - F.col("at.first")), "segments")
-    anchors = counted.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
-    doubtful = counted.join(anchors, "anchor").withColumn("groups", F.ceil(F.col("contents") / GROUP).cast("int"))
-    doubtful = doubtful.withColumn("group", F.expr("cast(pmod(xxhash64(one, two), groups) as int)"))
-    doubtful = doubtful.select(*_KEY, "groups", "group", F.col("at.rid").alias("rid"), F.col("at.first").alias("first"), (F.col("span") + LENGTH).alias("size"))
-    text = F.expr("substring(bytes, first + 1, size)").alias("bytes")
-    shards = doubtful.join(texts.select("rid", "bytes"), "rid").select(*_KEY, "groups", "group", text)
+    repeated = own.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b"))
+    repeated = settle(repeated.where("n > 1").select("anchor", F.expr("a = b").alias("throughout")), "anchors")
+    key = [F.when(~F.col("throughout"), F.col(c)).alias(c) for c in _KEY]
+    met = settle(own.join(repeated, "anchor").select("rid", "first", "span", "throughout", *key), "met")
+
+    doubtful = met.where("not throughout")
+    counted = doubtful.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min_by("first", "rid").alias("first"), F.min("span").alias("span"))
+    counted = settle(counted, "contents")
+    anchors = counted.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    parts = counted.join(anchors, "anchor").withColumn("group", F.expr("cast(pmod(xxhash64(content), groups) as int)"))
+    text = F.expr(f"substring(bytes, first + 1, span + {LENGTH})").alias("bytes")
+    shards = parts.join(texts.select(F.col("rid").alias("of"), "bytes"), F.col("rid") == F.col("of")).select(*_KEY, "groups", "group", text)
     shards = shards.repartition("anchor", "group").sortWithinPartitions("anchor", "group")
-    judged = materialise(shards.mapInArrow(_shards, f"{SEGMENT}, low int, high int, w1 bigint, w2 bigint"), "judged")
+    judged = settle(shards.mapInArrow(_shards, "anchor bigint, content bigint, low int, high int, w1 bigint, w2 bigint"), "judged")
 
     # Windows that one group holds are repeated if another holds them too.
     windows = judged.where("w1 is not null")
-    twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    across = windows.where("low is not null").join(twice, ["w1", "w2"]).select(*_KEY, "low", F.col("low").alias("high"))
-    throughout = counted.where("n > 1").select(*_KEY, F.lit(0).alias("low"), F.col("span").alias("high"))
-    within = judged.where("w1 is null").select(*_KEY, "low", "high")
-    verdicts = materialise(throughout.unionByName(within).unionByName(across), "verdicts")
-    found = own.join(verdicts, list(_KEY))
-    return found.select("rid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    twice = windows.groupBy("anchor", "w1", "w2").count().where("count > 1").drop("count")
+    across = windows.where("low is not null").join(twice, ["anchor", "w1", "w2"]).select(*_KEY, "low", F.col("low").alias("high"))
+    in_parts = judged.where("w1 is null").select(*_KEY, "low", "high").unionByName(across)
+    in_parts = in_parts.join(counted.where("n = 1").select(*_KEY), list(_KEY), "left_semi")
+    verdicts = settle(counted.where("n > 1").select(*_KEY, F.lit(0).alias("low"), F.col("span").alias("high")).unionByName(in_parts), "verdicts")
+    found = doubtful.join(verdicts, list(_KEY)).select("rid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    return found.unionByName(met.where("throughout").select("rid", F.col("first").alias("low"), (F.col("first") + F.col("span")).alias("high")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,18 +251,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     bytes_ = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("bytes")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), bytes_)
-    doc_id = rows.schema["doc_id"].dataType.simpleString()
-    fields = "first:int,last:int,anchor:bigint,one:bigint,two:bigint"
-    kind = f"doc_id {doc_id}, rid bigint, bytes binary, sha256 string, segments array<struct<{fields}>>"
+    doc_id = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+    segment = "first:int,span:int,anchor:bigint,content:bigint"
     # Written once, so that the number a row got stays its number.
-    texts = materialise(rows.mapInArrow(_scan, kind), "texts")
-    runs = repeats(texts).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    runs = materialise(runs.withColumnRenamed("rid", "of"), "runs")
-    whole = texts.join(runs, F.col("rid") == F.col("of"), "left_anti")
-    whole = whole.select("doc_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
-    cut = texts.join(runs, F.col("rid") == F.col("of")).select("doc_id", "bytes", "runs")
-    cut = cut.mapInArrow(_cut, f"doc_id {doc_id}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return whole.unionByName(cut)
+    texts = settle(rows.mapInArrow(_scan, f"{doc_id}, rid bigint, bytes binary, n_bytes bigint, sha256 string, segments array<struct<{segment}>>"), "texts", compression="zstd")
+    runs = repeats(texts).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("runs"), F.sum(F.expr("high - low + 1")).alias("windows"))
+    runs = settle(runs.select(F.col("rid").alias("of"), "windows", "runs"), "runs")
+
+    # Only documents of which a part is removed need their bytes again.
+    told = texts.join(runs.select("of", "windows"), F.col("rid") == F.col("of"), "left")
+    gone = F.col("windows") == F.col("n_bytes") - (LENGTH - 1)
+    removed, spans = F.when(gone, F.col("n_bytes")).otherwise(0), F.when(gone, 1).otherwise(0).cast("bigint")
+    kept = F.when(gone, hashlib.sha256().hexdigest()).otherwise(F.col("sha256"))
+    told = told.where(F.col("windows").isNull() | gone).select("doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), kept.alias("kept_sha256"))
+    cut = texts.select("doc_id", "rid", "n_bytes", "bytes").join(runs, (F.col("rid") == F.col("of")) & (F.col("windows") < F.col("n_bytes") - (LENGTH - 1)))
+    cut = cut.select("doc_id", "bytes", "runs").mapInArrow(_cut, f"{doc_id}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return told.unionByName(cut)
 
 
 SQL = f"""
