@@ -1,7 +1,11 @@
 """Page text, URL rules and the trained models: brute force, fixed cases, held-out accuracy."""
 
+import html
 import itertools
+import os
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -56,6 +60,63 @@ def test_uneven_pages(page, text):
     assert html_text.main_text(page) == "\n\n".join(text)
 
 
+INSIDE = [
+    ('<section id="discussion"><h2>Discussion</h2><p>We found, as others did, this.</p></section>', ["Discussion", "We found, as others did, this."]),
+    ('<section id="related"><h2>Related work</h2><p>Much has been written.</p></section>', ["Related work", "Much has been written."]),
+    ('<p class="alert">Mind the step.</p>', ["Mind the step."]),
+    ('<div class="reviews"><p>Critics liked it.</p></div>', ["Critics liked it."]),
+    ('<div class="toc legal search side notice share widget"><p>An odd name.</p></div>', ["An odd name."]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]),
+    ('<h2>References</h2><ol><li><a href="1">Smith 1999</a></li><li><a href="2">Jones 2001</a></li></ol>', ["References", "Smith 1999", "Jones 2001"]),
+    ('<ul class="share"><li><a href="1">Tweet</a></li><li><a href="2">Mail</a></li></ul>', []),
+    ('<div id="related"><a href="1">Other, stories</a> <a href="2">More, stories</a></div>', []),
+    ('<div class="ad">Buy, now</div><div class="comments"><p>nice</p></div>', []),
+    ('<div class="user-posts"><div class="post"><b>Ann</b><p>I agree, mostly</p></div><div class="post"><b>Bob</b><p>No.</p></div></div>', []),
+    ('<ul><li class="c"><a rel="author" href="u/1">Ann</a> <p>First!</p></li><li class="c"><a rel="author" href="u/2">Bob</a> <p>Second</p></li></ul>', []),
+    ("<article><p>Ann: a comment is an article in an article</p></article>", []),
+    ('<section><div><h2>10:05</h2><p class="author">By Ann</p></div><div><h2>10:10</h2><p class="author">By Bob</p></div></section>', ["10:05", "By Ann", "10:10", "By Bob"]),
+]
+
+
+@pytest.mark.parametrize("inner, text", INSIDE)
+def test_names_and_build_inside_the_article(inner, text):
+    assert html_text.main_text(f"<nav><a href=1>Home</a></nav><article><h1>T</h1>{LONG}{inner}<p>end</p></article><div class=related><p>Other, stories</p></div>") == "\n\n".join(["T", LONG_TEXT, *text, "end"])
+
+
+def test_a_thread_that_is_the_page_stays():
+    posts = "".join(f'<div class="post"><span class="author">u{i}</span><p>Post, number {i}</p></div>' for i in range(5))
+    assert html_text.main_text(f"<main>{posts}</main>").count("Post, number") == 5
+    assert html_text.main_text('<div class="widget"><p>All there is, is here.</p></div>') == "All there is, is here."
+
+
+@pytest.mark.parametrize("seed", ["<div>", "<div></section>", "<i><div><b></i>", "<p><b></u>", "<li><ul></td>", "<table><tr><td></p>", "<article>", "<section class=post>", "<a></p>x", "</x></div>"])
+def test_broken_markup_takes_linear_time(seed):
+    page = f"<p>{seed * (2_000_000 // len(seed) // 8)}<p>end, of, page"
+    begin = time.process_time()
+    assert html_text.main_text(page).endswith("end, of, page")
+    small = time.process_time() - begin
+    begin = time.process_time()
+    html_text.main_text(f"<p>{seed * (2_000_000 // len(seed) // 2)}<p>end, of, page")
+    assert time.process_time() - begin < 8 * small + 1
+
+
+def plain_article(page):
+    """The given pages have one article with nothing but text in it."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inner, flags=re.S)
+    parts = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|table|tr|td|section)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", part))).split()) for part in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    got = html_text.extract(pages.withColumn("text", F.lit("other")), "page_id").collect()
+    assert len(got) == len(want) == 250 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
 def test_pages(spark):
     deep, long = "<div>" * 4000 + "deep" + "</div>" * 4000, "<article>" + "<p>word, word</p>" * 20_000 + "</article>"
     pages = [(1, "u", "<article><p>x</p></article>"), (1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "v", ""), (3, "w", deep), (4, "w", long)]
