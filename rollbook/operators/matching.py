@@ -28,45 +28,48 @@ def register_columns(spark, registers: Iterable[Register] = REGISTERS) -> DataFr
     return register_catalog(spark, shaped).select(F.col("key").alias("source"), "identifier_columns", "name_columns")
 
 
-def _claims(fields: Column) -> Column:
-    def cell(column: Column) -> Column:
-        return strip(F.coalesce(fields[column], F.lit("")))
-
-    def claim(kind: str, column: Column, value: Column, key: Column, start: Column, position: Column) -> Column:
-        return F.struct(
-            (start + position).cast("bigint").alias("rank"),
-            F.lit(kind).alias("kind"),
-            column.alias("column"),
-            value.alias("value"),
-            key.alias("key"),
-        )
+def _cell(fields: Column, column: Column) -> Column:
+    return strip(F.coalesce(fields[column], F.lit("")))
 
-    def identifiers(column: Column, i: Column) -> Column:
-        start = i.cast("bigint") * F.lit(_COLUMN_STEP)
-        forms = keys.identifier_forms(cell(column))
-        return F.transform(forms, lambda f, j: claim("identifier", column, cell(column), f, start, j))
 
-    def names(column: Column, i: Column) -> Column:
-        start = i.cast("bigint") * F.lit(_COLUMN_STEP) + F.lit(_NAMES_FROM)
-        parts = F.filter(split_literal(cell(column), SEPARATOR), lambda p: p != "")
-        return F.transform(parts, lambda p, j: claim("name", column, p, F.lit(None).cast("string"), start, j))
+def _start(i: Column, first: int = 0) -> Column:
+    return i.cast("bigint") * F.lit(_COLUMN_STEP) + F.lit(first)
 
-    return F.concat(
-        F.flatten(F.transform("identifier_columns", identifiers)), F.flatten(F.transform("name_columns", names))
-    )
+
+def _identifier_claims(fields: Column) -> Column:
+    def of_column(column: Column, i: Column) -> Column:
+        def claim(form: Column, j: Column) -> Column:
+            rank = (_start(i) + j).cast("bigint")
+            return F.struct(rank.alias("rank"), F.lit("identifier").alias("kind"), column.alias("column"), _cell(fields, column).alias("value"), form.alias("key"))
+
+        return F.transform(keys.identifier_forms(_cell(fields, column)), claim)
+
+    return F.flatten(F.transform("identifier_columns", of_column))
+
+
+def _name_claims(fields: Column) -> Column:
+    """Without their keys, which take Python."""
+
+    def of_column(column: Column, i: Column) -> Column:
+        def claim(part: Column, j: Column) -> Column:
+            rank = (_start(i, _NAMES_FROM) + j).cast("bigint")
+            return F.struct(rank.alias("rank"), F.lit("name").alias("kind"), column.alias("column"), part.alias("value"))
+
+        return F.transform(F.filter(split_literal(_cell(fields, column), SEPARATOR), lambda p: p != ""), claim)
+
+    return F.flatten(F.transform("name_columns", of_column))
 
 
 def match_keys(rows: DataFrame, columns: DataFrame, *, keep: Sequence[str] = ROW_ID) -> DataFrame:
     """Every key under which a row can be found: ``keep..., rank, kind, column, value, key``.
 
     ``columns`` is :func:`register_columns`, one row per register.  Registers that are not listed have nothing to match and drop out.
+    Names go through Python; identifiers are unfolded on their own, so that they do not.
     """
-    claimed = rows.join(columns, "source").select(
-        *keep, F.explode(_claims(F.col("fields"))).alias("claim")
-    )
-    flat = claimed.select(*keep, "claim.rank", "claim.kind", "claim.column", "claim.value", "claim.key")
-    name = F.when(F.col("kind") == "name", F.col("value"))
-    return flat.withColumn("key", F.coalesce("key", keys.name_key(name))).filter(F.col("key") != "")
+    told = rows.join(columns, "source")
+    identifiers = told.select(*keep, F.inline(_identifier_claims(F.col("fields"))))
+    names = told.select(*keep, F.inline(_name_claims(F.col("fields")))).withColumn("key", keys.name_key("value"))
+    return identifiers.unionByName(names).filter(F.col("key") != "")
 
 
 def watch_claims(watchlist: DataFrame) -> DataFrame:
@@ -123,8 +126,8 @@ def match_rows(
     """The strongest single match of each row that has one.
 
     Adds ``entity_id, entity_label, match, match_column, match_value`` to ``by`` and
-    ``carry``.  With a counted, small index nothing but matching rows is
-    exchanged; a larger index joins by shuffle.
+    ``carry``.  Spark sends the index to all tasks where its size allows it; otherwise both sides are exchanged by key.
+    Keys stored beside a snapshot (``plans/match_store.py``) need no exchange.
     """
     keep = list(dict.fromkeys([*by, "source", *carry]))
     index = watch_index(watchlist)
@@ -149,14 +152,18 @@ def match_rows(
 def scope(rows: DataFrame, watchlist: DataFrame, columns: DataFrame, *, by: Sequence[str] = ROW_ID) -> DataFrame:
     """Only rows about watched entities, each annotated with who and why."""
     matched = match_rows(rows, watchlist, columns, by=by, carry=("fields",))
-    why = F.create_map(
+    return matched.withColumn("fields", merge_maps(reason(), F.col("fields")))
+
+
+def reason() -> Column:
+    """Who is meant and why, as cells of the row."""
+    return F.create_map(
         F.lit("_entity_id"), F.col("entity_id"),
         F.lit("_entity_label"), F.col("entity_label"),
         F.lit("_match"), F.col("match"),
         F.lit("_match_column"), F.col("match_column"),
         F.lit("_match_value"), F.col("match_value"),
     )
-    return matched.withColumn("fields", merge_maps(why, F.col("fields")))
 
 
 def coverage_detail(rows: DataFrame, watchlist: DataFrame, columns: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -164,11 +171,12 @@ def coverage_detail(rows: DataFrame, watchlist: DataFrame, columns: DataFrame, s
 
     ``match`` is the kind of the first matching row and NULL where there is none.
     """
-    found = (
-        match_rows(rows, watchlist, columns, by=ROW_ID)
-        .groupBy("source", "entity_id")
-        .agg(F.min_by("match", "ordinal").alias("match"))
-    )
+    return coverage_of(match_rows(rows, watchlist, columns, by=ROW_ID), watchlist, sources)
+
+
+def coverage_of(matched: DataFrame, watchlist: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """:func:`coverage_detail` of rows that were matched before: ``source, ordinal, entity_id, match``."""
+    found = matched.groupBy("source", "entity_id").agg(F.min_by("match", "ordinal").alias("match"))
     every = F.array(*map(F.lit, sources)).cast("array<string>")
     listed = F.when(F.size("sources") == 0, every).otherwise(F.array_intersect("sources", every))
     watched = watchlist.select(F.col("id").alias("entity_id"), F.explode(listed).alias("source"))
@@ -194,12 +202,16 @@ def watch_changes(changes: DataFrame, watchlist: DataFrame, columns: DataFrame)
     """Change events about watched entities, over all registers in one job."""
     from rollbook.operators.snapshots import change_rows
 
-    events = change_rows(changes, keep=("source", "stamp")).withColumnRenamed("kind", "change")
-    tags = F.create_map(F.lit("_snapshot"), F.col("stamp"), F.lit("_source"), F.col("source"))
-    tagged = events.withColumn("fields", merge_maps(F.col("fields"), tags))
+    tagged = tag_changes(change_rows(changes, keep=("source", "stamp")))
     return scope(tagged, watchlist, columns, by=("source", "stamp", "change", "row_key"))
 
 
+def tag_changes(events: DataFrame) -> DataFrame:
+    """Event rows with the snapshot and register they come from; ``kind`` becomes ``change``."""
+    tags = F.create_map(F.lit("_snapshot"), F.col("stamp"), F.lit("_source"), F.col("source"))
+    return events.withColumnRenamed("kind", "change").withColumn("fields", merge_maps(F.col("fields"), tags))
+
+
 def _any(conditions: list[Column]) -> Column:
     result = F.lit(False)
     for condition in conditions:

@@ -233,7 +233,50 @@ def fetch_log_rollup(requests: DataFrame) -> DataFrame:
     return grouped.select(level.alias("level"), "host", "status", "requests", "bytes_in")
 
 
+def _counted(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``outcome`` (``ok``, ``retry``, ``error``; from the status where it is not noted), ``seconds`` and ``waited``."""
+    failed = F.col("status").isNull() | (F.col("status") >= 400)
+    guessed = F.when(failed, "error").otherwise("ok")
+    outcome = F.coalesce("outcome", guessed) if "outcome" in requests.columns else guessed
+    number = lambda name: F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)) if name in requests.columns else F.lit(0.0)
+    return requests.select(
+        url_host(F.col("url")).alias("host"), F.coalesce(F.col("status").cast("string"), F.lit("none")).alias("status"), outcome.alias("outcome"),
+        F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).alias("bytes"), number("seconds").alias("seconds"), number("waited").alias("waited"),
+    )
+
+
+_COUNTERS = ("requests", "retries", "failures", "bytes_in", "seconds_requesting", "seconds_waiting")
+
+
+def _counters() -> list[Column]:
+    values = (
+        F.count(F.lit(1)), F.count_if(F.col("outcome") == "retry"), F.count_if(F.col("outcome") == "error"), F.coalesce(F.sum("bytes"), F.lit(0)),
+        F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 3), F.round(F.coalesce(F.sum("waited"), F.lit(0.0)), 3),
+    )
+    return [value.alias(name) for name, value in zip(_COUNTERS, values, strict=True)]
+
+
+def request_totals(requests: DataFrame) -> DataFrame:
+    """One row with the counters of all requests: how many, retries, failures, bytes, seconds requesting and waiting.
+
+    Seconds of waiting (throttling and backing off) are kept apart from those of requesting: much of the first is
+    politeness, much of the second a register in trouble.
+    """
+    return _counted(requests).agg(*_counters())
+
+
+def request_rollup(requests: DataFrame) -> DataFrame:
+    """The counters by host, by status, by outcome, by host and outcome, and in total: ``level, host, status, outcome`` and counters.
+
+    ``requests`` has ``url``, ``status`` and ``bytes``, and where they were noted ``outcome``, ``seconds`` and ``waited``.
+    """
+    names = ("host", "status", "outcome")
+    sets = [(), ("host",), ("status",), ("outcome",), ("host", "outcome")]
+    grouped = _counted(requests).groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.grouping_id().alias("gid"), *_counters())
+    level = F.create_map(*[F.lit(x) for s in sets for x in (sum(1 << 2 - i for i, n in enumerate(names) if n not in s), "+".join(s) or "all")])
+    return grouped.select(level[F.col("gid").cast("int")].alias("level"), *names, *_COUNTERS)
+
+
 def fetch_totals(run_log: DataFrame) -> DataFrame:
     """Sum the request counters that each run record carries."""
-    names = ("requests", "retries", "failures", "bytes_in", "seconds_requesting", "seconds_waiting")
-    return run_log.groupBy("run_id").agg(*[F.round(F.sum(f"http.{n}"), 3).alias(n) for n in names])
+    return run_log.groupBy("run_id").agg(*[F.round(F.sum(f"http.{n}"), 3).alias(n) for n in _COUNTERS])

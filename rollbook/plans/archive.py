@@ -1,9 +1,9 @@
 """A dated archive of register snapshots and the events between them.
 
-Five Parquet tables below one root: ``snapshots`` and ``changes`` partitioned by
-register and stamp, ``snapshot_catalog``, ``change_runs`` and ``run_log``.  Data
+Two Parquet tables below one root, ``snapshots`` and ``changes``, partitioned by
+register and stamp, and records of what was done: ``snapshot_catalog``, ``change_runs``, ``retired`` and ``run_log``.  Data
 are written first, the catalogue row last, and readers start from the catalogue;
-a half-written snapshot is therefore never seen.
+a half-written snapshot is therefore never seen.  Of several writers of one stamp the first claims it; the others are refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from rollbook.functions import keys
 from rollbook.operators import history
 from rollbook.operators import snapshots as sn
 from rollbook.operators.flatten import column_names
+from rollbook.plans.records import Records, Taken
 from rollbook.session import materialise
 
 
@@ -42,6 +43,11 @@ class DigestMismatch(RuntimeError):
     """The rows of a snapshot are not those that were archived."""
 
 
+_RECORDS = {
+    "snapshot_catalog": model.SNAPSHOT_CATALOG, "change_runs": model.CHANGE_RUNS, "retired": model.RETIRED, "run_log": model.RUN_LOG,
+}
+
+
 class Archive:
     """Tables below ``root``, a folder every executor can reach."""
 
@@ -64,16 +70,15 @@ class Archive:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _append(self, name: str, rows: list[tuple], schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(self._path(name))
+    def records(self, name: str) -> Records:
+        return Records(self.spark, self._path(name), _RECORDS[name])
 
     def _partition(self, name: str, source: str, stamp: str) -> str:
         return self._path(name, f"source={source.replace(':', '%3A')}", f"stamp={stamp}")
 
     def catalog(self) -> DataFrame:
         """Headers of all snapshots that were committed and not retired."""
-        listed = self._table("snapshot_catalog", model.SNAPSHOT_CATALOG)
-        retired = self._table("retired", model.RETIRED)
+        listed, retired = self.records("snapshot_catalog").read(), self.records("retired").read()
         return listed.join(retired, ["source", "stamp"], "left_anti")
 
     def snapshots(self) -> DataFrame:
@@ -83,10 +88,10 @@ class Archive:
         return self._table("changes", model.CHANGES)
 
     def change_runs(self) -> DataFrame:
-        return self._table("change_runs", model.CHANGE_RUNS)
+        return self.records("change_runs").read()
 
     def run_log(self) -> DataFrame:
-        return self._table("run_log", model.RUN_LOG)
+        return self.records("run_log").read()
 
     def header(self, source: str, stamp: str):
         """One catalogue row, or None."""
@@ -118,6 +123,28 @@ class Archive:
         key_columns = list(register.key_columns if key_columns is None else key_columns)
         if self.header(source, stamp):
             raise SnapshotExists(f"{source} already has a snapshot {stamp}")
+        try:
+            self.records("snapshot_catalog").claim(self._claim(source, stamp))
+        except Taken:
+            raise SnapshotExists(f"{source} {stamp} is being written, or was by a run that broke off and has not released it") from None
+        try:
+            row = self._written(source, stamp, register, rows, key_columns, meta, captured_at)
+            self.records("snapshot_catalog").append([row])
+        except BaseException:
+            self.release(source, stamp)
+            raise
+        return self.header(source, stamp)
+
+    def _claim(self, source: str, stamp: str) -> str:
+        return f"{source.replace(':', '%3A')}-{stamp}"
+
+    def release(self, source: str, stamp: str) -> None:
+        """Let a stamp be written again that a run claimed and, killed, did not commit."""
+        if self.header(source, stamp) is None:
+            self.records("snapshot_catalog").release(self._claim(source, stamp))
+
+    def _written(self, source: str, stamp: str, register, rows: DataFrame, key_columns: list[str], meta: Mapping[str, object] | None, captured_at: str | None) -> tuple:
+        """Write the rows of a snapshot; its catalogue row."""
         path = self._partition("snapshots", source, stamp)
         keyed = sn.with_keys(rows.select("ordinal", "fields"), key_columns)
         # Rows of one shape share the text of their column names, which Parquet
@@ -128,7 +155,7 @@ class Archive:
         digest = sn.body_digest(written).first()
         duplicates = sn.duplicate_keys(written).first()["duplicate_keys"]
         meta = dict(meta or {})
-        row = (
+        return (
             source,
             stamp,
             captured_at or iso_time(),
@@ -147,8 +174,6 @@ class Archive:
             register.cadence_hours,
             register.data_licence,
         )
-        self._append("snapshot_catalog", [row], model.SNAPSHOT_CATALOG)
-        return self.header(source, stamp)
 
     def read_snapshot(self, source: str, stamp: str, *, verify: bool = True) -> DataFrame:
         """Rows of one committed snapshot, after checking their digest."""
@@ -171,7 +196,7 @@ class Archive:
         Digests are recomputed from the fields.  Rows without a header and headers
         without rows both show.
         """
-        retired = self._table("retired", model.RETIRED)
+        retired = self.records("retired").read()
         kept = self.snapshots().join(retired, ["source", "stamp"], "left_anti")
         data = _recomputed(kept, "source", "stamp")
         recorded = self.catalog().select("source", "stamp", F.col("body_digest").alias("recorded"), F.col("row_count").alias("expected"))
@@ -252,7 +277,7 @@ class Archive:
             written = self.spark.read.parquet(path)
             counts = written.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in sn.KINDS]).first().asDict()
         row = (source, stamp, against, *[counts[k] for k in sn.KINDS], iso_time())
-        self._append("change_runs", [row], model.CHANGE_RUNS)
+        self.records("change_runs").append([row])
         return counts
 
     def read_changes(self, source: str | None = None, *, since: str = "", last: int | None = None) -> DataFrame:
@@ -284,14 +309,14 @@ class Archive:
         listed = [(r["source"], r["stamp"]) for r in doomed.select("source", "stamp").orderBy("source", "stamp").collect()]
         if dry_run or not listed:
             return listed
-        self._append("retired", [(s, t, iso_time()) for s, t in listed], model.RETIRED)
+        self.records("retired").append([(s, t, iso_time()) for s, t in listed])
         for source, stamp in listed:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._partition("snapshots", source, stamp))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return listed
 
     def log_runs(self, records: list[tuple]) -> None:
-        self._append("run_log", records, model.RUN_LOG)
+        self.records("run_log").append(records)
 
 
 def _listed_columns(written: DataFrame) -> list[str]:

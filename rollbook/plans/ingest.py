@@ -1,4 +1,4 @@
-"""Landed registers into the archive, one register at a time, each on its own."""
+"""Landed registers into the archive, several at a time, each on its own."""
 
 from __future__ import annotations
 
@@ -6,15 +6,20 @@ import datetime as dt
 import time
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.model import REGISTERS, register, register_catalog
 from rollbook.operators import history
+from rollbook.operators.quality import completeness
+from rollbook.operators.stats import request_totals
 from rollbook.plans.archive import Archive, iso_time, utc_now, utc_stamp
+from rollbook.plans.match_store import MatchKeys
 
 
 @dataclass
@@ -34,6 +39,7 @@ class Outcome:
     error: str = ""
     seconds: float = 0.0
     phases: dict[str, float] = field(default_factory=dict)
+    http: tuple | None = None
 
     @contextmanager
     def phase(self, name: str):
@@ -46,7 +52,7 @@ class Outcome:
     def record(self, run_id: str) -> tuple:
         return (
             run_id, self.source, self.ok, self.skipped, self.stamp, self.rows, self.added, self.changed, self.removed,
-            self.unchanged, self.warnings, self.error, self.seconds, self.phases, None,
+            self.unchanged, self.warnings, self.error, self.seconds, self.phases, self.http,
         )
 
 
@@ -61,10 +67,14 @@ def ingest_register(
     meta: Mapping[str, object] | None = None,
     keep_days: int | None = None,
     keep_last: int = 2,
+    pages: Callable[[], DataFrame] | None = None,
+    requests: Callable[[], DataFrame] | None = None,
 ) -> Outcome:
-    """Read, archive, compare with the newest snapshot, record events, retire.
+    """Read, archive, compare with the newest snapshot, record events, store match keys, retire.
 
-    ``read`` returns flattened rows ``ordinal, fields``.  Any failure ends up in
+    ``read`` returns flattened rows ``ordinal, fields``.  ``pages`` returns what the landed pages report
+    (:func:`rollbook.operators.quality.page_totals`); a shortfall becomes a warning of the snapshot.  ``requests`` returns
+    the log of its requests, whose totals go to the run log.  Any failure ends up in
     the outcome, so that one register cannot stop the others.
     """
     out = Outcome(source, stamp=stamp)
@@ -73,10 +83,14 @@ def ingest_register(
         declared = register(source)
         archive.record_missing_changes(source)
         before = archive.latest(source)
+        meta = {**(meta or {}), "run_id": run_id}
+        if requests is not None:
+            out.http = tuple(request_totals(requests()).first())
+        if pages is not None:
+            with out.phase("completeness"):
+                meta["warnings"] = [*(meta.get("warnings") or []), *shortfalls(pages())]
         with out.phase("write"):
-            header = archive.write_snapshot(
-                source, read(), stamp=stamp, meta={**(meta or {}), "run_id": run_id}, captured_at=iso_time(now)
-            )
+            header = archive.write_snapshot(source, read(), stamp=stamp, meta=meta, captured_at=iso_time(now))
         out.rows = header["row_count"]
         out.warnings = list(header["warnings"])
         with out.phase("diff"):
@@ -87,11 +101,15 @@ def ingest_register(
             out.warnings.append(
                 f"{header['duplicate_keys']} row(s) repeat an earlier key on {', '.join(declared.key_columns) or 'content'}"
             )
+        if declared.entity_shaped:
+            with out.phase("keys"):
+                MatchKeys(archive).write(source, stamp)
         if keep_days:
             with out.phase("retire"):
                 mine = archive.catalog().filter(F.col("source") == source)
                 at = F.lit(now or utc_now())
-                archive.retire(history.plan_retention(mine, at, keep_days=keep_days, keep_last=keep_last))
+                for gone in archive.retire(history.plan_retention(mine, at, keep_days=keep_days, keep_last=keep_last)):
+                    MatchKeys(archive).retire(*gone)
         out.ok = True
     except Exception as failure:  # isolation of registers is the point
         out.error = f"{type(failure).__name__}: {failure}"
@@ -99,6 +117,12 @@ def ingest_register(
     return out
 
 
+def shortfalls(pages: DataFrame) -> list[str]:
+    """Warnings about pages that hold less than they report, or just as much as their interface hands out."""
+    told = completeness(pages).where("warning is not null").collect()  # one row
+    return [f"{r['warning']}: {r['collected']} collected" + (f", {r['reported']} reported" if r["reported"] is not None else "") for r in told]
+
+
 def ingest(
     archive: Archive,
     readers: Mapping[str, Callable[[], DataFrame]],
@@ -109,11 +133,15 @@ def ingest(
     keep_days: int | None = None,
     keep_last: int = 2,
     meta: Mapping[str, Mapping[str, object]] | None = None,
+    pages: Mapping[str, Callable[[], DataFrame]] | None = None,
+    requests: Mapping[str, Callable[[], DataFrame]] | None = None,
+    at_once: int = 4,
 ) -> list[Outcome]:
     """One run over several registers under one stamp; the run is logged.
 
     Registers that were archived recently, or that only answer lookups, are
-    skipped with the reason.
+    skipped with the reason.  ``at_once`` registers run side by side, each in a scheduler pool of its own, so that a
+    large one does not keep the small ones waiting (with ``spark.scheduler.mode`` set to ``FAIR`` they share the cores evenly).
     """
     stamp = utc_stamp(now)
     run_id = run_id or f"{stamp}-{uuid.uuid4().hex[:6]}"
@@ -122,22 +150,21 @@ def ingest(
     known = register_catalog(archive.spark, REGISTERS)
     status = {r["source"]: r for r in history.due_registers(catalog, known, at, force=force).collect()}
     newest = {r["source"]: r for r in history.nth_newest(catalog).select("source", "stamp", "row_count").collect()}
-    outcomes = []
-    for source, read in readers.items():
-        state = status.get(source)
+
+    def one(source: str, read: Callable[[], DataFrame]) -> Outcome:
+        state, last = status.get(source), newest.get(source)
         if state and state["status"] != "due":
-            last = newest.get(source)
             reason = "answers lookups only" if state["status"] == "not listable" else f"archived {state['age_hours']} h ago"
-            outcomes.append(
-                Outcome(source, skipped=reason, stamp=last["stamp"] if last else "", rows=last["row_count"] if last else 0)
-            )
-            continue
-        outcomes.append(
-            ingest_register(
-                archive, source, read, stamp=stamp, run_id=run_id, now=now, meta=(meta or {}).get(source),
-                keep_days=keep_days, keep_last=keep_last,
-            )
+            return Outcome(source, skipped=reason, stamp=last["stamp"] if last else "", rows=last["row_count"] if last else 0)
+        archive.spark.sparkContext.setLocalProperty("spark.scheduler.pool", source)
+        return ingest_register(
+            archive, source, read, stamp=stamp, run_id=run_id, now=now, meta=(meta or {}).get(source), keep_days=keep_days,
+            keep_last=keep_last, pages=(pages or {}).get(source), requests=(requests or {}).get(source),
         )
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        started = [pool.submit(inheritable_thread_target(archive.spark)(one), source, read) for source, read in readers.items()]
+        outcomes = [s.result() for s in started]
     if outcomes:
         archive.log_runs([o.record(run_id) for o in outcomes])
     return outcomes

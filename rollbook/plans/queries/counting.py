@@ -264,6 +264,30 @@ def fetch_log_rollup(spark, folder):
     return stats.fetch_log_rollup(pages.select("url", status.alias("status"), F.length("html").cast("bigint").alias("bytes")))
 
 
+@query(
+    r"""WITH f AS (SELECT coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), '?') AS host,
+        CASE WHEN page_id % 7 = 0 THEN 'none' WHEN page_id % 5 = 0 THEN '503' ELSE '200' END AS status,
+        CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 'retry' WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome,
+        CAST(length(html) AS BIGINT) AS bytes, (page_id % 16) * 0.25 AS seconds, CASE WHEN page_id % 3 = 0 THEN 0.5 ELSE 0 END AS waited FROM pages)
+    SELECT CASE grouping(host, status, outcome) WHEN 7 THEN 'all' WHEN 3 THEN 'host' WHEN 5 THEN 'status' WHEN 6 THEN 'outcome' ELSE 'host+outcome' END AS level,
+        host, status, outcome, count(*) AS requests, count(*) FILTER (outcome = 'retry') AS retries, count(*) FILTER (outcome = 'error') AS failures,
+        CAST(sum(bytes) AS BIGINT) AS bytes_in, CAST(sum(seconds) * 1000 AS BIGINT) AS ms_requesting, CAST(sum(waited) * 1000 AS BIGINT) AS ms_waiting
+    FROM f GROUP BY GROUPING SETS ((), (host), (status), (outcome), (host, outcome))"""
+)
+def request_rollup(spark, folder):
+    """Requests, retries, failures, bytes and seconds by host, status and outcome."""
+    page, pages = F.col("page_id"), table(spark, folder, "pages")
+    requests = pages.select(
+        "url", F.when(page % 7 == 0, F.lit(None)).when(page % 5 == 0, 503).otherwise(200).cast("int").alias("status"), F.length("html").cast("bigint").alias("bytes"),
+        F.when((page % 5 == 0) & (page % 2 == 0), "retry").alias("outcome"), ((page % 16) * 0.25).alias("seconds"), F.when(page % 3 == 0, 0.5).alias("waited"),
+    )
+    counted = stats.request_rollup(requests)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return counted.select(
+        "level", "host", "status", "outcome", "requests", "retries", "failures", "bytes_in", ms("seconds_requesting").alias("ms_requesting"), ms("seconds_waiting").alias("ms_waiting")
+    )
+
+
 @query(f"WITH {_SQL_FETCHES} SELECT host AS value, count(*) AS n FROM fetches GROUP BY 1")
 def url_hosts(spark, folder):
     pages = table(spark, folder, "pages")

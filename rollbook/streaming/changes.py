@@ -39,7 +39,7 @@ def follow_catalog(archive: Archive, checkpoint: str, *, once: bool = True) -> S
     A batch that is repeated after a failure records nothing twice.  The rows of
     a batch are catalogue rows, one per snapshot, so listing them is cheap.
     """
-    arrivals = archive.spark.readStream.schema(model.SNAPSHOT_CATALOG).parquet(archive._path("snapshot_catalog"))
+    arrivals = archive.records("snapshot_catalog").stream()
 
     def on_batch(batch: DataFrame, _: int) -> None:
         for header in batch.select("source", "stamp").distinct().orderBy("stamp", "source").collect():

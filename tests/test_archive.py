@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.model import register_catalog
 from rollbook.operators import history, quality
 from rollbook.operators.stats import run_report
+from rollbook.plans import records
 from rollbook.plans.archive import Archive, DigestMismatch, SnapshotExists
 from rollbook.plans.ingest import ingest
 
@@ -108,3 +110,53 @@ def test_evidence_and_lookup(archive, rows, spark):
     e = quality.evidence_table(hit, archive.catalog(), register_catalog(spark), subject="1", matched_on="identifier").first()
     assert e["snapshot_rows"] == 2 and e["body_digest"] and e["data_licence"] == "not stated by the publisher" and e["row_hash"]
     assert quality.lookup(archive.snapshots(), "ALPHA").count() == 1
+
+
+def test_of_two_writers_one_is_refused(spark, archive, rows):
+    items = rows([{"UID": str(i), "Name": "x"} for i in range(200)])
+
+    def write(_):
+        try:
+            return archive.write_snapshot("finma", items, stamp="20260801T000000Z")["row_count"]
+        except SnapshotExists:
+            return "refused"
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(map(str, pool.map(write, range(3)))) == ["200", "refused", "refused"]
+    assert archive.catalog().count() == 1 and archive.read_snapshot("finma", "20260801T000000Z").count() == 200
+
+    with pytest.raises(KeyError):
+        archive.write_snapshot("finma", _Broken(), stamp="20260802T000000Z")
+    assert archive.write_snapshot("finma", items, stamp="20260802T000000Z")["row_count"] == 200
+    archive.records("snapshot_catalog").claim(archive._claim("finma", "20260803T000000Z"))  # as a killed run leaves it
+    with pytest.raises(SnapshotExists, match="released"):
+        archive.write_snapshot("finma", items, stamp="20260803T000000Z")
+    archive.release("finma", "20260803T000000Z")
+    assert archive.write_snapshot("finma", items, stamp="20260803T000000Z")["row_count"] == 200
+
+
+class _Broken:
+    def select(self, *_):
+        raise KeyError("shape changed")
+
+
+def test_records_stay_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "GRACE_SECONDS", 0)
+    monkeypatch.setattr(records, "FILES", 16)
+    log = records.Records(spark, str(tmp_path / "log"), "a int, b array<string>, c struct<d:double>")
+    assert log.read().count() == 0
+    for n in range(100):
+        log.append([(n, ["x", None], (0.5,)), (n, None, None)])
+    assert len(list((tmp_path / "log").glob("[!.]*"))) < 40
+    got = log.read().collect()
+    assert sorted((r.a, r.b is None) for r in got) == sorted((n, e) for n in range(100) for e in (False, True))
+    assert all(r.c.d == 0.5 and r.b == ["x", None] for r in got if r.b)
+
+
+def test_replaced_records_count_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "FILES", 4)
+    log = records.Records(spark, str(tmp_path / "log"), "a int")
+    for n in range(9):
+        log.append([(n % 2,)])
+    assert len(list((tmp_path / "log").glob("*.replaced"))) >= 2  # kept for readers that have listed them
+    assert sorted(r.a for r in log.read().collect()) == [0] * 5 + [1] * 4
