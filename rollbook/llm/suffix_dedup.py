@@ -198,7 +198,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     doubtful = met.where("not throughout")
     counted = doubtful.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min_by("first", "rid").alias("first"), F.min("span").alias("span"))
     counted = settle(counted, "contents")
-    anchors = counted.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits a large one.
+    anchors = settle(counted.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "groups")
     parts = counted.join(anchors, "anchor").withColumn("group", F.expr("cast(pmod(xxhash64(content), groups) as int)"))
     text = F.expr(f"substring(bytes, first + 1, span + {LENGTH})").alias("bytes")
     shards = parts.join(texts.select(F.col("rid").alias("of"), "bytes"), F.col("rid") == F.col("of")).select(*_KEY, "groups", "group", text)
