@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import keys
 from rollbook.functions.text import SEPARATOR, merge_maps
+from rollbook.session import materialise
 
 # Kinds of change in the order they are listed.
 KINDS = ("added", "changed", "removed")
@@ -45,11 +46,43 @@ def first_copies(keyed: DataFrame, *, scope: Sequence[str] = ()) -> DataFrame:
 def export_order(keyed: DataFrame) -> DataFrame:
     """Rows in canonical order for an export: ranges of keys over tasks, sorted within.
 
-    Equal snapshots give the same sequence of rows.  Not needed by any job here.
+    Equal snapshots give the same sequence of rows.
     """
     return keyed.repartitionByRange("row_key", "row_hash").sortWithinPartitions("row_key", "row_hash")
 
 
+def export_positions(keyed: DataFrame) -> DataFrame:
+    """``row_key, row_hash, position``: every row's place in the canonical order, from 0.
+
+    Ranges of keys are numbered on their own and moved on by the rows before them; no task sees all rows.
+    """
+    ranges = keyed.select("row_key", "row_hash").repartitionByRange("row_key", "row_hash").withColumn("range", F.spark_partition_id())
+    ranges = materialise(ranges, "export-order")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row per task
+    counts = counts.select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("row_key", "row_hash")) - 1
+    placed = ranges.withColumn("place", place).join(F.broadcast(counts), F.col("range") == F.col("r"))
+    return placed.select("row_key", "row_hash", (F.col("before") + F.col("place")).alias("position"))
+
+
+def export_digest(keyed: DataFrame, *, page: int = 10_000) -> DataFrame:
+    """``rows, digest``: one digest of the rows in canonical order, so that two exports are compared without gathering them.
+
+    ``page`` rows at a time are hashed in their order, then as many pages, and so on up to one: the same
+    rows give the same digest however they are dealt, and no group has more than ``page`` members.
+    """
+    level = export_positions(keyed).select("position", F.col("row_hash").alias("digest"))
+    rows = level.agg(F.count(F.lit(1)).alias("rows"))
+    left = total = rows.first().rows
+    while left > 1 or left == total > 0:
+        members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "digest"))), lambda m: m["digest"]), "\n")
+        level = level.groupBy(F.floor(F.col("position") / page).alias("position")).agg(F.sha2(members, 256).alias("digest"))
+        left, total = -(-left // page), -1
+    first = level.agg(F.max("digest").alias("digest"))
+    return rows.join(F.broadcast(first)).select("rows", F.coalesce("digest", F.lit(EMPTY_DIGEST)).alias("digest"))
+
+
 def duplicate_keys(keyed: DataFrame, *by: str) -> DataFrame:
     """How many rows repeat the key of an earlier row."""
     counts = keyed.groupBy(*by, "row_key").agg(F.count(F.lit(1)).alias("copies"))

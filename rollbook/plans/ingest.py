@@ -20,6 +20,7 @@ from rollbook.operators.quality import completeness
 from rollbook.operators.stats import request_totals
 from rollbook.plans.archive import Archive, iso_time, utc_now, utc_stamp
 from rollbook.plans.match_store import MatchKeys
+from rollbook.plans.search_index import SearchIndex
 
 
 @dataclass
@@ -70,7 +71,7 @@ def ingest_register(
     pages: Callable[[], DataFrame] | None = None,
     requests: Callable[[], DataFrame] | None = None,
 ) -> Outcome:
-    """Read, archive, compare with the newest snapshot, record events, store match keys, retire.
+    """Read, archive, compare with the newest snapshot, record events, store match keys and signatures for searches, retire.
 
     ``read`` returns flattened rows ``ordinal, fields``.  ``pages`` returns what the landed pages report
     (:func:`rollbook.operators.quality.page_totals`); a shortfall becomes a warning of the snapshot.  ``requests`` returns
@@ -104,12 +105,15 @@ def ingest_register(
         if declared.entity_shaped:
             with out.phase("keys"):
                 MatchKeys(archive).write(source, stamp)
+            with out.phase("index"):
+                SearchIndex(archive).write(source, stamp)
         if keep_days:
             with out.phase("retire"):
                 mine = archive.catalog().filter(F.col("source") == source)
                 at = F.lit(now or utc_now())
                 for gone in archive.retire(history.plan_retention(mine, at, keep_days=keep_days, keep_last=keep_last)):
                     MatchKeys(archive).retire(*gone)
+                    SearchIndex(archive).retire(*gone)
         out.ok = True
     except Exception as failure:  # isolation of registers is the point
         out.error = f"{type(failure).__name__}: {failure}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import codes
@@ -157,6 +158,45 @@ def inspect_first_rows(spark, folder):
     return raw.select("field", "present", "distinct_values")
 
 
+_INSPECTED = 250
+
+
+@query(
+    f"""WITH total AS (SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS n),
+    blocks AS (SELECT o_orderkey AS k, o_orderpriority AS priority, CAST('0x' || substr(md5('o' || o_orderkey), 1, 8) AS BIGINT) AS point FROM orders
+      UNION ALL SELECT DISTINCT l_orderkey, NULL, CAST('0x' || substr(md5('o' || l_orderkey), 1, 8) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)),
+    chosen AS (SELECT k, priority FROM blocks, total WHERE n <= {4 * _INSPECTED} OR point <= greatest((SELECT min(point) FROM blocks), {4 * _INSPECTED} * 4294967296 // n)),
+    firsts AS (SELECT * FROM chosen ORDER BY priority IS NULL, k LIMIT {_INSPECTED}),
+    lines AS (SELECT l_orderkey AS k, count(*) AS n, string_agg(l_partkey, ' | ' ORDER BY l_partkey, l_suppkey) AS parts FROM lineitem JOIN firsts ON k = l_orderkey GROUP BY 1)
+    SELECT 'priority' AS field, count(*) AS present, count(DISTINCT priority) AS distinct_values FROM firsts WHERE priority IS NOT NULL
+    UNION ALL SELECT 'line_count', count(*), count(DISTINCT n) FROM lines UNION ALL SELECT 'line_part', count(*), count(DISTINCT parts) FROM lines"""
+)
+def inspect_flattened(spark, folder):
+    """Field discovery on flattened rows of whole blocks, where all children come behind all parents."""
+    parents = rows_of(
+        table(spark, folder, "orders"), "o_orderkey",
+        {"id": F.concat(F.lit("o"), "o_orderkey"), "type_s": F.lit("parent"), "priority": "o_orderpriority"},
+    )
+    lines = table(spark, folder, "lineitem")
+    behind = (F.col("l_orderkey") + F.lit(1 << 50)).alias("block")
+    order = Window.partitionBy("block").orderBy("l_partkey", "l_suppkey")
+    children = lines.select("*", behind).withColumn("at", F.col("block") * 1024 + F.row_number().over(order))
+    children = rows_of(children, "at", {"_root_": F.concat(F.lit("o"), "l_orderkey"), "entity_type": F.lit("line"), "part": "l_partkey"})
+    _, flat = stats.inspect(parents.unionByName(children), n=_INSPECTED, block_structured=True)
+    return flat.select("field", "present", "distinct_values").where("field in ('priority', 'line_count', 'line_part')")
+
+
+@query(
+    """SELECT field, value, count(*) AS n, CAST(0 AS BIGINT) AS error FROM (
+      SELECT 'lang' AS field, lower(lang) AS value FROM documents UNION ALL SELECT 'source', lower(source) FROM documents) WHERE value <> '' GROUP BY ALL"""
+)
+def facet_sketch(spark, folder):
+    """Frequent values from sketches of parts of a table, merged; exact here, as there are few values."""
+    rows = document_rows(spark, folder)
+    parts = [stats.facet_sketches(rows.where(F.col("doc_id") % 3 == k), ["lang", "source"]) for k in range(3)]
+    return stats.approximate_facet(stats.merge_facets(parts[0].unionByName(parts[1]).unionByName(parts[2])), 1000)
+
+
 @query(
     f"""WITH {SQL_ORDER_VERSIONS} SELECT 'orders' AS source, 's2' AS stamp, count(*) FILTER (kind = 'added') AS added,
       count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'removed') AS removed FROM events"""

@@ -366,3 +366,27 @@ def streamed_snapshot_changes(spark, folder):
         archive.write_snapshot("eba-psd", rows, stamp=stamp, key_columns=["key"])
     follow_catalog(archive, shared_folder(spark, "follow-marks")).awaitTermination()
     return _shown(archive.changes())
+
+
+_SQL_EXPORT = f"""rows AS (SELECT CAST(c_nationkey AS VARCHAR) AS row_key, sha256({_SQL_CUSTOMER_JSON}) AS row_hash FROM customer),
+    placed AS (SELECT row_key, row_hash, row_number() OVER (ORDER BY row_key, row_hash) - 1 AS position FROM rows)"""
+
+
+@query(f"WITH {_SQL_EXPORT} SELECT * FROM placed")
+def export_positions(spark, folder):
+    """The place of every row in the canonical order of an export."""
+    rows = customer_rows(spark, folder)
+    return sn.export_positions(sn.with_keys(rows, ["nation"]))
+
+
+@query(
+    f"""WITH {_SQL_EXPORT}, pages AS (SELECT position // 100 AS page, sha256(string_agg(row_hash, chr(10) ORDER BY position)) AS d FROM placed GROUP BY 1),
+    books AS (SELECT page // 100 AS book, sha256(string_agg(d, chr(10) ORDER BY page)) AS d FROM pages GROUP BY 1),
+    shelves AS (SELECT sha256(string_agg(d, chr(10) ORDER BY book)) AS d, count(*) AS n FROM books)
+    SELECT (SELECT count(*) FROM rows) AS rows, CASE WHEN (SELECT count(*) FROM pages) = 1 THEN (SELECT max(d) FROM pages)
+      WHEN n = 1 THEN (SELECT max(d) FROM books) ELSE shelves.d END AS digest FROM shelves"""
+)
+def export_digest(spark, folder):
+    """One digest of an export in canonical order."""
+    rows = customer_rows(spark, folder).repartition(5)
+    return sn.export_digest(sn.with_keys(rows, ["nation"]), page=100)

@@ -137,3 +137,14 @@ def test_export_order_is_the_same_for_equal_snapshots(rows):
     one = sn.export_order(sn.with_keys(rows(OLD), ["UID"])).select("row_key", "row_hash").collect()
     two = sn.export_order(sn.with_keys(rows(OLD[::-1]).repartition(3), ["UID"])).select("row_key", "row_hash").collect()
     assert one == two and [r["row_key"] for r in one] == ["1", "2", "3"]
+
+
+def test_exports_compare_by_digest(rows):
+    items = [{"k": f"{i % 37:02d}", "v": str(i % 90)} for i in range(500)]
+    keyed = [sn.with_keys(rows(part).repartition(n), ["k"]) for part, n in ((items, 3), (items[::-1], 7), (items[:-1] + [{"k": "01", "v": "other"}], 3))]
+    digests = [sn.export_digest(k, page=20).first() for k in keyed]
+    assert digests[0] == digests[1] and digests[0]["rows"] == digests[2]["rows"] == 500 and digests[0]["digest"] != digests[2]["digest"]
+    placed = [sorted((r["position"], r["row_key"], r["row_hash"]) for r in sn.export_positions(k).collect()) for k in keyed[:2]]
+    assert placed[0] == placed[1] and [p[0] for p in placed[0]] == list(range(500)) and [p[1:] for p in placed[0]] == sorted(p[1:] for p in placed[0])
+    assert sn.export_digest(sn.with_keys(rows([]), ["k"])).first()["rows"] == 0
+    assert sn.export_digest(sn.with_keys(rows(items[:1]), ["k"])).first()["rows"] == 1

@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from rollbook.operators import stats
 
 
@@ -95,3 +100,34 @@ def test_manifests_and_run_records_from_disk(spark, tmp_path):
     (runs / "r2.json").write_text('{"ok": ')
     read = {r["run_id"]: r for r in read_run_records(spark, str(runs)).collect()}
     assert read["r1"]["record"]["http"]["by_host"] == {"a.org": 3} and read["r2"]["unreadable"]
+
+
+def test_whole_blocks_are_sampled(rows):
+    """Parents first and their children far behind: every sampled block is complete."""
+    docs = [{"id": f"p{i}", "type_s": "parent"} for i in range(300)] + [{"_root_": f"p{i % 300}", "entity_type": "act", "v": str(i)} for i in range(900)]
+    sample = stats.whole_blocks(rows(docs), n=200).collect()
+    found = Counter(r["fields"].get("_root_") or r["fields"]["id"] for r in sample)
+    assert set(found.values()) == {4} and 100 < len(sample) < 350
+    _, flat = stats.inspect(rows(docs), n=5)
+    got = {r["field"]: r["present"] for r in flat.collect()}
+    assert got["act_count"] == got["act_v"] == got["id"] == 5
+    one = [{"id": "p", "type_s": "parent"}] + [{"_root_": "p", "entity_type": "act"} for _ in range(2000)]
+    assert stats.whole_blocks(rows(one), n=10).count() == 2001 and stats.whole_blocks(rows(one[:5]), n=10).count() == 5
+
+
+def test_facet_sketches_keep_their_error(spark, rows):
+    """A long tail and a few frequent values, sketched in parts with little room."""
+    rng = random.Random(1)
+    values = [f"V{min(int(rng.paretovariate(0.7)), 5000)}" for _ in range(20_000)]
+    table = rows([{"f": v, "g": "One"} for v in values])
+    exact = {r["value"]: r["n"] for r in stats.facet(table, "f").collect()}
+    parts = [stats.facet_sketches(table.where(F.col("ordinal") % 4 == k), ["f", "g"], tracked=256) for k in range(4)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = [r for r in stats.approximate_facet(stats.merge_facets(whole, tracked=256), 20, tracked=256).collect()]
+    (bound,) = {r["error"] for r in got if r["field"] == "f"}
+    assert bound == -(-3.5 * len(values) // 256) and all(abs(r["n"] - exact[r["value"]]) <= bound for r in got if r["field"] == "f")
+    assert {v for v, n in exact.items() if n > bound} <= {r["value"] for r in got}
+    assert [(r["value"], r["n"], r["error"]) for r in got if r["field"] == "g"] == [("one", 20_000, 0)]
+    few = stats.approximate_facet(stats.facet_sketches(table, ["f"]), 10_000)
+    assert {r["value"]: r["n"] for r in few.collect()} == exact and {r["error"] for r in few.collect()} == {0}
+    assert stats.approximate_facet(stats.facet_sketches(table.limit(0), ["f"])).count() == 0
