@@ -1,5 +1,6 @@
 """Mixture and training order: exact counts, round trips, edge cases."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,20 +54,50 @@ def test_mix(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(again, key=key)
 
 
-def test_slots_are_low_discrepancy(spark, monkeypatch):
-    monkeypatch.setattr(mixture, "_RUN", 64)
-    edges, low = [], 0
-    for s, t in (("a", 0.5), ("b", 0.2), ("c", 0.3)):
-        edges.append((s, t * 1e6, low, low + int(t * (1 << mixture.POINT_BITS))))
-        low = edges[-1][3]
-    targets = spark.createDataFrame(edges, "source string, target double, low bigint, high bigint")
-    slots = sorted(mixture.schedule(spark, targets).collect(), key=lambda r: r.slot)
-    seen = defaultdict(int)
-    for n, r in enumerate(slots, 1):
-        if r.source is not None:
-            assert r["rank"] == seen[r.source]
-            seen[r.source] += 1
-        assert all(abs(seen[s] - share * n) <= 8 for s, share in (("a", 0.5), ("b", 0.2), ("c", 0.3)))
+def test_slots_are_low_discrepancy(spark):
+    edges = [("a", 0.5e6, 0, 512), ("b", 0.2e6, 512, 205), ("tiny", 9.0, 717, 0), ("none", 0.0, 717, 0), ("c", 0.3e6, 717, 307)]
+    targets = spark.createDataFrame(edges, "source string, target double, low bigint, slots bigint")
+    slots = sorted(((r.slot, r.source, r["rank"]) for r in mixture.schedule(spark, targets).collect()), key=lambda r: r[0])
+    assert [s for s, source, _ in slots if source != "tiny"] == list(range(1024))
+    for source, _, _, n in edges:
+        assert sorted(r for _, s, r in slots if s == source) == list(range(max(n, int(source == "tiny"))))
+    seen = Counter()
+    for n, (_, source, _) in enumerate(slots, 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - share * n) <= 4 for s, share in (("a", 0.5), ("b", 0.2), ("c", 0.3)))
+
+
+def test_blocks_of_a_source_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCK_WORDS", 16)
+    sizes = spark.createDataFrame([("ab"[i % 2], i, 7 + i % 90) for i in range(300)], "source string, doc_id bigint, size bigint")
+    targets = mixture.source_targets(sizes)
+    pieces = mixture._pieces(mixture._streams(sizes, targets)).groupBy("source", "rank").agg(F.sum("words").alias("words")).collect()
+    for t in targets.collect():
+        words = [r.words for r in pieces if r.source == t.source]
+        assert len(words) == t.slots and max(words) - min(words) <= 1 and sum(words) == int(t.target) and 8 <= max(words) <= 17
+
+
+def test_many_sources_under_two_partitionings(spark):
+    """Five thousand sources: targets and shares do not depend on how rows are dealt."""
+    rng = random.Random(5)
+    items = [(i, f"s{rng.randrange(5000):04d}", rng.randrange(1, 400)) for i in range(9000)]
+    sizes = spark.createDataFrame(items, "doc_id bigint, source string, size bigint")
+    got = [{r.source: tuple(r) for r in mixture.source_targets(sizes.repartition(n)).collect()} for n in (2, 7)]
+    assert got[0] == got[1]
+    total = Counter()
+    for _, s, n in items:
+        total[s] += n
+    want = plain_targets(dict(total))
+    assert all(abs(got[0][s][2] - want[s]) < 1e-6 for s in want) and len(got[0]) == len(want) > 4000
+    assert sum(t[4] for t in got[0].values()) == 1 << mixture.slot_power(sum(total.values()))
+
+
+@pytest.mark.parametrize("copies", [3, 1024])
+def test_mix_of_repeated_rows_does_not_depend_on_partitions(spark, monkeypatch, copies):
+    monkeypatch.setattr(mixture, "_COPIES", copies)
+    items = [(i % 40, "a b c d e f g " * (1 + i % 3), "abc"[i % 3]) for i in range(400)] + [(3, "one two three", "a")] * 30
+    got = [Counter(map(tuple, mixture.mixed_documents(docs(spark, items).repartition(n)).collect())) for n in (3, 7)]
+    assert got[0] == got[1] and sum(got[0].values()) > 300
 
 
 def test_mixed_documents(spark):
