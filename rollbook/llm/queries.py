@@ -137,12 +137,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""
     WITH whole AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor({ball_tree.SCALE} * x::DOUBLE)::BIGINT) AS v
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({ball_tree.SCALE} * x::DOUBLE)::BIGINT) AS v
         FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     pairs AS (
-        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
         FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
     FROM pairs QUALIFY rank <= 10
     """
 )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.vectors import matrix, of_usual_length
+from rollbook.llm.vectors import matrix, of_usual_length, whole
 from rollbook.session import materialise
 
 #: Components are multiplied by this and rounded down; entries of a codebook; parts; rounds of learning.
@@ -30,15 +30,6 @@ _LONG = (1 << 63) - 1
 Books = list[list[list[int]]]  # by part, entry, position
 
 
-def whole(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """``floor(scale * x)``, exact: 64-bit integers, or Python's where squares of differences could pass 2^62."""
-    largest = float(np.abs(x).max(initial=0.0)) * scale
-    if 2 * largest + 2 < ((1 << 62) / max(1, x.shape[1])) ** 0.5:
-        return np.floor(x * scale).astype(np.int64)
-    exact = [[int(c * scale // 1) if abs(c) < 1e290 else int(c) * scale for c in row] for row in x.tolist()]
-    return np.array(exact, object).reshape(x.shape)
-
-
 def cuts(width: int) -> list[int]:
     """Where parts begin, and the end: equal parts, as far as ``width`` allows."""
     return [width * p // PARTS for p in range(PARTS + 1)]
@@ -72,7 +63,7 @@ def _sums(books: Books, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            x = whole(matrix(batch.column("v"), width))
+            x = whole(matrix(batch.column("v"), width), SCALE)
             for p, book in enumerate(books):
                 own = x[:, at[p] : at[p + 1]]
                 chosen, _ = nearest(own, book)
@@ -90,7 +81,7 @@ def _sums(books: Books, width: int):
 def learn(rows: DataFrame, width: int, first: list[list[float]]) -> Books:
     """The codebooks after all rounds; ``rows`` has ``v``.  What comes to the driver is one sum per entry and position."""
     at = cuts(width)
-    start = whole(np.array(first, float).reshape(-1, width)).tolist()
+    start = whole(np.array(first, float).reshape(-1, width), SCALE).tolist()
     books = [[[int(c) for c in row[at[p] : at[p + 1]]] for row in start] for p in range(PARTS)]
     kind = "part bigint, entry bigint, position bigint, place bigint, piece bigint"
     for _ in range(ROUNDS):
@@ -114,7 +105,7 @@ def _coder(books: Books, width: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = whole(matrix(batch.column("v"), width))
+            x = whole(matrix(batch.column("v"), width), SCALE)
             code, error = [""] * len(x), [0] * len(x)
             for p, book in enumerate(books):
                 chosen, distance = nearest(x[:, at[p] : at[p + 1]], book)

@@ -30,3 +30,12 @@ def of_usual_length(vectors: DataFrame, *columns: str) -> tuple[DataFrame, int]:
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """The vectors of an Arrow batch, all ``width`` long, one per row."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)``, exact: 64-bit integers, or Python's where squares of differences of a row could pass 2^62."""
+    largest = float(np.abs(x).max(initial=0.0)) * scale
+    if 2 * largest + 2 < ((1 << 62) / max(1, x.shape[1])) ** 0.5:
+        return np.floor(x * scale).astype(np.int64)
+    exact = [[int(c * scale // 1) if abs(c) < 1e290 else int(c) * scale for c in row] for row in x.tolist()]
+    return np.array(exact, object).reshape(x.shape)

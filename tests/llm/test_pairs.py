@@ -1,9 +1,13 @@
 """Decontamination, SimHash and ball trees against brute force on small fixtures."""
 
 import itertools
+import math
 import random
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -196,34 +200,43 @@ def test_leaks_with_all_words_allowed_to_differ(spark):
 
 
 def plain_top(vectors, k):
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            row = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-            whole[i] = min(whole.get(i, row), row)
-    found = set()
-    for q in (i for i in whole if i % 10 == 0):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
-        found |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:k])}
-    return found
-
-
-@pytest.mark.parametrize("shard_rows", [20_000, 60])
-def test_top_k(spark, monkeypatch, shard_rows):
+    """Every query row against every row of another id, in Python's integers."""
+    rows = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    found = []
+    for own, q in rows:
+        if own % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in rows if i != own and len(v) == len(q))
+            found += [(own, n + 1, i, -s if abs(s) < 1 << 63 else None) for n, (s, i) in enumerate(best[:k])]
+    return Counter(found)
+
+
+@pytest.mark.parametrize("shard_rows, blocks", [(20_000, 100_000), (40, 100_000), (7, 3)])
+@pytest.mark.parametrize("case", ["near", "wide"])
+def test_top_k(spark, monkeypatch, shard_rows, blocks, case):
     monkeypatch.setattr(ball_tree, "SHARD_ROWS", shard_rows)
-    monkeypatch.setattr(ball_tree, "BLOCK_QUERIES", 9)
+    monkeypatch.setattr(ball_tree, "BLOCK_QUERIES", blocks)
     monkeypatch.setattr(ball_tree, "LEAF", 8)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((6, 8))
-    vectors = [(i, [float(x) for x in centres[i % 6] + 0.3 * rng.standard_normal(8)]) for i in range(300)]
+    vectors = [(i, [float(x) for x in centres[i % 6] + 0.3 * rng.standard_normal(8)]) for i in range(200)]
     vectors += [(300 + i, vectors[10][1]) for i in range(25)]
     vectors += [(400, None), (410, []), (420, [1.0, None]), (430, [float("nan")] * 8), (440, [float("inf")] * 8), (None, [1.0] * 8)]
-    vectors += [(450, [1.0, 2.0]), (451, [2.0, 1.0]), (460, [1.0]), (10, vectors[10][1])]
-    rows = spark.createDataFrame([(i, v, 5) for i, v in vectors], "vec_id bigint, embedding array<float>, score int")
-    got = {tuple(r) for r in ball_tree.top_k(rows, F.col("vec_id") % 10 == 0).collect()}
+    vectors += [(450, [1.0, 2.0]), (451, [2.0, 1.0]), (460, [1.0]), (10, vectors[10][1]), (10, vectors[11][1]), (51, vectors[10][1]), (51, vectors[12][1])]
+    if case == "wide":
+        vectors += [(500, [2.0**41] * 8), (501, [-(2.0**41)] + [0.5] * 7), (502, [2.0**60] * 4 + [-(2.0**60)] * 4), (503, [1e300] + [0.0] * 7), (510, [-1e308] * 8), (511, [1e308] * 8)]
+    rows = spark.createDataFrame([(i, v, 5, "x") for i, v in vectors], "vec_id bigint, embedding array<double>, score int, row string").repartition(3)
+    got = Counter(tuple(r) for r in ball_tree.top_k(rows, F.col("vec_id") % 10 == 0).collect())
     assert got == plain_top(vectors, 10)
 
 
+def test_far_shards_are_cut():
+    """A query's route ends where bounds fall below its floor."""
+    pivots, radii, used = np.array([[100.0, 0.0], [0.0, 1.0], [-100.0, 0.0]]), np.array([5.0, 5.0, 5.0]), np.arange(3)
+    batch = pa.RecordBatch.from_pydict({"vec_id": [1, 2], "row": [1, 2], "v": [[1.0, 0.0], [1.0, 0.0]], "floor": [None, "50000"]})
+    (out,) = ball_tree._route(pivots, radii, used, 2, True, 1, 3)([batch])
+    assert out.column("row").to_pylist() == [1, 1] and out.column("pivot").to_pylist() == [1, 2]
+
+
 def test_top_k_of_nothing(spark):
     rows = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert ball_tree.top_k(rows, F.col("vec_id") % 10 == 0).count() == 0
