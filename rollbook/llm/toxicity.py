@@ -5,8 +5,10 @@ behind it.  Toxic documents are mostly ordinary words, so what the second is tra
 the runs that ordinary documents do not have: byte strings seen in many different contexts of toxic
 documents and in few of ordinary ones (copies of one passage share their contexts and
 count once).  A text is cut into windows, each compressed with either dictionary; what the
-second saves is near zero on ordinary windows.  A logistic curve fitted on other training
-documents turns the savings of a text into a score.
+second saves is near zero on ordinary windows.  How often a saving occurs in windows of toxic and of ordinary documents
+makes it evidence for or against, and a text is judged by the stretch of windows with most evidence, whose chance
+maximum grows with the logarithm of the length: a toxic passage in a long text counts as it does alone.  A logistic curve fitted
+on other training documents turns this and the mean savings into a score.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PER_LABEL, SLICES, SLICE_CHARS = 1500, 4, 4096
 RUN_BYTES, CONTEXT_BYTES = 6, 5
 #: A string is toxic from so many contexts per thousand toxic documents (3 at least), so many times those in ordinary ones.
 CONTEXTS, TIMES = 60, 10
+#: Savings of a window are told apart between these numbers of bytes.
+LEAST_SAVED, MOST_SAVED = -4, 12
 #: Bytes of the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
 
@@ -78,7 +82,9 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 class Model:
     ordinary: bytes
     toxic: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    #: The evidence of a window by its saving: logarithms of how many times more often toxic documents have it.
+    ratios: np.ndarray = field(default_factory=lambda: np.zeros(MOST_SAVED - LEAST_SAVED + 1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         made = []
@@ -89,13 +95,33 @@ class Model:
         return made[0], made[1]
 
 
-def savings(data: bytes, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Mean saving over all windows of a text, and mean of what goes beyond one byte."""
-    count, total, beyond = 0, 0, 0
-    for window in _windows(data):
-        gain = len(ordinary.compress(window)) - len(toxic.compress(window))
-        count, total, beyond = count + 1, total + gain, beyond + min(max(gain - 1, 0), 8)
-    return (total / count, beyond / count) if count else (0.0, 0.0)
+def savings(data: bytes, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
+    """What the toxic dictionary saves on every window of a text, in bytes."""
+    return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in _windows(data)], np.int64)
+
+
+def _places(saved: np.ndarray) -> np.ndarray:
+    return np.clip(saved, LEAST_SAVED, MOST_SAVED) - LEAST_SAVED
+
+
+def evidence(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of how many times more often windows of toxic texts save so much, half a window added to each."""
+    size = MOST_SAVED - LEAST_SAVED + 1
+    ours, others = (np.bincount(_places(np.concatenate([*texts, np.zeros(0, np.int64)])), minlength=size) + 0.5 for texts in (toxic, ordinary))
+    return np.log(ours / ours.sum()) - np.log(others / others.sum())
+
+
+def strongest(ratios: np.ndarray) -> float:
+    """The largest sum of neighbours."""
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    return float((sums - np.minimum.accumulate(sums)).max())
+
+
+def features(saved: np.ndarray, ratios: np.ndarray) -> tuple[float, float, float]:
+    """Mean saving of the windows, mean of what goes beyond one byte, and the strongest stretch less what length alone brings."""
+    if not len(saved):
+        return 0.0, 0.0, 0.0
+    return float(saved.mean()), float(np.clip(saved - 1, 0, 8).mean()), strongest(ratios[_places(saved)]) - float(np.log1p(len(saved)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -135,7 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     plain = [w for text in ordinary for w in _windows(text)[:20]]
     model = Model(_dictionary(plain, ORDINARY_BYTES, 64), _dictionary(runs, TOXIC_BYTES, 16) if runs else b"")
     pair = model.compressors()
-    x, y = np.array([savings(t, *pair) for _, _, t in fit or teach]), np.array([y for _, y, _ in fit or teach])
+    model.ratios = evidence(*([savings(t, *pair) for _, y, t in teach if y == label] for label in (1, 0)))
+    x, y = np.array([features(savings(t, *pair), model.ratios) for _, _, t in fit or teach]), np.array([y for _, y, _ in fit or teach])
     model.weights = _logistic(x, y)
     # The sample holds more toxic documents than the labels do: the offset goes back to their share.
     share = labels.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
@@ -150,7 +177,7 @@ def _score(model: Model | None):
         for frame in frames:
             scores = np.zeros(frame.num_rows)
             if model:
-                x = np.array([savings(_bytes(t.as_py() or ""), *pair) for t in frame.column(0)]).reshape(-1, 2)
+                x = np.array([features(savings(_bytes(t.as_py() or ""), *pair), model.ratios) for t in frame.column(0)]).reshape(-1, 3)
                 scores = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*frame.columns[1:], pa.array(scores)], [*frame.schema.names[1:], "score"])
 

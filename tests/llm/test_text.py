@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook.llm import html_text, langid, quality, toxicity, url_rules
+from rollbook.llm import html_text, langid, quality, queries, toxicity, url_rules
 from rollbook.llm.common import in_fold, labelled
 
 
@@ -232,11 +232,48 @@ def test_toxicity(spark):
     docs, labels = held_out(spark, 400, make, "toxic")
     model = toxicity.learn(docs, labels)
     assert accuracy(toxicity.score(docs, model, "doc_id"), 400) > 0.95
+    # The same toxic texts in front of, amid and behind a hundred times as much clean text.
+    clean = [prose(random.Random(1000 + i), 20_000) for i in range(9)]
+    texts = [(i, make(i)) for i in range(2, 400) if i % 3 == 0][:60]
+    long = [(i, [f"{t} {clean[i % 9]}", f"{clean[i % 9][:40_000]} {t} {clean[i % 9][40_000:]}", f"{clean[i % 9]} {t}"][i % 2 + i % 5 // 4]) for i, t in texts]
+    rows = spark.createDataFrame([*long, *((9000 + i, t) for i, t in enumerate(clean))], "doc_id bigint, text string")
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score(rows, model, "doc_id").collect()}
+    assert sum(got[i] for i, _ in texts) >= 57 and not any(got[9000 + i] for i in range(9))
     scored_edges(spark, lambda rows: toxicity.score(rows, model, "doc_id"))
     assert toxicity.learn(docs, labels.where("toxic = 0")) is None and toxicity.learn(docs.limit(0), labels) is None
     assert {r.score for r in toxicity.score(docs, None, "doc_id").collect()} == {0.0}
 
 
+def test_strongest_stretch():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 40):
+        x = rng.standard_normal(n)
+        assert np.isclose(toxicity.strongest(x), max([0.0, *(x[i:j].sum() for i in range(n) for j in range(i + 1, n + 1))]))
+    ratios = toxicity.evidence([np.array([0, 5, 5, 40])], [np.array([0, 0, -9])])
+    assert ratios[5 + 4] > 0 > ratios[4] and len(ratios) == 17
+    assert toxicity.features(np.zeros(0, np.int64), ratios) == (0.0, 0.0, 0.0)
+
+
+SMALL = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+@pytest.mark.parametrize("query, label, least, most", [("op9_toxicity", "toxic", 0.6, 0.05), ("op2_quality", "quality", 0.95, 0.2)])
+def test_recall_on_given_labels(spark, query, label, least, most):
+    """Of held-out rows; one toxic document in seven of this table has no toxic word, and three hundred are there to learn from."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", label)
+    got = queries.QUERIES[query](spark, SMALL).where("held_out").join(labels, "doc_id").select("predicted", label).collect()
+    hits, clean = [r.predicted for r in got if r[label] == 1], [r.predicted for r in got if r[label] == 0]
+    assert len(hits) > 50 < len(clean) and sum(hits) >= least * len(hits) and sum(clean) <= most * len(clean), (sum(hits) / len(hits), sum(clean) / len(clean))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+def test_languages_of_given_documents(spark):
+    known = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = queries.QUERIES["op10_language"](spark, SMALL).where("held_out").join(known, "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.98 * len(got) > 1000
+
+
 def test_quality(spark):
     def make(i):
         rng = random.Random(i)
