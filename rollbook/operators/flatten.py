@@ -228,6 +228,31 @@ def _merge_in_order(maps: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), together).otherwise(one_by_one)
 
 
+#: Documents from which an entity counts as heavy, and entities that the search for them keeps track of.
+HEAVY, TRACKED = 100_000, 10_000
+#: Tables that Spark estimates below so many bytes hold no entity too large for a task.
+SMALL_BYTES = 256 << 20
+
+
+def heavy_entities(docs: DataFrame, layout: BlockLayout, *, scope: Sequence[str] = ()) -> DataFrame | None:
+    """``scope..., entity`` of the entities that no single task should gather; None if there are none.
+
+    A mergeable sketch of frequent keys, so one pass without an exchange of documents.  It finds every entity with a share of the
+    documents above ``3.5 / 16384``; one below it is no hot spot on a table of that size.
+    """
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < SMALL_BYTES:
+        return None
+    key = F.to_json(F.struct(*scope, layout.entity_key(F.col("fields")).alias("entity")))
+    found = docs.select(key.alias("key")).agg(F.expr(f"approx_top_k(key, {TRACKED}, {TRACKED})").alias("top")).first().top or []
+    keys = [t["item"] for t in found if t["count"] >= HEAVY]
+    if not keys:
+        return None
+    kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in scope), "entity string"])
+    told = docs.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    return told.select(F.from_json("key", kind).alias("k")).select("k.*")
+
+
 def flatten_blocks(
     docs: DataFrame,
     layout: BlockLayout | None = None,
@@ -240,11 +265,66 @@ def flatten_blocks(
     The first parent gives the row its own columns, later parents become bucket
     ``duplicateParent``, children become ``<bucket>_<field>`` columns whose values
     are joined in arrival order with blanks kept.  An entity without a parent is
-    kept and marked ``_orphan``.  An entity too large for one row is available
-    whole, in pieces, from :func:`flatten_cells`.
+    kept and marked ``_orphan``.
+
+    Documents are exchanged once, by entity.  Those of heavy entities (:func:`heavy_entities`) are joined in pieces first, and only
+    the pieces meet.  An entity too large for one row is available whole, in pieces, from :func:`flatten_cells`.
     """
     layout = layout or BlockLayout()
-    return assemble_blocks(flatten_cells(docs, layout, scope=scope, span=span), layout, scope=scope)
+    heavy = heavy_entities(docs, layout, scope=scope)
+    if heavy is None:
+        return _flatten_together(docs, layout, scope)
+    key = [*scope, "entity"]
+    keyed = docs.withColumn("entity", layout.entity_key(F.col("fields")))
+    # TRACKED rows at most.
+    few = F.broadcast(heavy)
+    in_pieces = assemble_blocks(flatten_cells(keyed.join(few, key, "left_semi"), layout, scope=scope, span=span), layout, scope=scope)
+    return _flatten_together(keyed.join(few, key, "left_anti"), layout, scope).unionByName(in_pieces)
+
+
+def _flatten_together(docs: DataFrame, layout: BlockLayout, scope: Sequence[str]) -> DataFrame:
+    """:func:`flatten_blocks` with all documents of an entity in one task."""
+    key, fields = [*scope, "entity"], F.col("fields")
+    parent = layout.is_parent(fields)
+    bucket = F.when(parent, "duplicateParent").otherwise(layout.group(fields))
+    doc = F.struct("ordinal", parent.alias("parent"), bucket.alias("bucket"), "fields")
+    keyed = docs.select(*scope, layout.entity_key(fields).alias("entity"), doc.alias("doc"))
+    gathered = keyed.repartition(*key).groupBy(*key).agg(F.collect_list("doc").alias("docs"), F.min("doc.ordinal").alias("ordinal"))
+    gathered = gathered.withColumn("docs", _by_ordinal(F.col("docs")))
+    leads = F.filter("docs", lambda d: d["parent"])
+    head = _filled(F.map_filter(leads[0]["fields"], lambda k, _: ~k.isin(list(layout.drop))))
+    orphan = F.create_map(F.lit("_orphan"), F.lit("true"), F.lit(layout.root_field), F.col("entity"))
+    gathered = gathered.withColumn("leads", leads).withColumn("head", F.when(F.size("leads") > 0, head).otherwise(orphan))
+    # Parents first: other documents that call their bucket so follow them.
+    children = F.filter("docs", lambda d: ~d["parent"])
+    rest = F.when(F.size("leads") > 1, F.concat(F.slice("leads", 2, F.size("leads")), children)).otherwise(children)
+    gathered = gathered.withColumn("rest", rest).withColumn("buckets", F.array_distinct(F.col("docs")["bucket"]))
+
+    def columns(name: Column) -> Column:
+        return let(F.filter("rest", lambda d: d["bucket"] == name)["fields"], lambda maps: _bucket_cells(name, maps, layout))
+
+    # In the order in which the buckets begin, the first parent counting for its own.
+    cells = gathered.select(*scope, "ordinal", "head", F.transform("buckets", columns).alias("cells"))
+    maps = F.concat(F.array("head"), F.transform("cells", F.map_from_entries))
+    return cells.select(*scope, "ordinal", maps.alias("maps")).select(*scope, "ordinal", _merge_in_order(F.col("maps")).alias("fields"))
+
+
+def _bucket_cells(bucket: Column, maps: Column, layout: BlockLayout) -> Column:
+    """Columns ``<bucket>_count`` and ``<bucket>_<field>`` of a whole bucket, its documents in order; none if there are none."""
+    unwanted = F.array(*map(F.lit, [*layout.drop, layout.root_field, layout.group_field])).cast("array<string>")
+    names = F.array_except(F.flatten(F.transform(maps, F.map_keys)), unwanted)
+
+    def cell(name: Column) -> Column:
+        joined = F.array_join(F.transform(maps, lambda m: F.coalesce(m[name], F.lit(""))), layout.separator)
+        return F.struct(F.concat(bucket, F.lit("_"), name).alias("key"), joined.alias("value"))
+
+    found = F.transform(names, cell)
+    if not layout.counts:
+        return found
+    count = F.array(F.struct(F.concat(bucket, F.lit("_count")).alias("key"), F.size(maps).cast("string").alias("value")))
+    # A field called "count" gives its own column, as the count would be merged over.
+    told = F.when((F.size(maps) == 0) | F.array_contains(names, F.lit("count")), F.array().cast("array<struct<key:string,value:string>>")).otherwise(count)
+    return F.concat(told, found)
 
 
 def passthrough(docs: DataFrame, drop: Sequence[str] = INTERNAL_FIELDS) -> DataFrame:

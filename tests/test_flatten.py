@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from rollbook.operators import flatten
 from rollbook.operators.flatten import (
     BlockLayout,
     column_names,
@@ -37,10 +40,13 @@ def test_orphans_are_kept_and_marked(rows, dicts):
     assert row["_orphan"] == "true" and row["_root_"] == "p1" and row["act_count"] == "1"
 
 
-def test_second_parent_becomes_a_bucket(rows, dicts):
+def test_second_parent_becomes_a_bucket(rows, dicts, monkeypatch):
     twin = {**FIRM, "id": "p1b", "name": "Twin"}
     third = {**FIRM, "id": "p1c", "name": "Third", "extra": "x"}
     for span in (1, 2, 1 << 16):
+        if span == 2:
+            monkeypatch.setattr(flatten, "SMALL_BYTES", 0)
+            monkeypatch.setattr(flatten, "HEAVY", 1)
         (row,) = dicts(flatten_blocks(rows([FIRM, ADVICE, twin, third]), span=span))
         assert row["name"] == "Alder Bank"
         assert row["duplicateParent_count"] == "2"
@@ -107,7 +113,12 @@ def _brute_force(docs):
     return out
 
 
-def test_one_entity_with_a_third_of_all_documents(rows, dicts):
+@pytest.mark.parametrize("heavy", [None, 5, 150])
+def test_one_entity_with_a_third_of_all_documents(rows, dicts, monkeypatch, heavy):
+    """All entities in one task each; those of five documents or more in pieces; the hot one only."""
+    if heavy:
+        monkeypatch.setattr(flatten, "SMALL_BYTES", 0)
+        monkeypatch.setattr(flatten, "HEAVY", heavy)
     rng = random.Random(7)
     docs = []
     for i in range(600):
@@ -118,8 +129,24 @@ def test_one_entity_with_a_third_of_all_documents(rows, dicts):
             doc[name] = rng.choice(["", "v", f"w{i}", None])
         docs.append(doc)
     expected = _brute_force(docs)
-    for span in (7, 64, 1 << 16):
+    for span in (7, 64, 1 << 16) if heavy else (7,):
         assert dicts(flatten_blocks(rows(docs), span=span)) == expected
+    found = flatten.heavy_entities(rows(docs), BlockLayout())
+    assert (found is None) == (heavy is None) and (heavy != 150 or [r["entity"] for r in found.collect()] == ["hot"])
+
+
+def test_documents_are_exchanged_once(rows):
+    plan = flatten_blocks(rows([FIRM, ADVICE, CUSTODY] * 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_heavy_entities_of_several_registers(rows, dicts, monkeypatch):
+    docs = rows([FIRM, ADVICE, CUSTODY], source="a").union(rows([FIRM, PAST], source="b"))
+    expected = sorted(map(str, dicts(flatten_blocks(docs, scope=["source"]))))
+    monkeypatch.setattr(flatten, "SMALL_BYTES", 0)
+    monkeypatch.setattr(flatten, "HEAVY", 3)
+    assert [tuple(r) for r in flatten.heavy_entities(docs, BlockLayout(), scope=["source"]).collect()] == [("a", "p1")]
+    assert sorted(map(str, dicts(flatten_blocks(docs, scope=["source"])))) == expected
 
 
 def test_auto_detects_blocks_and_can_be_forced(rows, dicts):
