@@ -16,6 +16,7 @@ def load() -> tuple[dict, dict]:
         reshape,
         searching,
         snapshots,
+        streams,
         upkeep,
     )
 
