@@ -21,6 +21,7 @@ from rollbook.operators.stats import request_totals
 from rollbook.plans.archive import Archive, iso_time, utc_now, utc_stamp
 from rollbook.plans.match_store import MatchKeys
 from rollbook.plans.search_index import SearchIndex
+from rollbook.session import scratch
 
 
 @dataclass
@@ -161,10 +162,11 @@ def ingest(
             reason = "answers lookups only" if state["status"] == "not listable" else f"archived {state['age_hours']} h ago"
             return Outcome(source, skipped=reason, stamp=last["stamp"] if last else "", rows=last["row_count"] if last else 0)
         archive.spark.sparkContext.setLocalProperty("spark.scheduler.pool", source)
-        return ingest_register(
-            archive, source, read, stamp=stamp, run_id=run_id, now=now, meta=(meta or {}).get(source), keep_days=keep_days,
-            keep_last=keep_last, pages=(pages or {}).get(source), requests=(requests or {}).get(source),
-        )
+        with scratch(archive.spark):
+            return ingest_register(
+                archive, source, read, stamp=stamp, run_id=run_id, now=now, meta=(meta or {}).get(source), keep_days=keep_days,
+                keep_last=keep_last, pages=(pages or {}).get(source), requests=(requests or {}).get(source),
+            )
 
     with ThreadPoolExecutor(max(1, at_once)) as pool:
         started = [pool.submit(inheritable_thread_target(archive.spark)(one), source, read) for source, read in readers.items()]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import functools
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,27 @@ def _own_folder() -> str:
     return folder
 
 
+#: Paths that are removed at the end of the innermost :func:`scratch` of this thread; None outside of one.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates that are written inside are removed at the end, also on a cluster, where nothing else removes them.
+
+    For jobs that have written their results by then; a DataFrame that outlives the block must not read an intermediate.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame, purpose: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
@@ -62,5 +85,7 @@ def materialise(df: DataFrame, purpose: str, *, partition_by: tuple[str, ...] =
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
+    if _written.get() is not None:
+        _written.get().append(path)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

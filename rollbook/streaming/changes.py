@@ -16,6 +16,7 @@ from rollbook import model
 from rollbook.operators import snapshots as sn
 from rollbook.operators.history import nth_newest
 from rollbook.plans.archive import Archive
+from rollbook.session import scratch
 from rollbook.streaming.state import KEY, KeyedState
 
 _EVENTS = (
@@ -43,7 +44,8 @@ def follow_catalog(archive: Archive, checkpoint: str, *, once: bool = True) -> S
 
     def on_batch(batch: DataFrame, _: int) -> None:
         for header in batch.select("source", "stamp").distinct().orderBy("stamp", "source").collect():
-            record_events(archive, header["source"], header["stamp"])
+            with scratch(archive.spark):
+                record_events(archive, header["source"], header["stamp"])
 
     writer = arrivals.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
