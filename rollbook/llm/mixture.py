@@ -209,14 +209,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "m_taken", "m_rows"
     )
     plan = materialise(plan, "plan")
+    # Written on its own, so that Spark knows how little it is where ids do not repeat, and does not move the documents for it.
+    shared = materialise(plan.where("m_rows > 1"), "plan-alike")
     names = docs.columns
-    rows = docs.withColumn("m_words", word_count(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size"))
-    rows = rows.join(plan, same)
     each = F.col("m_taken") / (F.col("m_size") * F.col("m_rows"))
-    alone = rows.where("m_rows = 1").select(*names, F.floor(each + 0.5).alias("times"))
-    alike = rows.where("m_rows > 1").withColumn("m_digest", F.sha2(F.to_json(F.struct(*names)), 256))
+
+    def planned(rows: DataFrame, told: DataFrame) -> DataFrame:
+        return rows.withColumn("m_words", word_count(F.col("text"))).join(told, same)
+
+    alone = planned(docs, plan.where("m_rows = 1")).withColumn("m_times", F.floor(each + 0.5)).where("m_times > 0")
+    alone = alone.withColumn("m_round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m_times")))).select(*names)
+    ids = shared.select(F.col("m_id").alias("m_any")).distinct()
+    alike = planned(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("m_any")), "left_semi"), shared)
+    alike = alike.withColumn("m_digest", F.sha2(F.to_json(F.struct(*names)), 256))
     alike = alike.groupBy("m_digest").agg(F.first(F.struct(*names)).alias("row"), F.count("*").alias("m_equal"), F.first(each).alias("m_each"))
     up = F.conv(F.substring("m_digest", 1, 8), 16, 10).cast("double") / float(1 << 32)
     alike = alike.select("row.*", F.floor(F.col("m_equal") * F.col("m_each") + up).alias("times"))
-    return _unfolded(alone.unionByName(alike).where("times > 0"), "m_round").select(*names)
+    return alone.unionByName(_unfolded(alike.where("times > 0"), "m_round").select(*names))
