@@ -24,7 +24,7 @@ from rollbook.llm.vectors import finite, whole
 from rollbook.session import materialise
 
 #: Vectors of a shard, on average, and of a leaf; most pivots, which go to all tasks; queries that meet one copy of a shard.
-SHARD_ROWS, LEAF, MOST_SHARDS, BLOCK_QUERIES = 20_000, 64, 4096, 100_000
+SHARD_ROWS, LEAF, MOST_SHARDS, BLOCK_QUERIES = 20_000, 128, 4096, 100_000
 #: Components are multiplied by this and rounded down.
 SCALE = 1024
 #: Vectors whose largest component lies within as many powers of two share a tree, in doubles scaled down by these: squares stay finite, and
@@ -78,11 +78,20 @@ class BallTree:
                 todo += [(low, middle, node), (middle, high, node)]
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
 
-    def _scores(self, at: np.ndarray, query: np.ndarray, exact: list[int], down: int) -> list[int]:
-        """Inner products, in doubles where these hold them exactly, else in Python's integers."""
+    def _best(self, at: np.ndarray, query: np.ndarray, exact: list[int], down: int, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """The best ``k`` of some rows that are at least ``floor``: in doubles where these hold the products exactly, else in Python's integers."""
+        ids = self.ids[at]
         if not down and float(np.abs(query).max(initial=0.0)) * float(self.most[at].max(initial=0.0)) * len(query) < float(1 << 52):
-            return np.rint(self.rows[at] @ query).astype(np.int64).tolist()
-        return [sum(a * b for a, b in zip(row, exact, strict=True)) for row in whole(self.vectors[at], SCALE).tolist()]
+            scores = np.rint(self.rows[at] @ query).astype(np.int64)
+            if floor is not None:
+                keep = scores >= floor if abs(floor) <= _LONG else np.full(len(scores), floor < 0)
+                scores, ids = scores[keep], ids[keep]
+            if len(scores) > k:
+                first = np.lexsort((ids, -scores))[:k]
+                scores, ids = scores[first], ids[first]
+            return list(zip((-scores).tolist(), ids.tolist(), strict=True))
+        scores = [sum(a * b for a, b in zip(row, exact, strict=True)) for row in whole(self.vectors[at], SCALE).tolist()]
+        return [(-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if floor is None or s >= floor]
 
     def search(self, query: np.ndarray, own_id: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The best ``k`` ``(-score, id)`` that are at least ``floor``, ties to the smaller id; rows with the query's id are left out."""
@@ -103,8 +112,7 @@ class BallTree:
             low, high = self.spans[node]
             at = self.order[low:high]
             at = at[self.ids[at] != own_id]
-            found = [(-s, i) for s, i in zip(self._scores(at, q, exact, down), self.ids[at].tolist(), strict=True) if floor is None or s >= floor]
-            if found:
+            if found := self._best(at, q, exact, down, k, floor):
                 best = sorted([*best, *found])[:k]
                 if len(best) == k and (floor is None or -best[-1][0] > floor):
                     floor = -best[-1][0]
