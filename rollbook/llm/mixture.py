@@ -218,7 +218,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     def planned(rows: DataFrame, told: DataFrame) -> DataFrame:
         return rows.withColumn("m_words", word_count(F.col("text"))).join(told, same)
 
-    alone = planned(docs, plan.where("m_rows = 1")).withColumn("m_times", F.floor(each + 0.5)).where("m_times > 0")
+    # The plan has a row per document taken, so it is never one to send to all tasks.
+    alone = planned(docs, plan.where("m_rows = 1").hint("merge")).withColumn("m_times", F.floor(each + 0.5)).where("m_times > 0")
     alone = alone.withColumn("m_round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m_times")))).select(*names)
     ids = shared.select(F.col("m_id").alias("m_any")).distinct()
     alike = planned(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("m_any")), "left_semi"), shared)
