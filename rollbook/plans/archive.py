@@ -79,7 +79,7 @@ class Archive:
     def catalog(self) -> DataFrame:
         """Headers of all snapshots that were committed and not retired."""
         listed, retired = self.records("snapshot_catalog").read(), self.records("retired").read()
-        return listed.join(retired, ["source", "stamp"], "left_anti")
+        return listed.join(F.broadcast(retired), ["source", "stamp"], "left_anti")
 
     def snapshots(self) -> DataFrame:
         return self._table("snapshots", model.SNAPSHOTS)
@@ -197,7 +197,8 @@ class Archive:
         without rows both show.
         """
         retired = self.records("retired").read()
-        kept = self.snapshots().join(retired, ["source", "stamp"], "left_anti")
+        # Records are few; exchanged by stamp, all rows of a snapshot would meet in one task.
+        kept = self.snapshots().join(F.broadcast(retired), ["source", "stamp"], "left_anti")
         data = _recomputed(kept, "source", "stamp")
         recorded = self.catalog().select("source", "stamp", F.col("body_digest").alias("recorded"), F.col("row_count").alias("expected"))
         joined = data.join(recorded, ["source", "stamp"], "full_outer")

@@ -160,3 +160,10 @@ def test_replaced_records_count_once(spark, tmp_path, monkeypatch):
         log.append([(n % 2,)])
     assert len(list((tmp_path / "log").glob("*.replaced"))) >= 2  # kept for readers that have listed them
     assert sorted(r.a for r in log.read().collect()) == [0] * 5 + [1] * 4
+
+
+def test_rows_of_a_snapshot_do_not_meet_in_one_task_to_be_verified(archive, rows):
+    archive.write_snapshot("finma", rows(DAY1), stamp="20260801T000000Z")
+    plan = archive.verify()._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
