@@ -27,10 +27,9 @@ def stream_row_changes(spark, folder):
     )
     base = shared_folder(spark, "stream")
     for year in sorted(r.year for r in rows.select("year").distinct().collect()):
-        # Files of a year are newer than those of the years before, and a batch takes one.
-        rows.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(f"{base}/landed")
-    schema = spark.read.parquet(f"{base}/landed").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed")
-    follow_rows(stream, f"{base}/out", f"{base}/marks").awaitTermination()
+        # A year lands in as many files as tasks write it, and one batch takes all that is new.
+        rows.where(F.col("year") == year).drop("year").write.mode("append").parquet(f"{base}/landed")
+        stream = spark.readStream.schema(spark.read.parquet(f"{base}/landed").schema).parquet(f"{base}/landed")
+        follow_rows(stream, f"{base}/out", f"{base}/marks").awaitTermination()
     events = read_row_changes(spark, f"{base}/out")
     return events.select("row_key", "stamp", "kind", F.array_join("columns", ",").alias("columns"))

@@ -113,3 +113,17 @@ def test_a_batch_may_be_repeated_and_a_merge_broken_off(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["run-0-4-4", "run-1-0-3"] and seen(4) == four
     assert state.read_for(rows(("k1", "", "")), 5).collect()[0]["stamp"] == "s1"
     assert KeyedState(spark, str(tmp_path / "none")).read().count() == 0
+
+
+def test_a_year_of_lines_lands_in_as_many_files_as_tasks_write_it(spark, monkeypatch, tmp_path):
+    from rollbook import session
+    from rollbook.plans.queries.streams import stream_row_changes
+
+    monkeypatch.setattr(session, "shared_folder", lambda *_: str(tmp_path / "stream"))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    monkeypatch.setattr("rollbook.plans.queries.streams.table", lambda *_: lines.repartition(8))
+    assert not stream_row_changes(spark, "").isEmpty()
+    years = lines.select(F.year("l_shipdate")).distinct().count()
+    assert len([n for n in os.listdir(tmp_path / "stream" / "landed") if n.endswith(".parquet")]) == 8 * years
+    # A batch has a whole year.
+    assert len([n for n in os.listdir(tmp_path / "stream" / "out" / "events") if n.startswith("batch=")]) == years
