@@ -66,7 +66,8 @@ def match_keys(rows: DataFrame, columns: DataFrame, *, keep: Sequence[str] = ROW
     ``columns`` is :func:`register_columns`, one row per register.  Registers that are not listed have nothing to match and drop out.
     Names go through Python; identifiers are unfolded on their own, so that they do not.
     """
-    told = rows.join(columns, "source")
+    # A row per register: exchanged by source, all rows of a register would meet in one task.
+    told = rows.join(F.broadcast(columns), "source")
     identifiers = told.select(*keep, F.inline(_identifier_claims(F.col("fields"))))
     names = told.select(*keep, F.inline(_name_claims(F.col("fields")))).withColumn("key", keys.name_key("value"))
     return identifiers.unionByName(names).filter(F.col("key") != "")

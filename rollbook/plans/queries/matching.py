@@ -12,6 +12,7 @@ from rollbook.operators import matching as mt
 from rollbook.operators import quality
 from rollbook.operators import snapshots as sn
 from rollbook.plans.queries.base import money, query, rows_of, table
+from rollbook.sizing import spread
 
 # Customers are institutions with a printed number and a legal form by segment.
 _FORMS = {"BUILDING": " AG", "MACHINERY": " S.A.", "FURNITURE": " G.m.b.H.", "HOUSEHOLD": " Ltd., Inc.", "AUTOMOBILE": ""}
@@ -24,7 +25,7 @@ def _nine(column):
 
 
 def _institutions(spark, folder):
-    customer = table(spark, folder, "customer")
+    customer = spread(table(spark, folder, "customer"))
     nine = _nine("c_custkey")
     form = F.create_map(*[F.lit(x) for pair in _FORMS.items() for x in pair])[F.col("c_mktsegment")]
     printed = F.concat(F.lit("CHE-"), F.substring(nine, 1, 3), F.lit("."), F.substring(nine, 4, 3), F.lit("."), F.substring(nine, 7, 3))
@@ -37,7 +38,7 @@ def _institutions(spark, folder):
 
 
 def _legal_entities(spark, folder):
-    supplier = table(spark, folder, "supplier")
+    supplier = spread(table(spark, folder, "supplier"))
     return rows_of(
         supplier,
         "s_suppkey",

@@ -169,3 +169,18 @@ def test_watchlist_files(spark, tmp_path):
     ]
     with pytest.raises(ValueError, match="neither"):
         load_watchlist(spark, str(c))
+
+
+def test_rows_of_a_register_do_not_meet_in_one_task_to_get_their_keys(spark, rows):
+    found = mt.match_keys(rows([{"UID": "CHE-100.000.001", "Name": "Alpha"}], source="finma"), mt.register_columns(spark))
+    assert "hashpartitioning(source" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_a_spread_table_do_not_grow_with_it(spark, monkeypatch, tmp_path):
+    from rollbook import sizing
+
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(sizing, "PIECE_BYTES", 8 << 10, raising=False)
+    spread = sizing.spread(table)
+    assert spread.rdd.getNumPartitions() > 20 and spread.distinct().count() == 100_000
