@@ -12,7 +12,7 @@ SEPARATOR = " | "
 _SPACE = r"[\s\x1c-\x1f]"
 _EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 # Commas and colons outside string literals of a compact JSON text.
-_JSON_PUNCTUATION = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:"])*+)([,:])'
+_JSON_PUNCTUATION = r'\G((?:"(?:[^"\\]++|\\.)*+"|[^",:"]++)*+)([,:])'
 
 
 def as_column(value: Column | str) -> Column:
@@ -61,7 +61,7 @@ def split_literal(value: Column, separator: str) -> Column:
     return F.split(value, literal_pattern(separator))
 
 
-_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def spaced_json(compact: Column) -> Column:
@@ -76,7 +76,7 @@ def variant_json(value: Column) -> Column:
 
 def sorted_map_json(fields: Column) -> Column:
     """A string map as JSON text with sorted keys; equal maps give equal text."""
-    return spaced_json(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields)))))
+    return spaced_json(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(fields)))))
 
 
 def let(value: Column, body) -> Column:
@@ -163,7 +163,9 @@ def variant_cell(value: Column, separator: str = SEPARATOR, *, skip_blank: bool
     cells = F.transform(members_of(value), _plain)
     if skip_blank:
         cells = F.filter(cells, lambda v: v != "")
-    return F.coalesce(F.array_join(cells, separator), _plain(value))
+    # Only a text that begins like a list can be one; others are spared the type test.
+    listed = F.startswith(value.cast("string"), F.lit("["))
+    return F.when(listed, F.coalesce(F.array_join(cells, separator), _plain(value))).otherwise(_plain(value))
 
 
 def merge_maps(left: Column, right: Column) -> Column:

@@ -57,8 +57,9 @@ def _by_ordinal(documents: Column) -> Column:
 
 
 def _sorted(structs: Column, field: str) -> Column:
-    # Structs that hold a map are not orderable, so the order is spelled out.
-    in_order = F.array_sort(structs, lambda a, b: F.signum(a[field] - b[field]).cast("int"))
+    # Structs that hold a map are not orderable, so their places are sorted.  A comparator would be interpreted for every pair.
+    places = F.sort_array(F.transform(structs, lambda s, i: F.struct(s[field].alias("at"), i.alias("place"))))
+    in_order = F.transform(places, lambda p: F.get(structs, p["place"]))
     return F.when(F.size(structs) < 2, structs).otherwise(in_order)
 
 
@@ -305,8 +306,12 @@ def _flatten_together(docs: DataFrame, layout: BlockLayout, scope: Sequence[str]
 
     # In the order in which the buckets begin, the first parent counting for its own.
     cells = gathered.select(*scope, "ordinal", "head", F.transform("buckets", columns).alias("cells"))
-    maps = F.concat(F.array("head"), F.transform("cells", F.map_from_entries))
-    return cells.select(*scope, "ordinal", maps.alias("maps")).select(*scope, "ordinal", _merge_in_order(F.col("maps")).alias("fields"))
+    # Keys of a bucket differ; only where one repeats between buckets are they merged one by one.
+    every = cells.select(*scope, "ordinal", "head", "cells", F.concat(F.map_entries("head"), F.flatten("cells")).alias("every"))
+    keys = F.col("every")["key"]
+    one_by_one = F.aggregate(F.transform("cells", F.map_from_entries), F.col("head"), merge_maps)
+    merged = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries("every")).otherwise(one_by_one)
+    return every.select(*scope, "ordinal", merged.alias("fields"))
 
 
 def _bucket_cells(bucket: Column, maps: Column, layout: BlockLayout) -> Column:
@@ -318,13 +323,17 @@ def _bucket_cells(bucket: Column, maps: Column, layout: BlockLayout) -> Column:
         joined = F.array_join(F.transform(maps, lambda m: F.coalesce(m[name], F.lit(""))), layout.separator)
         return F.struct(F.concat(bucket, F.lit("_"), name).alias("key"), joined.alias("value"))
 
-    found = F.transform(names, cell)
     if not layout.counts:
-        return found
+        return F.transform(names, cell)
     count = F.array(F.struct(F.concat(bucket, F.lit("_count")).alias("key"), F.size(maps).cast("string").alias("value")))
     # A field called "count" gives its own column, as the count would be merged over.
-    told = F.when((F.size(maps) == 0) | F.array_contains(names, F.lit("count")), F.array().cast("array<struct<key:string,value:string>>")).otherwise(count)
-    return F.concat(told, found)
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def told(named: Column) -> Column:
+        own = (F.size(maps) == 0) | F.array_contains(named, F.lit("count"))
+        return F.concat(F.when(own, none).otherwise(count), F.transform(named, cell))
+
+    return let(names, told)
 
 
 def passthrough(docs: DataFrame, drop: Sequence[str] = INTERNAL_FIELDS) -> DataFrame:

@@ -229,3 +229,20 @@ def test_enterprise_xml(spark, tmp_path, dicts):
     path = land(tmp_path / "z", **{"3__xml": empty, "4__xml": "<a><s:Fault><f>bad  input</f></s:Fault></a>"})
     assert uid_xml.read_uid_xml(spark, path).count() == 0
     assert [(r["file"], r["detail"]) for r in uid_xml.faults(spark, path).collect()] == [("4.xml", "bad  input")]
+
+
+def test_orders_are_dealt_to_all_cores_before_they_become_pages(spark):
+    from rollbook.plans.queries.landing import document_pages
+
+    plan = document_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan or "REPARTITION_BY_NUM" in plan
+
+
+def test_a_text_that_begins_like_a_list_is_a_cell_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    from rollbook.functions.text import variant_cell
+
+    texts = ['"[not a list"', '["a", null, ["b"]]', "[]", "null", '{"b": [1]}', "3"]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select(variant_cell(F.parse_json("t")).alias("c"))
+    assert [r.c for r in told.collect()] == ["[not a list", "a |  | b", "", "", '{"b": [1]}', "3"]
