@@ -99,7 +99,7 @@ def body_digest(hashed: DataFrame, *by: str) -> DataFrame:
 
     def node(*parts: str) -> Column:
         member = F.concat_ws(":", *parts)
-        return F.sha2(F.array_join(F.array_sort(F.collect_list(member)), "\n"), 256)
+        return F.sha2(F.array_join(F.sort_array(F.collect_list(member)), "\n"), 256)
 
     counted = hashed.groupBy(*by, "row_hash").agg(F.count(F.lit(1)).alias("n"))
     branch = counted.withColumn("branch", F.substring("row_hash", 1, 4)).repartition(*by, "branch")
