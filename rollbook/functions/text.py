@@ -10,7 +10,8 @@ SEPARATOR = " | "
 
 # Whitespace as Unicode defines it plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
-_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# The same, one by one.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Commas and colons outside string literals of a compact JSON text.
 _JSON_PUNCTUATION = r'\G((?:"(?:[^"\\]++|\\.)*+"|[^",:"]++)*+)([,:])'
 
@@ -21,7 +22,7 @@ def as_column(value: Column | str) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of Unicode whitespace, not only spaces."""
-    return F.regexp_replace(value, _EDGE_SPACE, "")
+    return F.btrim(value, F.lit(_SPACES))
 
 
 def squash(value: Column) -> Column:

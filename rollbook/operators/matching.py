@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import keys
-from rollbook.functions.text import SEPARATOR, merge_maps, split_literal, strip
+from rollbook.functions.text import SEPARATOR, let, merge_maps, split_literal, strip
 from rollbook.model import REGISTERS, Register, register_catalog
 
 ROW_ID = ("source", "ordinal")
@@ -38,11 +38,15 @@ def _start(i: Column, first: int = 0) -> Column:
 
 def _identifier_claims(fields: Column) -> Column:
     def of_column(column: Column, i: Column) -> Column:
-        def claim(form: Column, j: Column) -> Column:
-            rank = (_start(i) + j).cast("bigint")
-            return F.struct(rank.alias("rank"), F.lit("identifier").alias("kind"), column.alias("column"), _cell(fields, column).alias("value"), form.alias("key"))
+        def of_cell(cell: Column) -> Column:
+            def claim(form: Column, j: Column) -> Column:
+                rank = (_start(i) + j).cast("bigint")
+                return F.struct(rank.alias("rank"), F.lit("identifier").alias("kind"), column.alias("column"), cell.alias("value"), form.alias("key"))
 
-        return F.transform(keys.identifier_forms(_cell(fields, column)), claim)
+            forms = F.when(cell == "", F.array().cast("array<string>")).otherwise(keys.identifier_forms(cell))
+            return F.transform(forms, claim)
+
+        return let(_cell(fields, column), of_cell)
 
     return F.flatten(F.transform("identifier_columns", of_column))
 

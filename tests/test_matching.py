@@ -184,3 +184,38 @@ def test_pieces_of_a_spread_table_do_not_grow_with_it(spark, monkeypatch, tmp_pa
     monkeypatch.setattr(sizing, "PIECE_BYTES", 8 << 10, raising=False)
     spread = sizing.spread(table)
     assert spread.rdd.getNumPartitions() > 20 and spread.distinct().count() == 100_000
+
+
+def test_cells_are_trimmed_and_spelled_once(spark, rows, columns):
+    import re
+
+    from rollbook.functions.text import strip
+
+    edges = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"{e} a{e}b {e}{e}",) for e in edges], "v string")
+    spaces = F.regexp_replace("v", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    assert df.filter(~strip(F.col("v")).eqNullSafe(spaces)).count() == 0
+
+    claims = mt.match_keys(rows([{"UID": " CHE-1.234.567 "}], source="finma"), columns)
+    assert sorted((r["value"], r["key"]) for r in claims.collect()) == [("CHE-1.234.567", "CHE1234567")]
+    # One pattern for letters, one for digits; before, cells were trimmed by one too, again for each use.
+    assert len(re.findall(r"regexp_replace", claims._jdf.queryExecution().optimizedPlan().toString())) <= 2
+
+
+def test_name_keys_end_like_the_pattern():
+    import itertools
+    import re
+
+    forms = "|".join([*keys.LEGAL_FORMS, *(" ".join(f) for f in keys.LEGAL_FORMS if len(f) <= keys.INITIALS)])
+    ends = re.compile(rf"(?:^| )(?:{forms})$")
+
+    def by_pattern(key):
+        longer = None
+        while key != longer:
+            key, longer = ends.sub("", key), key
+        return key
+
+    words = ["a", "s", "b", "v", "o", "y", "x", "ag", "sa", "co", "asa", "z"]
+    for n in range(5):
+        for name in itertools.product(words, repeat=n):
+            assert keys.plain_name_key(" ".join(name)) == by_pattern(" ".join(name)), name
