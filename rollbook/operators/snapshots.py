@@ -94,20 +94,27 @@ def body_digest(hashed: DataFrame, *by: str) -> DataFrame:
 
     Equal hashes are first reduced to one row with a count, so repeated rows do
     not pile up.  Hash prefixes then form a tree with three levels, in which no
-    group holds more than 65536 members for up to 2**48 different rows.
+    group holds more than 65536 members for up to 2**48 different rows.  Its two
+    lower levels are windows over one sort; most leaves have a single row, and
+    an aggregate would sort and pack the lists of each level twice.
     """
 
-    def node(*parts: str) -> Column:
-        member = F.concat_ws(":", *parts)
-        return F.sha2(F.array_join(F.sort_array(F.collect_list(member)), "\n"), 256)
+    def node(members: Column) -> Column:
+        return F.sha2(F.array_join(F.sort_array(members), "\n"), 256)
+
+    def level(rows: DataFrame, group: Sequence[str], name: str, *parts: str) -> DataFrame:
+        """One row per ``group``, with the digest of its members."""
+        places = Window.partitionBy(*group).orderBy(name)
+        every = places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        listed = rows.withColumn("members", F.collect_list(F.concat_ws(":", *parts)).over(every))
+        listed = listed.withColumn("total", F.sum("n").over(every)).withColumn("place", F.row_number().over(places))
+        return listed.filter("place = 1").select(*group, node(F.col("members")).alias("digest"), F.col("total").alias("n"))
 
     counted = hashed.groupBy(*by, "row_hash").agg(F.count(F.lit(1)).alias("n"))
-    branch = counted.withColumn("branch", F.substring("row_hash", 1, 4)).repartition(*by, "branch")
-    leaves = branch.groupBy(*by, "branch", F.substring("row_hash", 5, 4).alias("leaf")).agg(
-        node("row_hash", "n").alias("digest"), F.sum("n").alias("row_count")
-    )
-    branches = leaves.groupBy(*by, "branch").agg(node("leaf", "digest").alias("digest"), F.sum("row_count").alias("row_count"))
-    return branches.groupBy(*by).agg(node("branch", "digest").alias("body_digest"), F.sum("row_count").alias("row_count"))
+    branch = counted.select(*by, F.substring("row_hash", 1, 4).alias("branch"), F.substring("row_hash", 5, 4).alias("leaf"), "row_hash", "n")
+    leaves = level(branch.repartition(*by, "branch"), [*by, "branch", "leaf"], "row_hash", "row_hash", "n")
+    branches = level(leaves, [*by, "branch"], "leaf", "leaf", "digest")
+    return branches.groupBy(*by).agg(node(F.collect_list(F.concat_ws(":", "branch", "digest"))).alias("body_digest"), F.sum("n").alias("row_count"))
 
 
 EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

@@ -148,3 +148,28 @@ def test_exports_compare_by_digest(rows):
     assert placed[0] == placed[1] and [p[0] for p in placed[0]] == list(range(500)) and [p[1:] for p in placed[0]] == sorted(p[1:] for p in placed[0])
     assert sn.export_digest(sn.with_keys(rows([]), ["k"])).first()["rows"] == 0
     assert sn.export_digest(sn.with_keys(rows(items[:1]), ["k"])).first()["rows"] == 1
+
+
+def test_digest_is_the_tree_whatever_meets_in_a_node(spark):
+    draw = random.Random(5)
+    heads = ["".join(draw.choice("0123456789abcdef") for _ in range(8)) for _ in range(40)] + ["0000000" + c for c in "0123"]
+    hashes = [draw.choice(heads) + hashlib.sha256(str(draw.random()).encode()).hexdigest()[8:] for _ in range(400)]
+    hashes += draw.choices(hashes, k=100)
+
+    def node(members):
+        return hashlib.sha256("\n".join(sorted(members)).encode()).hexdigest()
+
+    def tree(given):
+        leaves, branches = {}, {}
+        for h in set(given):
+            leaves.setdefault(h[:8], []).append(f"{h}:{given.count(h)}")
+        for head, members in leaves.items():
+            branches.setdefault(head[:4], []).append(f"{head[4:]}:{node(members)}")
+        return node([f"{b}:{node(members)}" for b, members in branches.items()])
+
+    df = spark.createDataFrame([(h, i % 2) for i, h in enumerate(hashes)], "row_hash string, part int").repartition(3)
+    assert sn.body_digest(df).first() == (tree(hashes), len(hashes))
+    assert {tuple(r) for r in sn.body_digest(df, "part").collect()} == {(p, tree(hashes[p::2]), len(hashes[p::2])) for p in (0, 1)}
+    # Lists of the lower levels are not packed and sorted by aggregates; only the root is one.
+    plan = sn.body_digest(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
