@@ -222,13 +222,14 @@ class Archive:
         their number is known before they are joined.
         """
         narrow = ["row_key", "ordinal", "row_hash", "diff_hash"]
-
-        def firsts(stamp: str, prefix: str) -> DataFrame:
-            header = self.header(source, stamp)
+        headers = {stamp: self.header(source, stamp) for stamp in (old_stamp, new_stamp)}
+        for stamp, header in headers.items():
             if header is None:
                 raise FileNotFoundError(f"no snapshot {stamp} of {source}")
+
+        def firsts(stamp: str, prefix: str) -> DataFrame:
             rows = self._rows(source, stamp).select(*narrow)
-            if header["duplicate_keys"]:
+            if headers[stamp]["duplicate_keys"]:
                 rows = sn.first_copies(rows)
             at = F.struct("ordinal", "row_hash").alias(f"{prefix}_at")
             return rows.select("row_key", at, F.col("diff_hash").alias(f"{prefix}_hash"))
@@ -237,7 +238,12 @@ class Archive:
         moved = materialise(
             pairs.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select("row_key", "old_at", "new_at"), "moved"
         )
+
         def full(stamp: str, prefix: str, name: str) -> DataFrame:
+            if not headers[stamp]["duplicate_keys"]:
+                # The key alone tells the row, and there are no copies.
+                mine = moved.filter(F.col(f"{prefix}_at").isNotNull()).select("row_key")
+                return self._rows(source, stamp).select("row_key", F.col("fields").alias(name)).join(mine, "row_key", "left_semi")
             at = F.struct("ordinal", "row_hash").alias(f"{prefix}_at")
             rows = self._rows(source, stamp).select("row_key", at, F.col("fields").alias(name))
             rows = rows.join(moved.select("row_key", f"{prefix}_at"), ["row_key", f"{prefix}_at"], "left_semi")

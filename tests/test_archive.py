@@ -167,3 +167,25 @@ def test_rows_of_a_snapshot_do_not_meet_in_one_task_to_be_verified(archive, rows
     plan = archive.verify()._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "LeftAnti" in line]
     assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_snapshots_without_repeated_keys_need_no_grouping(archive, spark):
+    def table(items):
+        return spark.createDataFrame([(i, m) for i, m in enumerate(items)], "ordinal bigint, fields map<string,string>")
+
+    old = [{"UID": str(i), "Name": "n", "City": "a"} for i in range(20)]
+    new = [{"UID": str(i), "Name": "n", "City": "b" if i % 2 else "a"} for i in range(5, 25)]
+    archive.write_snapshot("finma", table(old), stamp="20260801T000000Z")
+    archive.write_snapshot("finma", table(new), stamp="20260802T000000Z")
+    archive.write_snapshot("finma", table([*new, *new[:3], {"UID": "5", "Name": "n", "City": "later"}]), stamp="20260803T000000Z")
+
+    def told(a, b):
+        return sorted((r["row_key"].split("\x1f")[0], r["kind"], (r["previous"] or {}).get("City"), (r["row"] or {}).get("City")) for r in archive.diff("finma", a, b).collect())
+
+    expected = [(str(i), "removed", "a", None) for i in range(5)] + [(str(i), "added", None, "b" if i % 2 else "a") for i in range(20, 25)]
+    expected += [(str(i), "changed", "a", "b") for i in range(5, 20) if i % 2]
+    for stamp in ("20260802T000000Z", "20260803T000000Z"):
+        assert told("20260801T000000Z", stamp) == sorted(expected)
+    assert told("20260802T000000Z", "20260803T000000Z") == []
+    plan = archive.diff("finma", "20260801T000000Z", "20260802T000000Z")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
