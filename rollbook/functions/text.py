@@ -171,6 +171,10 @@ def variant_cell(value: Column, separator: str = SEPARATOR, *, skip_blank: bool
 
 def merge_maps(left: Column, right: Column) -> Column:
     """``map_concat`` in which the right side wins for keys present in both."""
-    return let(
-        right, lambda r: F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(r, k)), r)
-    )
+
+    def merged(whole: Column, r: Column) -> Column:
+        rest = F.map_filter(whole, lambda k, _: ~F.map_contains_key(r, k))
+        # Most sides share no key; the lambda is spared then.
+        return F.map_concat(F.when(F.arrays_overlap(F.map_keys(whole), F.map_keys(r)), rest).otherwise(whole), r)
+
+    return let(right, lambda r: let(left, lambda whole: merged(whole, r)))

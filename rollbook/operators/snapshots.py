@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,12 +177,8 @@ def ordered_changes(changes: DataFrame) -> DataFrame:
     return changes.orderBy(kind_rank(F.col("kind")), "row_key")
 
 
-def change_rows(changes: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
-    """Events as ragged rows, with the former value of each changed column.
-
-    Columns ``_change``, ``_key``, ``_changed_columns``, the row itself (the former
-    one for removals) and ``<column>__was``.
-    """
+def _change_parts() -> tuple[list[Column], Column]:
+    """The maps that a change row consists of, of which later ones win, and whether no column is in two of them."""
     head = F.create_map(
         F.lit("_change"), F.col("kind"),
         F.lit("_key"), keys.readable_key(F.col("row_key")),
@@ -197,10 +194,29 @@ def change_rows(changes: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
         )
     )
     body = F.coalesce("row", "previous")
-    fields = merge_maps(merge_maps(head, body), former)
+    ours = F.concat(F.map_keys(head), F.transform("columns", lambda c: F.concat(c, F.lit("__was"))))
+    apart = ~F.arrays_overlap(F.map_keys(body), ours) & (F.size(F.array_distinct(ours)) == F.size(ours))
+    return [head, body, former], apart
+
+
+def change_rows(changes: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
+    """Events as ragged rows, with the former value of each changed column.
+
+    Columns ``_change``, ``_key``, ``_changed_columns``, the row itself (the former
+    one for removals) and ``<column>__was``.
+    """
+    parts, apart = _change_parts()
+    fields = F.when(apart, F.map_concat(*parts)).otherwise(reduce(merge_maps, parts))
     return changes.select(*keep, "kind", "row_key", fields.alias("fields"))
 
 
+def change_cells(changes: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep..., cells``: the values of :func:`change_rows`, without building its maps where they are put together as they are."""
+    parts, apart = _change_parts()
+    cells = F.when(apart, F.concat(*[F.map_values(p) for p in parts])).otherwise(F.map_values(reduce(merge_maps, parts)))
+    return changes.select(*keep, cells.alias("cells"))
+
+
 def apply_changes(old: DataFrame, changes: DataFrame) -> DataFrame:
     """The newer snapshot from the older one and the events between them.
 

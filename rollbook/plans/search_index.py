@@ -16,7 +16,7 @@ from rollbook import model
 from rollbook.functions.text import fold
 from rollbook.model import register
 from rollbook.operators import history, quality
-from rollbook.operators.snapshots import change_rows
+from rollbook.operators.snapshots import change_cells
 from rollbook.plans.archive import Archive
 
 #: Letters of a run; bits of a signature.  Files with more different runs than bits pass more often; results stay the same.
@@ -32,7 +32,12 @@ def _bit(gram: Column) -> Column:
 
 def signatures(rows: DataFrame) -> DataFrame:
     """``file, word, bits`` of ``rows`` (``file``, ``fields``)."""
-    cells = rows.select("file", F.explode(F.map_values("fields")).alias("cell")).select("file", fold(F.col("cell")).alias("cell"))
+    return cell_signatures(rows.select("file", F.map_values("fields").alias("cells")))
+
+
+def cell_signatures(rows: DataFrame) -> DataFrame:
+    """:func:`signatures` of rows given as ``file, cells``."""
+    cells = rows.select("file", F.explode("cells").alias("cell")).select("file", fold(F.col("cell")).alias("cell"))
     at = F.explode(F.expr(f"case when length(cell) >= {GRAM} then sequence(1, length(cell) - {GRAM - 1}) end"))
     grams = cells.select("file", "cell", at.alias("at")).select("file", _bit(F.expr(f"substring(cell, at, {GRAM})")).alias("bit"))
     bits = F.bit_or(F.expr("shiftleft(1L, bit % 64)"))
@@ -54,16 +59,16 @@ class SearchIndex:
         return self.archive._partition(f"signatures/part={part}", source, stamp)
 
     def _rows(self, part: str, source: str, stamp: str) -> DataFrame:
-        """The rows of a partition as a search sees them, and the file that each is in."""
+        """The cells of a partition's rows as a search sees them, and the file that each row is in."""
         schema = model.SNAPSHOT_ROWS if part == SNAPSHOTS else model.CHANGES.split(", source string")[0]
         rows = self.spark.read.schema(schema).parquet(self._data(part, source, stamp)).withColumn("file", _file())
-        return rows.select("file", "fields") if part == SNAPSHOTS else change_rows(rows, keep=("file",)).select("file", "fields")
+        return rows.select("file", F.map_values("fields").alias("cells")) if part == SNAPSHOTS else change_cells(rows, keep=("file",))
 
     def write(self, source: str, stamp: str) -> None:
         """Sign a committed snapshot and the events that came with it; once more gives the same."""
         for part in (SNAPSHOTS, CHANGES):
             if self.archive._exists(self._data(part, source, stamp)):
-                signatures(self._rows(part, source, stamp)).write.mode("overwrite").parquet(self._path(part, source, stamp))
+                cell_signatures(self._rows(part, source, stamp)).write.mode("overwrite").parquet(self._path(part, source, stamp))
 
     def retire(self, source: str, stamp: str) -> None:
         """Events outlive the snapshot they came with, and so does their signature."""

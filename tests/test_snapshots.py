@@ -173,3 +173,20 @@ def test_digest_is_the_tree_whatever_meets_in_a_node(spark):
     # Lists of the lower levels are not packed and sorted by aggregates; only the root is one.
     plan = sn.body_digest(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def test_cells_of_change_rows_are_their_values(spark):
+    kind = "kind string, row_key string, columns array<string>, row map<string,string>, previous map<string,string>"
+    told = [
+        ("added", "1", [], {"a": "x", "b": None}, None),
+        ("removed", "2\x1f3", [], None, {"a": "x"}),
+        ("changed", "3", ["a", "b"], {"a": "y", "b": "z"}, {"a": "x"}),
+        ("changed", "4", ["a"], {"a": "y", "a__was": "own", "_key": "own"}, {"a": "x"}),
+        ("changed", "5", ["a", "a__was"], {"a": "y", "a__was": "now"}, {"a": "x", "a__was": "then"}),
+    ]
+    events = spark.createDataFrame(told, kind)
+    rows_ = {r["row_key"]: r["fields"] for r in sn.change_rows(events).collect()}
+    assert rows_["4"] == {"_change": "changed", "_key": "own", "_changed_columns": "a", "a": "y", "a__was": "x"}
+    assert rows_["5"]["a__was"] == "x" and rows_["5"]["a__was__was"] == "then"
+    cells = {r["row_key"]: r["cells"] for r in sn.change_cells(events, keep=("row_key",)).collect()}
+    assert {k: sorted(map(str, v)) for k, v in cells.items()} == {k: sorted(map(str, v.values())) for k, v in rows_.items()}
