@@ -190,3 +190,16 @@ def test_cells_of_change_rows_are_their_values(spark):
     assert rows_["5"]["a__was"] == "x" and rows_["5"]["a__was__was"] == "then"
     cells = {r["row_key"]: r["cells"] for r in sn.change_cells(events, keep=("row_key",)).collect()}
     assert {k: sorted(map(str, v)) for k, v in cells.items()} == {k: sorted(map(str, v.values())) for k, v in rows_.items()}
+
+
+def test_json_of_plain_rows_is_that_of_the_pattern(spark):
+    from rollbook.functions.text import sorted_map_json, spaced_json
+
+    odd = [chr(c) for c in range(1, 0x180)] + [":", ",", "},{", "[{", "}]", "]", '"', "\\", '","value":"', '"},{"key":"', "null", "key", "value", "", "日本", "😀", "[]", "{}"]
+    maps = [{}, {"a": None}, {"a": None, "b": "x"}]
+    maps += [{o: p, "k": o, f"z{o}": f"{p}{o}"} for o in odd for p in ("", "x", o, "}]", ":", None)]
+    df = spark.createDataFrame([(m,) for m in maps], "fields map<string,string>")
+    whole = lambda f: spaced_json(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(f)))))
+    blank = F.transform_values("fields", lambda _, v: F.coalesce(v, F.lit("")))
+    told = df.select(sorted_map_json(F.col("fields")).alias("a"), whole(F.col("fields")).alias("b"), sorted_map_json(F.col("fields"), filled=True).alias("c"), whole(blank).alias("d"))
+    assert [r for r in told.collect() if r["a"] != r["b"] or r["c"] != r["d"]] == []
